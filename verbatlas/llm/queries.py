@@ -7,11 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..io import table
-from . import format_duplicates, garbled, leaks, raking, shared_spans, tokenize
+from . import format_duplicates, garbled, language, leaks, personal, raking, shared_spans, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    verbatims = table(spark, d, "project_verbatims")
+    model = language.fit(
+        (verbatims, "ord", "full_text", "language", language.TRAIN_VERBATIMS), (table(spark, d, "documents"), "doc_id", "text", "lang", language.TRAIN_DOCUMENTS)
+    )
+    return language.identify_languages(verbatims, model, "ord", "full_text", "language")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    return _languages(spark, d).where((F.col("seg") > 0) | wrong).select("ord", "seg", "lang")
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("ord", "seg", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     groups = format_duplicates.copies(table(spark, d, "project_verbatims"), "ord", "full_text")
     return groups.where(F.col("id") != F.col("first")).select(F.col("first").alias("ord"), F.col("id").alias("copy_ord"))
@@ -29,6 +46,15 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore_garbled(table(spark, d, "project_verbatims"), "ord", ("full_text", "full_text_clean"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal.find_personal(table(spark, d, "project_verbatims"), "ord", "full_text")
+    return found.select("ord", "kind", (F.col("start") + 1).alias("start_pos"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(table(spark, d, "project_verbatims"), "ord", "full_text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     report = raking.plan_report(table(spark, d, "project_verbatims"), table(spark, d, "sample_targets"))
     return report.where(~F.col("met")).select("plan_id", "target_no")
