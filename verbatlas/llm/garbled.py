@@ -118,7 +118,12 @@ def garbled_words(vocabulary: DataFrame) -> DataFrame:
     forms = vocabulary.mapInArrow(_forms_batches, "form string, original string, m long, confused boolean")
     met = forms.join(vocabulary, forms["form"] == vocabulary["word"])
     sure = ~F.col("confused") | ((F.col("m") >= CONFUSED_RARITY * F.col("n")) & F.col("word").rlike(_UNUSUAL))
-    by_word = met.where(sure).groupBy("word").agg(F.max_by("original", F.struct(~F.col("confused"), "m", "original")).alias("original"))
+    met = materialise(met.where(sure).select("word", "original", "m", "confused"), "garbled-met")
+    garbled = met.select("word").distinct()
+    # A word garbled twice is also a form of the word garbled once; only clean words are originals.
+    verified = met.join(garbled.withColumnRenamed("word", "original"), "original", "left_anti")
+    verified = verified.groupBy("word").agg(F.max_by("original", F.struct(~F.col("confused"), "m", "original")).alias("original"))
+    by_word = garbled.join(verified, "word", "left")
     # Characters of the corpus: at most as many as Unicode has.
     chars = [r.ch for r in vocabulary.select(F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({_BEYOND})"), 1))).alias("ch")).distinct().collect()]
     single = {f for ch in chars if ch != "�" for f, confused in garbled_forms(ch).items() if not confused and (len(f) > 1 or f == "�")}

@@ -50,9 +50,10 @@ class Passages:
             grams.append(g)
             item.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
-        # The bound for an item is that of its shortest passage; a bound below 1 would let every region through.
+        # The bound for an item is that of its shortest passage. One too short for the budget still has to share a
+        # q-gram, or every region would pass: near copies of it without any are not found, exact ones always are.
         self.bound = np.maximum(1, np.array(shortest, dtype=np.int64) - Q + 1 - Q * edits)
-        self.grams, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, item, place))
+        self.grams, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((grams, np.uint64), (item, np.int64), (place, np.int64)))
         order = np.argsort(self.grams, kind="stable")
         self.grams, self.item, self.place = self.grams[order], self.item[order], self.place[order]
         self.log2 = max(16, int(np.ceil(np.log2(len(self.grams) * 32 + 1))))
