@@ -59,12 +59,12 @@ def residual_map(df: DataFrame, known: tuple[str, ...] = STANDARD_COLUMNS) -> Co
     return F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]), lambda k, v: v.isNotNull())
 
 
-def to_verbatims(df: DataFrame, project_id: str, mapping: dict[str, str] | None = None) -> DataFrame:
+def to_verbatims(df: DataFrame, project_id: str, mapping: dict[str, str] | None = None, detection: str = "strict") -> DataFrame:
     """A raw table's rows as verbatims of a project, with ids that only depend on their content and place.
 
     Rows without a text are left out. `ord` follows the order of the input.
     """
-    source = detect_source(df.columns)
+    source = detect_source(df.columns, detection)
     mapped = apply_mapping(df, mapping if mapping is not None else auto_mapping(df.columns, source))
     if missing := missing_columns(mapped):
         raise ValueError(f"missing columns: {missing}")
