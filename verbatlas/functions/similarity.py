@@ -41,23 +41,35 @@ def indel_udf() -> object:
     return ratio
 
 
-def indel_ratio_short(a: Column, b: Column) -> Column:
+def char_masks(a: Column) -> Column:
+    """Of a text of up to SHORT characters, each character with the bits of its places; computed once per text, not per pair."""
+    one, chars = F.lit(1).cast("long"), F.filter(F.split(a, ""), lambda c: c != "")
+    places = F.sequence(F.lit(0), F.length(a) - 1)
+
+    def mask(ch: Column) -> Column:
+        return F.aggregate(places, F.lit(0).cast("long"), lambda m, i: F.when(F.element_at(chars, i + 1) == ch, m.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(m))
+
+    short = (F.length(a) > 0) & (F.length(a) <= SHORT)
+    return F.when(short, F.map_from_entries(F.transform(F.array_distinct(chars), lambda ch: F.struct(ch.alias("k"), mask(ch).alias("v")))))
+
+
+def indel_ratio_short(a: Column, b: Column, masks: Column | None = None) -> Column:
     """The ratio by built-in functions, for texts a of up to SHORT characters; null for longer ones.
 
     The state is a mask of a's characters that are not matched yet; each character of b moves it on.
+    masks: char_masks(a), where it is at hand.
     """
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-    full = F.call_function("shiftleft", one, F.length(a)) - one
+    masks = char_masks(a) if masks is None else masks
+    zero = F.lit(0).cast("long")
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(a)) - 1
 
     def step(s: Column, ch: Column) -> Column:
-        mask = F.aggregate(F.sequence(F.lit(0), F.length(a) - 1), zero, lambda m, i: F.when(F.element_at(chars, i + 1) == ch, m.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(m))
-        u = s.bitwiseAND(mask)
+        u = s.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), zero))
         return (s + u).bitwiseOR(s - u).bitwiseAND(full)
 
     left = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), full, step)
-    both_empty = (F.length(a) == 0) & (F.length(b) == 0)
     ratio = F.lit(2.0) * (F.length(a) - F.bit_count(left)) / (F.length(a) + F.length(b))
+    both_empty = (F.length(a) == 0) & (F.length(b) == 0)
     return F.when(both_empty, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(F.length(a) <= SHORT, ratio)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..config import NEGATION_PATTERNS, SETTINGS
-from ..functions.similarity import indel_ratio_short, jaccard
+from ..functions.similarity import char_masks, indel_ratio_short, jaccard
 from .graph import components
 
 
@@ -46,9 +46,9 @@ def merge_pairs(labels: DataFrame, pivots: DataFrame, ratio: float = SETTINGS.fu
     a and b are positions. A run has a few hundred topics at most, so its pairs are few. Labels
     are compared by built-in functions up to 62 characters; longer ones only by words.
     """
-    p = labels.join(pivots, ["run_id", "topic_id"], "left").select("run_id", "pos", "label", "pivots")
-    both = p.withColumnsRenamed({"pos": "a", "label": "la", "pivots": "pa"}).join(p.withColumnsRenamed({"pos": "b", "label": "lb", "pivots": "pb"}), "run_id").where("a < b")
-    score, shared = F.round(F.coalesce(indel_ratio_short(F.col("la"), F.col("lb")), F.lit(0.0)), 9), jaccard(F.col("la"), F.col("lb"))
+    p = labels.join(pivots, ["run_id", "topic_id"], "left").select("run_id", "pos", "label", "pivots", char_masks(F.col("label")).alias("masks"))
+    both = p.withColumnsRenamed({"pos": "a", "label": "la", "pivots": "pa"}).join(p.withColumnsRenamed({"pos": "b", "label": "lb", "pivots": "pb"}).drop("masks"), "run_id").where("a < b")
+    score, shared = F.round(F.coalesce(indel_ratio_short(F.col("la"), F.col("lb"), F.col("masks")), F.lit(0.0)), 9), jaccard(F.col("la"), F.col("lb"))
     near = (score >= ratio) | ((shared >= words) & (F.length("pa") > 0) & (F.col("pa") == F.col("pb")))
     return both.withColumn("score", score).where(near).select("run_id", "a", "b", "score")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.matching import compiled_keywords, compiled_regexes, default_negations, matched_terms, valid_patterns
+from ..functions.matching import compiled_keywords, compiled_regexes, default_negations, valid_patterns
 
 #: Most rows of rules that are broadcast; more are joined by a shuffle on the project.
 BROADCAST_RULES = 50_000
@@ -28,13 +28,35 @@ def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text
     Rules are gathered to one row per project, so each verbatim is read and lower-cased once and one row
     leaves per match only. Null and empty texts match nothing; a topic listed twice matches twice.
     """
-    per_project = rules.groupBy("project_id").agg(F.collect_list(F.struct("topic_id", "rules", "negatives", "regexes")).alias("topics"))
+    words = F.transform("rules", lambda k: F.struct(k["low"].alias("low"), k["negated"].alias("negated")))
+    nots = F.transform(F.coalesce("negatives", F.array().cast("array<string>")), lambda n: F.lower(n))
+    patterns = F.transform("regexes", lambda r: r["pattern"])
+    per_project = rules.groupBy("project_id").agg(
+        F.collect_list(F.struct("topic_id", "rules", nots.alias("nots"), "regexes")).alias("topics"),
+        F.array_distinct(F.flatten(F.collect_set(words))).alias("words"),
+        F.array_distinct(F.flatten(F.collect_set(nots))).alias("nots"),
+        F.array_distinct(F.flatten(F.collect_set(patterns))).alias("patterns"),
+    )
     if rules.count() <= BROADCAST_RULES:
         per_project = F.broadcast(per_project)
     v = verbatims.where(F.length(text) > 0).select("ord", "project_id", F.lower(text).alias("low"))
-    found = F.transform("topics", lambda t: F.struct(t["topic_id"].alias("topic_id"), matched_terms(F.col("low"), t["rules"], t["negatives"], t["regexes"] if regexes else None, negation).alias("terms")))
-    hits = v.join(per_project, "project_id").select("ord", F.explode(F.filter(found, lambda x: F.size(x["terms"]) > 0)).alias("x"))
-    return hits.select("ord", "x.topic_id", "x.terms")
+    low = F.col("low")
+
+    def stands(k: Column) -> Column:
+        found = F.contains(low, k["low"])
+        return F.when(found & k["negated"].isNotNull(), ~F.rlike(low, k["negated"])).otherwise(found) if negation else found
+
+    # Topics share their words, so each distinct word, pattern and negative is sought once per text; topics then compare short lists.
+    met = v.join(per_project, "project_id").select(
+        "ord", "topics", F.filter("words", stands).alias("has"), F.filter("nots", lambda n: (F.length(n) > 0) & F.contains(low, n)).alias("has_not"),
+        (F.filter("patterns", lambda p: F.rlike(low, p)) if regexes else F.array().cast("array<string>")).alias("has_pattern"),
+    )
+    pairs = met.where((F.size("has") > 0) | (F.size("has_pattern") > 0)).select("ord", "has", "has_not", "has_pattern", F.explode("topics").alias("t"))
+    terms = F.transform(F.filter("t.rules", lambda k: F.array_contains("has", F.struct(k["low"].alias("low"), k["negated"].alias("negated")))), lambda k: k["term"])
+    if regexes:
+        terms = F.concat(terms, F.transform(F.filter("t.regexes", lambda r: F.array_contains("has_pattern", r["pattern"])), lambda r: r["label"]))
+    pairs = pairs.where(~F.arrays_overlap("t.nots", "has_not") | F.arrays_overlap("t.nots", "has_not").isNull())
+    return pairs.select("ord", "t.topic_id", F.array_sort(F.array_distinct(terms)).alias("terms")).where(F.size("terms") > 0)
 
 
 def topic_metrics(verbatims: DataFrame, rules: DataFrame, matches: DataFrame) -> DataFrame:

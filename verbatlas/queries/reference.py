@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ENTITY_TYPES, MERGE_METHODS, NEGATION_PATTERNS, RUN_MODES, RUN_STATUSES, SOURCE_TYPES
 from ..functions.matching import compiled_keywords, default_negations, highlight, matched_terms
-from ..functions.similarity import indel_ratio_short, jaccard
+from ..functions.similarity import char_masks, indel_ratio_short, jaccard
 from ..functions.text import BLANKS, EMOJI, LETTERS, LIGATURES, PLAIN, PUNCTUATION, URLS, CleaningOptions, clean, cleaning_stats, repair_double_encoding, squeeze_punctuation, squeeze_spaces, transliterate
-from ..io import table
+from ..io import spread, table
 from ..operators import dedup, importing, merging, relational, sampling, topics
 from ..plans import analysis
 from ..session import materialise
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _v(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "project_verbatims")
+    return spread(table(spark, d, "project_verbatims"))
 
 
 def _text(value: str) -> str:
@@ -258,7 +258,7 @@ def fix_mojibake(spark, d):
 
 @query()
 def dedup_classes(spark, d):
-    return dedup.duplicate_classes(table(spark, d, "documents"), "doc_id", "text")
+    return dedup.duplicate_classes(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 @query()
@@ -274,7 +274,7 @@ def dedup_stats(spark, d):
 @query()
 def dedup_preview(spark, d):
     """The ten most similar pairs: the limit is the feature."""
-    pairs = dedup.similar_pairs(table(spark, d, "documents"), "doc_id", "text")
+    pairs = dedup.similar_pairs(spread(table(spark, d, "documents")), "doc_id", "text")
     return pairs.orderBy(F.desc("score"), "a", "b").limit(10).withColumn("score", F.round("score", 3))
 
 
@@ -382,9 +382,9 @@ def label_jaccard(spark, d):
 
 @query(_PAIRS + "SELECT run_id, a, b, score FROM sc")
 def indel_pairs_short(spark, d):
-    l = _labels(spark, d)[0].select("run_id", "pos", "label")
-    both = l.withColumnsRenamed({"pos": "a", "label": "la"}).join(l.withColumnsRenamed({"pos": "b", "label": "lb"}), "run_id").where("a < b")
-    return both.select("run_id", "a", "b", F.round(F.coalesce(indel_ratio_short(F.col("la"), F.col("lb")), F.lit(0.0)), 9).alias("score"))
+    l = _labels(spark, d)[0].select("run_id", "pos", "label", char_masks(F.col("label")).alias("masks"))
+    both = l.withColumnsRenamed({"pos": "a", "label": "la"}).join(l.drop("masks").withColumnsRenamed({"pos": "b", "label": "lb"}), "run_id").where("a < b")
+    return both.select("run_id", "a", "b", F.round(F.coalesce(indel_ratio_short(F.col("la"), F.col("lb"), F.col("masks")), F.lit(0.0)), 9).alias("score"))
 
 
 @query(_PAIRS + "SELECT run_id, a, b, score FROM pairs")
