@@ -272,10 +272,18 @@ def identify(model: Model, texts: list[str]) -> list[list[tuple[str, float, int]
 
 
 def _sample(df: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, str]]:
-    """Labelled rows, the same whatever the partitioning: those whose ids hash lowest."""
-    known = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.lower(F.trim(label_col)).alias("label")).where(F.length("text") >= MIN_LETTERS)
-    known = known.where(F.split("label", "[-_ (]")[0].isin(sorted(_BY_LABEL)))
-    return [(r.text, label_language(r.label)) for r in known.orderBy("h", "text").limit(rows).collect()]
+    """About `rows` labelled rows, never more than twice as many: those whose hash falls below a bound, the same in every run.
+
+    All labelled rows are counted to set the bound, so that only sampled texts leave the workers.
+    """
+    label = F.lower(F.trim(label_col))
+    known = df.where((F.length(text_col) >= MIN_LETTERS) & F.split(label, "[-_ (]")[0].isin(sorted(_BY_LABEL)))
+    most = known.count()
+    space = 1 << 40
+    bound = space if most <= rows else space * rows // most
+    drawn = known.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), label.alias("label")).where(F.pmod("h", F.lit(space)) < bound)
+    found = drawn.limit(2 * rows).collect()
+    return [(r.text, label_language(r.label)) for r in sorted(found, key=lambda r: (r.h, r.text))]
 
 
 def fit(*tables: tuple[DataFrame, str, str, str, int]) -> Model:
