@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..io import table
+from ..io import spread, table
 from . import format_duplicates, garbled, language, leaks, personal, raking, shared_spans, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    verbatims = table(spark, d, "project_verbatims")
+    verbatims = spread(table(spark, d, "project_verbatims"))
     model = language.fit(
-        (verbatims, "ord", "full_text", "language", language.TRAIN_VERBATIMS), (table(spark, d, "documents"), "doc_id", "text", "lang", language.TRAIN_DOCUMENTS)
+        (verbatims, "ord", "full_text", "language", language.TRAIN_VERBATIMS), (spread(table(spark, d, "documents")), "doc_id", "text", "lang", language.TRAIN_DOCUMENTS)
     )
     return language.identify_languages(verbatims, model, "ord", "full_text", "language")
 
@@ -30,29 +30,29 @@ def p1_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    groups = format_duplicates.copies(table(spark, d, "project_verbatims"), "ord", "full_text")
+    groups = format_duplicates.copies(spread(table(spark, d, "project_verbatims")), "ord", "full_text")
     return groups.where(F.col("id") != F.col("first")).select(F.col("first").alias("ord"), F.col("id").alias("copy_ord"))
 
 
 def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return format_duplicates.collapse(table(spark, d, "project_verbatims"), "ord", "full_text")
+    return format_duplicates.collapse(spread(table(spark, d, "project_verbatims")), "ord", "full_text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.find_garbled(table(spark, d, "project_verbatims"), "ord", ("full_text", "full_text_clean")).select("ord", "field")
+    return garbled.find_garbled(spread(table(spark, d, "project_verbatims")), "ord", ("full_text", "full_text_clean")).select("ord", "field")
 
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.restore_garbled(table(spark, d, "project_verbatims"), "ord", ("full_text", "full_text_clean"))
+    return garbled.restore_garbled(spread(table(spark, d, "project_verbatims")), "ord", ("full_text", "full_text_clean"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = personal.find_personal(table(spark, d, "project_verbatims"), "ord", "full_text")
+    found = personal.find_personal(spread(table(spark, d, "project_verbatims")), "ord", "full_text")
     return found.select("ord", "kind", (F.col("start") + 1).alias("start_pos"))
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redact(table(spark, d, "project_verbatims"), "ord", "full_text")
+    return personal.redact(spread(table(spark, d, "project_verbatims")), "ord", "full_text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p7_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+    return tokenize.encode_corpus(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+    return leaks.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,11 +91,16 @@ def p9_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_amounts(table(spark, d, "documents"), "doc_id", "text")
+    return shared_spans.shared_amounts(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_intervals(table(spark, d, "documents"), "doc_id", "text").distinct().withColumnRenamed("id", "doc_id")
+    return shared_spans.shared_intervals(spread(table(spark, d, "documents")), "doc_id", "text").distinct().withColumnRenamed("id", "doc_id")
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the sentences that an earlier document has in a long shared span."""
+    return shared_spans.without_repeats(table(spark, d, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
@@ -118,8 +123,50 @@ WITH t AS (
 )
 """
 
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form without look-around: runs and blanks go first, so what is left are single marks."""
+    low = f"replace(lower({text}), 'ß', 'ss')"
+    single = rf"regexp_replace({low}, '[^\p{{L}}\p{{N}}]{{2,}}|[\s\p{{Z}}\p{{C}}]', '', 'g')"
+    return rf"regexp_replace(regexp_replace({single}, '(^|[^\p{{Nd}}])[^\p{{L}}\p{{N}}]', '\1', 'g'), '[^\p{{L}}\p{{N}}]([^\p{{Nd}}]|$)', '\1', 'g')"
+
+
+_COPIES = rf"""
+WITH t AS (
+  SELECT ord, {_canonical_sql('full_text')} AS plain,
+         list_filter(regexp_split_to_array(full_text, '[|;\r\n\x{{85}}\x{{2028}}\x{{2029}}]'), lambda p: regexp_matches(p, '[^\s\p{{Z}}\p{{C}}]')) AS pieces
+  FROM project_verbatims
+), k AS (
+  SELECT ord, plain, CASE WHEN len(pieces) >= 3 AND len(list_filter(pieces, lambda p: NOT regexp_matches(p, '(?s)^[\s\p{{Z}}\p{{C}}]*[^:\s\p{{Z}}]([^:]{{0,28}}[^:\s\p{{Z}}])?[\s\p{{Z}}\p{{C}}]*:.*[^\s\p{{Z}}\p{{C}}].*$'))) = 0
+         THEN array_to_string(list_sort(list_transform(pieces, lambda p: {_canonical_sql('p')})), chr(1)) END AS fields
+  FROM t WHERE length(regexp_replace(plain, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 20
+), via AS (SELECT plain, min(fields) AS via FROM k WHERE fields IS NOT NULL GROUP BY plain
+), g AS (SELECT ord, min(ord) OVER (PARTITION BY coalesce(k.fields, via.via, k.plain)) AS first FROM k LEFT JOIN via USING (plain))
+SELECT first AS ord, ord AS copy_ord FROM g WHERE ord <> first
+"""
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_LEAKED = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL
+), dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12
+), ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+_SHARED = """
+WITH w AS (SELECT doc_id, p, md5(substr(text, p, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS p FROM documents WHERE length(text) >= 250)
+), r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1
+), s AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM w SEMI JOIN r USING (h))
+SELECT doc_id, sum(least(250, coalesce(following - p, 250)))::BIGINT AS shared_chars FROM s GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _COPIES,
+        "p9_found": _LEAKED,
+        "p10_found": _SHARED,
         "p7_found": _TARGETS + "SELECT plan_id, target_no FROM c WHERE available < needed",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -15,6 +15,7 @@ there, as far as 64-bit hashes of two independent kinds are distinct.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,23 +135,25 @@ def _shared_intervals(ids: list, starts: list[int], texts: list[str], min_chars:
     new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
     at = np.flatnonzero(new)
     low, high = np.minimum.reduceat(who[order], at), np.maximum.reduceat(who[order], at)
-    shared = np.zeros(len(order), bool)
-    shared[order] = (low != high)[np.cumsum(new) - 1]
-    r, p = row[shared], place[shared]
+    shared, first_id = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    group = np.cumsum(new) - 1
+    shared[order] = (low != high)[group]
+    first_id[order] = who[order] == low[group]
+    r, p, f = row[shared], place[shared], first_id[shared]
     edge = np.ones(len(r), bool)
-    edge[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
+    edge[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1) | (f[1:] != f[:-1])
     first = np.flatnonzero(edge)
     last = np.append(first[1:], len(r)) - 1 if len(first) else first
     return pa.RecordBatch.from_arrays(
-        [pa.array([ids[i] for i in r[first]] if len(first) else [], pa.array(ids).type), pa.array(p[first], pa.int64()), pa.array(p[last] + min_chars if len(first) else p[:0], pa.int64())],
-        ["id", "a", "b"],
+        [pa.array([ids[i] for i in r[first]] if len(first) else [], pa.array(ids).type), pa.array(p[first], pa.int64()), pa.array(p[last] + min_chars if len(first) else p[:0], pa.int64()), pa.array(f[first])],
+        ["id", "a", "b", "first"],
     )
 
 
 def shared_intervals(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows (id, a, b): characters a .. b-1 (from 0) lie in spans of at least min_chars that another id has.
+    """Rows (id, a, b, first): characters a .. b-1 (from 0) lie in spans of at least min_chars that another id has.
 
-    The intervals of an id may touch and overlap; their union is exact. Null and shorter texts share
+    `first`: no smaller id has those of the span's windows. The intervals of an id may touch and overlap; their union is exact. Null and shorter texts share
     nothing; rows without an id are left out; rows repeated under the same id count once; an empty
     table gives no rows.
     """
@@ -210,7 +213,7 @@ def shared_intervals(docs: DataFrame, id_col: str, text_col: str, min_chars: int
         if runs_:
             yield _shared_intervals(ids, starts, texts, min_chars)
 
-    schema = f"id {kind}, a long, b long"
+    schema = f"id {kind}, a long, b long, first boolean"
     found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(compare, schema)
     if hot_rows.isEmpty():
         return found
@@ -223,8 +226,9 @@ def shared_intervals(docs: DataFrame, id_col: str, text_col: str, min_chars: int
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["id", "a", "one", "two"])
 
     windows = rows.join(F.broadcast(hot_rows), "h", "left_semi").mapInArrow(spread, f"id {kind}, a long, one long, two long")
-    twice = windows.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("one", "two")
-    return found.unionByName(windows.join(twice, ["one", "two"]).select("id", "a", (F.col("a") + min_chars).alias("b")))
+    twice = windows.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("one", "two", "lo")
+    spans = windows.join(twice, ["one", "two"]).select("id", "a", (F.col("a") + min_chars).alias("b"), (F.col("id") == F.col("lo")).alias("first"))
+    return found.unionByName(spans)
 
 
 def shared_amounts(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -237,3 +241,46 @@ def shared_amounts(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
         lambda s: s["n"],
     )
     return shared_intervals(docs, id_col, text_col, min_chars).groupBy(F.col("id").alias(id_col)).agg(union.alias("shared_chars"))
+
+
+_SENTENCE = re.compile(r".+?(?:[.!?…]+(?=\s)|\n|\Z)\s*", re.S)
+
+
+def _kept(text: str, spans: list) -> tuple[str, int]:
+    """A text without the sentences that lie wholly in the spans, and how many those are."""
+    union: list[list[int]] = []
+    for x in sorted((x["a"], x["b"]) for x in spans):
+        if union and x[0] <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], x[1])
+        else:
+            union.append(list(x))
+    out, removed, k = [], 0, 0
+    for m in _SENTENCE.finditer(text):
+        end = m.start() + len(m.group().rstrip())
+        while k < len(union) and union[k][1] < end:
+            k += 1
+        if k < len(union) and union[k][0] <= m.start() and end <= union[k][1] and end > m.start():
+            removed += 1
+        else:
+            out.append(m.group())
+    return "".join(out), removed
+
+
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (id_col, kept, removed): each text without the sentences that lie wholly in a repeated span of which
+    it isn't the first holder, and their number. Other texts, null ones too, are as they were."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    later = shared_intervals(docs, id_col, text_col, min_chars).where(~F.col("first"))
+    spans = later.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one document
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(spans, "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, removed = [], []
+            for text, held in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                t, n = _kept(text, held) if text and held else (text, 0)
+                kept.append(t)
+                removed.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], [id_col, "kept", "removed"])
+
+    return rows.select("id", "text", "spans").mapInArrow(run, f"`{id_col}` {kind}, kept string, removed long")
