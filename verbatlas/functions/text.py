@@ -86,3 +86,10 @@ def repair_double_encoding(text: Column) -> Column:
     tail = r"[\x{80}-\x{BF}]"
     utf8 = rf"^([\x{{00}}-\x{{7F}}]|[\x{{C2}}-\x{{DF}}]{tail}|\x{{E0}}[\x{{A0}}-\x{{BF}}]{tail}|[\x{{E1}}-\x{{EC}}\x{{EE}}\x{{EF}}]{tail}{{2}}|\x{{ED}}[\x{{80}}-\x{{9F}}]{tail}|\x{{F0}}[\x{{90}}-\x{{BF}}]{tail}{{2}}|[\x{{F1}}-\x{{F3}}]{tail}{{3}}|\x{{F4}}[\x{{80}}-\x{{8F}}]{tail}{{2}})*+$"
     return F.when(text.rlike("[ÃÂ]") & text.rlike(utf8), F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
+
+
+def cleaning_examples(df: DataFrame, id_col: str, text_col: str, n: int = 5, options: CleaningOptions = CleaningOptions()) -> DataFrame:
+    """The first n texts before and after cleaning, with lengths."""
+    first = df.select(id_col, F.coalesce(text_col, F.lit("")).alias("before")).orderBy(id_col).limit(n)
+    after = first.withColumn("after", clean(F.col("before"), options))
+    return after.withColumns({"chars_before": F.length("before").cast("long"), "chars_after": F.length("after").cast("long")})

@@ -92,3 +92,16 @@ def label_totals(run_topics: DataFrame, volumes: DataFrame) -> DataFrame:
     return run_topics.join(volumes.select("topic_id", "volume_verbatims"), "topic_id").groupBy("canonical_label").agg(
         F.count("*").alias("topics"), F.sum("volume_verbatims").alias("verbatims"), F.min("canonical_subtopic").alias("subtopic")
     )
+
+
+def near_labels(run_topics: DataFrame, above: float = 0.85) -> DataFrame:
+    """Pairs (a, b, score) of distinct labels of all runs that are more similar than `above`; a label occurs once however often it is used."""
+    l = run_topics.where(F.length("canonical_label") > 0).select(F.col("canonical_label").alias("label")).distinct()
+    l = l.withColumns({"n": F.length("label"), "masks": char_masks(F.col("label"))})
+    # The lengths of a pair above the bound are within a factor of each other: classes of that factor meet themselves and the next.
+    ratio = above / (2 - above)
+    l = l.withColumn("class", F.floor(F.log("n") / -F.log(F.lit(ratio)) + 1e-9))
+    a = l.select(F.col("label").alias("x"), "masks", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("own"))
+    met = a.join(l.select(F.col("label").alias("y"), "class"), "class").where((F.col("class") > F.col("own")) | (F.col("x") < F.col("y")))
+    score = F.round(indel_ratio_short(F.col("x"), F.col("y"), F.col("masks")), 9)
+    return met.withColumn("score", score).where(F.col("score") > above).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()

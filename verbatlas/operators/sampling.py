@@ -83,3 +83,10 @@ def estimate(chunked: DataFrame, texts: DataFrame, id_col: str, group: str, pric
         (F.floor((tokens_in * F.lit(price_in) + tokens_out * F.lit(price_out)) * 10 + 0.5000001) / 10000).alias("cost"),
         F.ceil(F.col("chunks") * SETTINGS.seconds_per_chunk / SETTINGS.llm_parallel_calls).cast("long").alias("seconds"), alert.alias("alert"),
     )
+
+
+def describe(rows: int, taken: int, strata: int | None) -> str:
+    """One line on how a sample was drawn."""
+    if taken >= rows:
+        return f"all {rows:,} rows"
+    return f"{taken:,} of {rows:,} rows at random" if strata is None else f"{taken:,} of {rows:,} rows from {strata:,} strata"

@@ -126,3 +126,14 @@ def top_topics(metrics: DataFrame, n: int = 10) -> DataFrame:
     """The n topics of each run with most verbatims; ties in topic order."""
     w = Window.partitionBy("run_id").orderBy(F.desc("volume_verbatims"), "topic_ord", "topic_id")
     return metrics.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def validation(verbatims: DataFrame, rules: DataFrame, first: int = 100, examples: int = 5) -> DataFrame:
+    """Per topic, over the first texts of its project: matches, their rate, and the first examples' ids. Keywords only."""
+    w = Window.partitionBy("project_id").orderBy("ord")
+    v = verbatims.where(F.length("full_text") > 0).select("ord", "project_id", "full_text").withColumn("k", F.row_number().over(w)).where(F.col("k") <= first)
+    sizes = v.groupBy("project_id").agg(F.count("*").alias("n"))
+    hits = topic_matches(v, rules, regexes=False).groupBy("topic_id").agg(F.count("*").alias("m"), F.slice(F.array_sort(F.collect_list("ord")), 1, examples).alias("e"))  # at most `first`
+    base = rules.select("topic_id", "project_id").join(sizes, "project_id").join(hits, "topic_id", "left")
+    m = F.coalesce("m", F.lit(0)).cast("long")
+    return base.select("topic_id", m.alias("matches"), F.round(m / F.col("n"), 3).alias("rate"), F.coalesce(F.array_join(F.transform("e", lambda x: x.cast("string")), ","), F.lit("")).alias("examples"))

@@ -146,3 +146,18 @@ class Pipeline:
         rules = rules.withColumn("rules", topics.compiled_keywords(F.col("keywords"), topics.default_negations())).withColumn("negatives", F.array().cast("array<string>")).withColumn("regexes", topics.compiled_regexes(F.array().cast("array<string>")))
         matches = materialise(topics.topic_matches(v, rules), "topic-matches")
         return {"texts": v, "results": results, "outcome": outcome(results), "themes": themes, "rules": rules, "metrics": topics.topic_metrics(v, rules, matches)}
+
+
+def alert_level(chunks: int) -> str:
+    return "blocking" if chunks >= SETTINGS.blocking_chunks else "warning" if chunks >= SETTINGS.warning_chunks else "none"
+
+
+def status_text(status: str, error: str | None = None) -> str:
+    """A line for people on how a run stands."""
+    lines = {"pending": "waiting", "processing": "running", "success": "done", "partial": "done, some chunks failed", "interrupted": "interrupted"}
+    return f"failed: {error or 'unknown error'}" if status == "failed" else lines.get(status, status)
+
+
+def run_metadata(**values: object) -> str:
+    """A run's settings and figures as JSON; what JSON has no type for becomes text."""
+    return json.dumps(values, default=str, ensure_ascii=False, sort_keys=True)

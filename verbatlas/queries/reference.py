@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import ENTITY_TYPES, MERGE_METHODS, NEGATION_PATTERNS, RUN_MODES, RUN_STATUSES, SOURCE_TYPES
 from ..functions.matching import compiled_keywords, default_negations, highlight, matched_terms
 from ..functions.similarity import char_masks, indel_ratio_short, jaccard
-from ..functions.text import BLANKS, EMOJI, LETTERS, LIGATURES, PLAIN, PUNCTUATION, URLS, CleaningOptions, clean, cleaning_stats, repair_double_encoding, squeeze_punctuation, squeeze_spaces, transliterate
+from ..functions.text import BLANKS, EMOJI, LETTERS, LIGATURES, PLAIN, PUNCTUATION, URLS, CleaningOptions, clean, cleaning_examples, cleaning_stats, repair_double_encoding, squeeze_punctuation, squeeze_spaces, transliterate
 from ..io import spread, table
 from ..operators import dedup, importing, merging, relational, sampling, topics
 from ..plans import analysis
@@ -161,6 +161,17 @@ def coverage_kpi(spark, d):
     return m.join(runs, "run_id").select("run_id", F.round(100.0 * F.col("s") / F.col("n"), 2).alias("coverage_pct"), "topics_met")
 
 
+@query(
+    _RULES.replace("FROM project_verbatims WHERE length(full_text) > 0", "FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord) AS k FROM project_verbatims WHERE length(full_text) > 0) WHERE k <= 100")
+    + """, h AS (SELECT topic_id, ord FROM hits WHERE NOT starts_with(term, '[regex:') GROUP BY ALL), c AS (SELECT topic_id, count(*) AS m, array_to_string(list_slice(list_sort(list(ord)), 1, 5), ',') AS e FROM h GROUP BY topic_id)
+    SELECT topic_id, coalesce(m, 0) AS matches, round(coalesce(m, 0)::DOUBLE / n, 3) AS rate, coalesce(e, '') AS examples FROM rules JOIN (SELECT project_id, count(*) AS n FROM v GROUP BY 1) USING (project_id) LEFT JOIN c USING (topic_id)"""
+)
+def ontology_validation(spark, d):
+    """Rules tried on the first hundred texts of each project: the limit is the feature."""
+    v, rules, _ = _topics(spark, d)
+    return topics.validation(v, rules)
+
+
 _ENTITIES = """
 WITH e AS (SELECT coalesce(entity_type, 'unknown') AS entity_type, label, unnest(coalesce(keywords, [])) AS k FROM dim_entities
 ), base AS (SELECT DISTINCT coalesce(entity_type, 'unknown') AS entity_type, label FROM dim_entities
@@ -247,6 +258,12 @@ def clean_stats(spark, d):
     return cleaning_stats(_v(spark, d).select("full_text", clean(F.col("full_text"), CleaningOptions(remove_punctuation=True)).alias("b")), "full_text", "b")
 
 
+@query(f"SELECT ord, before, after, length(before) AS chars_before, length(after) AS chars_after FROM (SELECT ord, coalesce(full_text, '') AS before, {_CLEAN} AS after FROM project_verbatims ORDER BY ord LIMIT 5)")
+def clean_examples(spark, d):
+    """The first five texts: the limit is the feature."""
+    return cleaning_examples(_v(spark, d), "ord", "full_text", options=CleaningOptions(remove_punctuation=True))
+
+
 @query()
 def fix_mojibake(spark, d):
     t = F.col("full_text")
@@ -368,6 +385,11 @@ def _labels(spark, d):
     return labels, merging.pivot_words(labels, "run_id")
 
 
+@query("WITH n AS (SELECT DISTINCT canonical_label AS l FROM run_topics WHERE length(canonical_label) > 0), m AS (SELECT x.l AS la, y.l AS lb FROM n x JOIN n y ON x.l < y.l), s AS (SELECT la AS a, lb AS b, round(" + _RATIO + ", 9) AS score FROM m) SELECT a, b, score FROM s WHERE score > 0.85")
+def near_labels(spark, d):
+    return merging.near_labels(table(spark, d, "run_topics"))
+
+
 @query(_PIVOTS + "SELECT run_id, topic_id, pivots FROM p")
 def pivot_words(spark, d):
     return _labels(spark, d)[1]
