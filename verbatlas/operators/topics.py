@@ -117,9 +117,10 @@ def enriched(verbatims: DataFrame, rules: DataFrame, matches: DataFrame, diction
 
 def summary(verbatims: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: texts, texts with a topic, texts without."""
-    total = verbatims.where(F.length("full_text") > 0).agg(F.count("*").alias("total"))
-    with_match = matches.agg(F.count_distinct("ord").alias("with_match"))
-    return total.crossJoin(with_match).select("total", "with_match", (F.col("total") - F.col("with_match")).alias("without_match"))  # two single rows
+    total = verbatims.agg(F.count_if(F.length("full_text") > 0).alias("total"), F.lit(0).cast("long").alias("with_match"))
+    met = matches.agg(F.lit(0).cast("long").alias("total"), F.count_distinct("ord").alias("with_match"))
+    both = total.unionByName(met).agg(F.sum("total").alias("total"), F.sum("with_match").alias("with_match"))
+    return both.withColumn("without_match", F.col("total") - F.col("with_match"))
 
 
 def top_topics(metrics: DataFrame, n: int = 10) -> DataFrame:
