@@ -48,6 +48,12 @@ def test_mixed_texts(model):
         assert [s[0] for s in language.identify(model, [" ".join(parts)])[0]] == langs
 
 
+def test_short_sentences_are_segments(model):
+    fr, en = "Le flacon me donne la nausée, je ne rachèterai pas.", "The bottle beats my expectations, my friends are won over."
+    for parts, langs in (((en, "Je suis très déçue.", en), ["en", "fr", "en"]), ((fr, "Ich bin sehr zufrieden."), ["fr", "de"]), ((en, "Gar nicht überzeugt."), ["en", "de"]), ((en, "8,4 ml / Pefofa."), ["en"])):
+        assert [s[0] for s in language.identify(model, [" ".join(parts)])[0]] == langs, parts
+
+
 def test_language_rows(spark, model):
     fr = "Le flacon me donne la nausée, je ne rachèterai pas."
     rows = [(1, fr, "FR", "x"), (2, fr, "de", "x"), (3, fr, None, "x"), (4, "ok", None, "x"), (5, None, None, "x"), (6, "", None, "x"), (6, fr, "und", "x"), (7, fr * 3000, "fr", "x"), (8, "1234567890 " * 9 + "!?", None, "x")]

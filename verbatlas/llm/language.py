@@ -36,14 +36,12 @@ LABELS = {
 _BY_LABEL = {w: lang for lang, words in LABELS.items() for w in words.split()}
 
 #: Most labelled rows that the model is trained on, by table.
-TRAIN_VERBATIMS, TRAIN_DOCUMENTS = 2_000, 300
+TRAIN_VERBATIMS, TRAIN_DOCUMENTS = 4_000, 600
 MIN_LETTERS = 20
 GRAMS = 4
 BUCKETS_LOG2 = 17
 #: Prices, in log-likelihood, of a change of language between sentences and within one.
 BETWEEN, WITHIN = 3.5, 7.0
-#: A segment needs so many letters, else it joins its neighbour.
-SEGMENT_LETTERS = 26
 _UNIT = 48
 _ENDS = re.compile(r"[.!?…]+[\"»”’)\]]*(?=\s|$)|[\n\r\u2028\u2029|;]+")
 #: Addresses, handles and tags say nothing about a language.
@@ -51,6 +49,8 @@ _NEUTRAL = re.compile(r"https?://\S+|www\.\S+|[^\s@]+\s?(?:@|\(at\)|\[at\])\s?\S
 #: A sentence with contact data is mostly names.
 _CONTACT = re.compile(r"@|\(at\)|\[at\]|\d[\d .()/-]{6,}\d|\b(?:signé|regards|groeten|saluti|saludo|cumprimentos|grüße|cordialement)\b")
 _CONTACT_WEIGHT = 0.3
+#: Sentences are calibrated by their number of letters: up to the first, the second, …, and longer ones.
+_SIZES = (8, 12, 16, 20, 26)
 
 
 def label_language(label: str | None) -> str | None:
@@ -107,7 +107,8 @@ def split_units(text: str) -> list[tuple[int, int, bool]]:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # bucket x language, times idf, over the temperature
+    weights: np.ndarray  # bucket x language, times idf, over the temperature of long sentences
+    warmth: np.ndarray | None = None  # by class of _SIZES: how much less sure its scores are than those of long sentences
 
     def sums(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Running sums, from 0, of all n-grams' scores and of letters."""
@@ -166,6 +167,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         return Model(np.zeros((1 << BUCKETS_LOG2, len(LANGUAGES)), np.float32))
     df = np.bincount(np.concatenate([b for b, _, _ in rows]), minlength=1 << BUCKETS_LOG2)
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    kind = np.searchsorted(_SIZES, [sum(map(str.isalpha, texts[i])) for i in keep])
     held = np.random.default_rng(seed).random(len(rows)) < 0.1
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
 
@@ -176,17 +178,24 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     for _ in range(2):  # labels are often wrong: what a first fit contradicts is left out of the next
         kept = fit[~doubtful[fit]]
         p = _softmax(scores(_ftrl([rows[i] for i in kept], y[kept], idf, 1, seed), np.arange(len(rows))))
-        doubtful = (p.argmax(1) != y) & (p.max(1) > 0.5)
+        # A short one may hold nothing but names and figures: what contradicts it is its evidence, not its label.
+        doubtful = (p.argmax(1) != y) & (p.max(1) > 0.5) & (kind == len(_SIZES))
     fit = fit[~doubtful[fit]]
     w = _ftrl([rows[i] for i in fit], y[fit], idf, 3, seed)
-    check = np.flatnonzero(held & ~doubtful)
-    temperature = 1.0
-    if len(check):
-        s = scores(w, check)
-        grid = np.geomspace(0.05, 5, 60)
-        loss = [-np.log(_softmax(s / t)[np.arange(len(check)), y[check]] + 1e-9).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-    return Model((w * idf[:, None] / temperature).astype(np.float32))
+    long = kind == len(_SIZES)
+    noise = doubtful[long].mean() if long.any() else 0.0  # of the labels, in short rows as in long ones
+    grid, temperature = np.geomspace(0.05, 20, 90), np.ones(len(_SIZES) + 1)
+
+    def best(which: np.ndarray, noise: float) -> float:
+        s, at = scores(w, which), (np.arange(len(which)), y[which])
+        return float(grid[int(np.argmin([-np.log((1 - noise) * _softmax(s / t)[at] + noise / len(LANGUAGES) + 1e-9).mean() for t in grid]))])
+
+    if (check := held & ~doubtful & long).any():
+        temperature[:] = best(np.flatnonzero(check), 0.0)
+    for k in range(len(_SIZES)):
+        if (check := held & (kind == k)).any():
+            temperature[k] = max(temperature[-1], best(np.flatnonzero(check), noise))
+    return Model((w * idf[:, None] / temperature[-1]).astype(np.float32), temperature / temperature[-1])
 
 
 def _path(score: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -205,31 +214,10 @@ def _path(score: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return path
 
 
-def _segments(path: np.ndarray, letters: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs (language, first unit, last unit + 1); runs of too few letters join the longer neighbour."""
-    runs = []
-    for i, lang in enumerate(path.tolist()):
-        if runs and runs[-1][0] == lang:
-            runs[-1][2] = i + 1
-        else:
-            runs.append([lang, i, i + 1])
-    while len(runs) > 1:
-        size = [int(letters[a:b].sum()) for _, a, b in runs]
-        k = int(np.argmin(size))
-        if size[k] >= SEGMENT_LETTERS:
-            break
-        near = [j for j in (k - 1, k + 1) if 0 <= j < len(runs)]
-        j = max(near, key=lambda j: size[j])
-        runs[j] = [runs[j][0], min(runs[j][1], runs[k][1]), max(runs[j][2], runs[k][2])]
-        del runs[k]
-        merged = [runs[0]]
-        for r in runs[1:]:
-            if r[0] == merged[-1][0]:
-                merged[-1][2] = r[2]
-            else:
-                merged.append(r)
-        runs = merged
-    return [tuple(r) for r in runs]
+def _segments(path: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs (language, first unit, last unit + 1), of any number of letters: the path's prices have decided."""
+    edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+    return [(int(path[x]), x, y) for x, y in zip(edges, edges[1:])]
 
 
 def identify(model: Model, texts: list[str]) -> list[list[tuple[str, float, int]]]:
@@ -252,8 +240,10 @@ def identify(model: Model, texts: list[str]) -> list[list[tuple[str, float, int]
     a, b, begins, owner = np.array(a), np.array(b), np.array(begins), np.array(owner)
     count = letters[b] - letters[a]
     total = (sums[b] - sums[a]) / np.sqrt(GRAMS * np.maximum(1, b - a))[:, None]
+    if model.warmth is not None:
+        total /= model.warmth[np.searchsorted(_SIZES, count)][:, None]
     log_p = np.log(_softmax(total) + 1e-5) * (np.minimum(1, count / 12) * np.where(plain, 1, _CONTACT_WEIGHT))[:, None]  # a few letters say little
-    best, sure = log_p.argmax(1), (log_p.max(1) > np.log(0.5)) & (count >= 6)
+    best, sure = log_p.argmax(1), count > 0  # the path cannot change where all agree
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     last = np.append(first[1:], len(owner))
     many = np.maximum.reduceat(np.where(sure, best, -1), first) > np.minimum.reduceat(np.where(sure, best, len(LANGUAGES)), first)
@@ -267,7 +257,7 @@ def identify(model: Model, texts: list[str]) -> list[list[tuple[str, float, int]
         if not mixed:
             out[k] = [(LANGUAGES[lang], p, n)]
             continue
-        for lang, x, y in _segments(_path(log_p[f:e], begins[f:e]), count[f:e]):
+        for lang, x, y in _segments(_path(log_p[f:e], begins[f:e])):
             p = float(_softmax(log_p[f + x : f + y].sum(0))[lang])
             out[k].append((LANGUAGES[lang], p, int(count[f + x : f + y].sum())))
     return out
@@ -306,11 +296,11 @@ def identify_languages(df: DataFrame, model: Model, id_col: str, text_col: str,
     order. `label` is the language that the row's label names, null if none. Null, empty and shorter
     texts give no row; repeated rows give rows each; texts are read whole; an empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model.weights)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.warmth))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        model = Model(*shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
