@@ -5,6 +5,7 @@ from verbatlas.functions.similarity import indel_ratio
 from verbatlas.operators import dedup, importing, merging, relational, sampling
 from verbatlas.operators.graph import components
 from verbatlas.operators.skew import attach_group
+from verbatlas.plans import analysis
 
 
 def rows(df):
@@ -49,6 +50,21 @@ def test_classes_keep_every_row(spark):
     assert empty.count() == 0 and dedup.dedup_stats(empty, "id").first().before == 0
 
 
+@pytest.mark.parametrize("mode", ["exact", "shingles"])
+def test_classes_stay_within_a_group(spark, mode):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "a", long), (2, "b", long), (3, "b", long + " more"), (4, None, long), (5, None, long), (6, "a", None), (7, "b", "")]
+    df = spark.createDataFrame(rows, "id long, p string, text string")
+    got = {r.id: r.class_id for r in dedup.duplicate_classes(df, "id", "text", 0.9, mode, "p").collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_pipeline_keeps_a_text_in_each_project(spark):
+    text = "Le flacon fuit toujours et le parfum manque vraiment de tenue."
+    df = spark.createDataFrame([(1, "a", text), (2, "b", text), (3, "b", text)], "ord long, project_id string, full_text string")
+    assert rows(analysis.Pipeline().run(df)["texts"].select("ord")) == [(1,), (2,)]
+
+
 def test_quotas(spark):
     strata = spark.createDataFrame([("a", 500), ("b", 50), ("c", 5)], "stratum string, rows long")
     q = {r.stratum: r.quota for r in sampling.quotas(strata, 100, 10, 60).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..config import SETTINGS
@@ -14,14 +14,19 @@ SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
 
 
-def _distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per distinct text: smallest id and number of copies. Null texts count as empty; rows without an id are left out."""
-    t = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return t.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+def _group(group_col: str | None) -> Column:
+    """A key that is never null: rows of a null group are a group of their own."""
+    return F.lit("").alias("grp") if group_col is None else F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit("")).alias("grp")
+
+
+def _distinct_texts(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:
+    """One row per distinct text of a group: smallest id and number of copies. Null texts count as empty; rows without an id are left out."""
+    t = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), _group(group_col))
+    return t.groupBy("grp", "text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
 def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of distinct texts that can reach the threshold, by two bounds that lose none.
+    """All pairs (a, b) of one group's distinct texts that can reach the threshold, by two bounds that lose none.
 
     Length: the shorter has at least t / (2 - t) of the longer's characters, so logarithmic length
     classes of that ratio only meet themselves and the next. Characters: twice the common multiset of
@@ -34,15 +39,15 @@ def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     chars = F.filter(F.split(F.col("text"), ""), lambda c: c != "")
     bag = F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("k"), F.size(F.filter(chars, lambda x: x == c)).alias("v"))))
     base = base.withColumn("bag", bag)
-    a = base.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("n").alias("na"), F.col("bag").alias("ba"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    b = base.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("n").alias("nb"), F.col("bag").alias("bb"), "class")
-    met = a.join(b, "class").where(((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))) & (F.col("na") >= ratio * F.col("nb") - 1e-9))
+    a = base.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("n").alias("na"), F.col("bag").alias("ba"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "grp")
+    b = base.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("n").alias("nb"), F.col("bag").alias("bb"), "class", "grp")
+    met = a.join(b, ["grp", "class"]).where(((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))) & (F.col("na") >= ratio * F.col("nb") - 1e-9))
     common = F.aggregate(F.map_entries("ba"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at("bb", e["key"]), F.lit(0))))
     return met.where(2 * common >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "ta", "tb").distinct()
 
 
 def shingle_candidates(texts: DataFrame, words: int = SHINGLE_WORDS, similarity: float = MIN_JACCARD) -> DataFrame:
-    """All pairs (a, b) of texts whose word shingles have a Jaccard similarity of at least `similarity`; exact.
+    """All pairs (a, b) of one group's texts whose word shingles have a Jaccard similarity of at least `similarity`; exact.
 
     Prefix filter: with shingles in one order, rarest first, two such texts share one of their first
     n - ceil(s n) + 1. So texts meet at their rarest shingles only; common ones, of templates and
@@ -51,7 +56,7 @@ def shingle_candidates(texts: DataFrame, words: int = SHINGLE_WORDS, similarity:
     toks = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     n = F.size("w")
     grams = F.when(n == 0, F.array(F.lit(""))).when(n < words, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))
-    sh = materialise(texts.select("id", toks.alias("w")).select("id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("s")), "shingles")
+    sh = materialise(texts.select("id", "grp", toks.alias("w")).select("id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64("grp", g))).alias("s")), "shingles")
     flat = sh.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
     counts = flat.groupBy("h").agg(F.count("*").alias("df"))
     ranked = flat.join(counts, "h").where("df > 1 or n = 1")
@@ -71,28 +76,29 @@ def shingle_candidates(texts: DataFrame, words: int = SHINGLE_WORDS, similarity:
     return found.join(t.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(t.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = SETTINGS.dedup_threshold, mode: str = "shingles") -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = SETTINGS.dedup_threshold, mode: str = "shingles", group_col: str | None = None) -> DataFrame:
     """Rows (a, b, score) of the distinct texts' pairs with an insertion/deletion ratio of at least `threshold`.
 
-    a and b are the smallest ids of their texts. mode `exact` compares all pairs that the bounds leave;
+    a and b are the smallest ids of their texts. With group_col only texts of one group are compared. mode `exact` compares all pairs that the bounds leave;
     `shingles` those with a five-word-shingle similarity of 0.8, for any size of input.
     """
-    texts = materialise(_distinct_texts(df, id_col, text_col), "texts")
+    texts = materialise(_distinct_texts(df, id_col, text_col, group_col), "texts")
     met = exact_candidates(texts, threshold) if mode == "exact" else shingle_candidates(texts)
     scored = met.withColumn("score", indel_udf()(F.col("ta"), F.col("tb"))).where(F.col("score") >= threshold)
     return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
-def duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = SETTINGS.dedup_threshold, mode: str = "shingles") -> DataFrame:
+def duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = SETTINGS.dedup_threshold, mode: str = "shingles", group_col: str | None = None) -> DataFrame:
     """One row per row of df: (id_col, class_id, links). class_id: the smallest id of all texts linked with its own;
-    links: other texts similar to its own. Copies of a text share its class; null is an empty text."""
-    pairs = materialise(similar_pairs(df, id_col, text_col, threshold, mode), "similar-pairs")
+    links: other texts similar to its own. Copies of a text share its class; null is an empty text.
+    With group_col no class reaches beyond a group."""
+    pairs = materialise(similar_pairs(df, id_col, text_col, threshold, mode, group_col), "similar-pairs")
     comp = components(pairs.select("a", "b"))
     links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    reps = _distinct_texts(df, id_col, text_col).select("text", F.col("id").alias("rep"))
+    reps = _distinct_texts(df, id_col, text_col, group_col).select("grp", "text", F.col("id").alias("rep"))
     reps = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(links, "rep", "left")
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = rows.join(reps.withColumn("h", F.xxhash64("text")), ["h", "text"])
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"), _group(group_col))
+    found = rows.join(reps.withColumn("h", F.xxhash64("text")), ["grp", "h", "text"])
     return found.select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
