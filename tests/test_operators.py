@@ -59,6 +59,30 @@ def test_classes_stay_within_a_group(spark, mode):
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7}
 
 
+def test_shingle_pairs_need_no_ratio(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(base)), (2, " ".join(base + [f"footerword{i}" for i in range(13)])), (3, "😊"), (4, "!!!"), (5, None)]
+    pairs = dedup.similar_pairs(spark.createDataFrame(texts, "id long, text string"), "id", "text", 0.9).collect()
+    assert [(r.a, r.b) for r in pairs] == [(1, 2)] and pairs[0].score < 0.9
+
+
+def test_exact_pairs_in_blocks_against_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    rng, texts = random.Random(5), []
+    for i in range(40):
+        t = "".join(rng.choices("abcdé 😊", k=rng.choice([1, 5, 30, 60])))
+        texts += [(t, rng.choice("pq"))] + [("".join(c for c in t if rng.random() > p) + "x" * rng.randrange(3), rng.choice("pq")) for p in (0.02, 0.05, 0.1)]
+    df = spark.createDataFrame([(i, p, t) for i, (t, p) in enumerate(texts)], "id long, p string, text string")
+    first = {}
+    for i, (t, p) in enumerate(texts):
+        first.setdefault((p, t), i)
+    exp = {(i, j): indel_ratio(t, u) for (p, t), i in first.items() for (q, u), j in first.items() if i < j and p == q and t and u and indel_ratio(t, u) >= 0.9}
+    got = [(r.a, r.b, r.score) for r in dedup.similar_pairs(df, "id", "text", 0.9, "exact", "p").collect()]
+    assert len(got) == len(exp) > 20 and {(a, b): x for a, b, x in got} == pytest.approx(exp)
+
+
 def test_pipeline_keeps_a_text_in_each_project(spark):
     text = "Le flacon fuit toujours et le parfum manque vraiment de tenue."
     df = spark.createDataFrame([(1, "a", text), (2, "b", text), (3, "b", text)], "ord long, project_id string, full_text string")

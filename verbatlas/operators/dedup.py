@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..config import SETTINGS
-from ..functions.similarity import indel_udf
+from ..functions.similarity import indel_ratio, indel_udf
 from ..session import materialise
 from .graph import components
 
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
+#: Texts of one group and length class that are compared with as many others in one task.
+BLOCK = 2_000
 
 
 def _group(group_col: str | None) -> Column:
@@ -25,25 +29,62 @@ def _distinct_texts(df: DataFrame, id_col: str, text_col: str, group_col: str |
     return t.groupBy("grp", "text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of one group's distinct texts that can reach the threshold, by two bounds that lose none.
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the characters, and of the pairs of neighbours, of each text, by bucket."""
+    one, two = np.zeros((len(texts), 64), np.int32), np.zeros((len(texts), 256), np.int32)
+    for i, t in enumerate(texts):
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        one[i] = np.bincount(c % 61, minlength=64)
+        two[i] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) % 251, minlength=256)
+    return one, two
+
+
+def exact_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b, score) of one group's distinct texts whose insertion/deletion ratio reaches the threshold, by bounds that lose none.
 
     Length: the shorter has at least t / (2 - t) of the longer's characters, so logarithmic length
-    classes of that ratio only meet themselves and the next. Characters: twice the common multiset of
-    characters must reach t times both lengths. For small inputs: its candidates grow with the square
-    of the texts of one length; shingle_candidates is for large ones.
+    classes of that ratio only meet themselves and the next. Characters: a ratio of t leaves at most
+    (1 - t) times both lengths of insertions and deletions; each changes one character of the texts'
+    bags and at most three of their pairs of neighbours. Bags are counted by bucket, which only brings
+    them nearer. Classes meet by blocks of BLOCK texts, so no task holds more than two blocks; the
+    work grows with the square of a group's texts of one length.
     """
-    ratio = threshold / (2 - threshold)
+    ratio, kind = threshold / (2 - threshold), texts.schema["id"].dataType.simpleString()
     size = F.length("text")
-    base = texts.where(size > 0).withColumn("n", size).withColumn("class", F.floor(F.log(size) / -F.log(F.lit(ratio)) + 1e-9))
-    chars = F.filter(F.split(F.col("text"), ""), lambda c: c != "")
-    bag = F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("k"), F.size(F.filter(chars, lambda x: x == c)).alias("v"))))
-    base = base.withColumn("bag", bag)
-    a = base.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("n").alias("na"), F.col("bag").alias("ba"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "grp")
-    b = base.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("n").alias("nb"), F.col("bag").alias("bb"), "class", "grp")
-    met = a.join(b, ["grp", "class"]).where(((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))) & (F.col("na") >= ratio * F.col("nb") - 1e-9))
-    common = F.aggregate(F.map_entries("ba"), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at("bb", e["key"]), F.lit(0))))
-    return met.where(2 * common >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "ta", "tb").distinct()
+    base = texts.where(size > 0).select("id", "grp", "text", F.floor(F.log(size) / -F.log(F.lit(ratio)) + 1e-9).alias("class"))
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    sizes = materialise(base.groupBy("grp", "class").agg(blocks.alias("blocks")), "length-classes")
+    block = F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int")
+    left = base.join(sizes, ["grp", "class"]).withColumn("i", block).drop("blocks")
+    # Each class as the longer side: of its own key, and of the key of the class before.
+    right = base.join(sizes, ["grp", "class"]).withColumn("j", block).drop("blocks").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    own = base.join(sizes, ["grp", "class"]).groupBy("grp", "class").agg(F.max("blocks").alias("nl"))
+    most = sizes.select("grp", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"), "blocks").groupBy("grp", "class").agg(F.max("blocks").alias("nr"))
+    left = left.join(most, ["grp", "class"]).select("grp", "class", "i", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "id", "text", F.lit(True).alias("left"))
+    right = right.join(own, ["grp", "class"]).select("grp", "class", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), "j", "id", "text", F.lit(False).alias("left"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf.text.str.len()
+        pdf = pdf.assign(n=n).sort_values("n")
+        x, y = pdf[pdf.left], pdf[~pdf.left]
+        out: list[tuple] = []
+        if len(x) and len(y):
+            tx, ty, ix, iy, nx, ny = x.text.tolist(), y.text.tolist(), x.id.tolist(), y.id.tolist(), x.n.to_numpy(), y.n.to_numpy()
+            (x1, x2), (y1, y2) = _bags(tx), _bags(ty)
+            low, high = np.searchsorted(ny, nx), np.searchsorted(ny, nx / ratio + 1e-9, "right")
+            for k in range(len(tx)):
+                at = np.arange(low[k], high[k])
+                room = (1 - threshold) * (nx[k] + ny[at]) + 1e-9
+                at, room = at[near := np.abs(y1[at] - x1[k]).sum(1) <= room], room[near]
+                at = at[np.abs(y2[at] - x2[k]).sum(1) <= 3 * room]
+                for m in at.tolist():
+                    if ny[m] > nx[k] or ix[k] < iy[m]:
+                        score = indel_ratio(tx[k], ty[m])
+                        if score >= threshold and ix[k] != iy[m]:
+                            out.append((min(ix[k], iy[m]), max(ix[k], iy[m]), score))
+        return pd.DataFrame(out, columns=["a", "b", "score"])
+
+    return left.unionByName(right).groupBy("grp", "class", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, score double")
 
 
 def shingle_candidates(texts: DataFrame, words: int = SHINGLE_WORDS, similarity: float = MIN_JACCARD) -> DataFrame:
@@ -77,14 +118,17 @@ def shingle_candidates(texts: DataFrame, words: int = SHINGLE_WORDS, similarity:
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = SETTINGS.dedup_threshold, mode: str = "shingles", group_col: str | None = None) -> DataFrame:
-    """Rows (a, b, score) of the distinct texts' pairs with an insertion/deletion ratio of at least `threshold`.
+    """Rows (a, b, score) of similar distinct texts; the score is their insertion/deletion ratio.
 
-    a and b are the smallest ids of their texts. With group_col only texts of one group are compared. mode `exact` compares all pairs that the bounds leave;
-    `shingles` those with a five-word-shingle similarity of 0.8, for any size of input.
+    a and b are the smallest ids of their texts. With group_col only texts of one group are compared.
+    mode `exact`: all pairs with a ratio of at least `threshold`. `shingles`, for any size of input: all
+    pairs with a five-word-shingle similarity of 0.8, whatever their ratio; texts without any word,
+    which have no shingles, by ratio.
     """
     texts = materialise(_distinct_texts(df, id_col, text_col, group_col), "texts")
-    met = exact_candidates(texts, threshold) if mode == "exact" else shingle_candidates(texts)
-    scored = met.withColumn("score", indel_udf()(F.col("ta"), F.col("tb"))).where(F.col("score") >= threshold)
+    if mode == "exact":
+        return exact_pairs(texts, threshold)
+    scored = shingle_candidates(texts).withColumn("score", indel_udf()(F.col("ta"), F.col("tb"))).where(F.col("ta").rlike(r"[\p{L}\p{N}]") | (F.col("score") >= threshold))
     return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 

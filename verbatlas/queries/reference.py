@@ -295,6 +295,17 @@ def dedup_preview(spark, d):
     return pairs.orderBy(F.desc("score"), "a", "b").limit(10).withColumn("score", F.round("score", 3))
 
 
+@query()
+def verbatim_ratio_pairs(spark, d):
+    """Pairs of one project's verbatims with an insertion/deletion ratio of 0.9, all of them."""
+    return dedup.similar_pairs(_v(spark, d), "ord", "full_text", mode="exact", group_col="project_id")
+
+
+@query()
+def verbatim_ratio_classes(spark, d):
+    return dedup.duplicate_classes(_v(spark, d), "ord", "full_text", mode="exact", group_col="project_id")
+
+
 # --- Sampling and chunks -------------------------------------------------------------------------------
 
 _COLUMNS = ("sentiment", "page_type", "category")
