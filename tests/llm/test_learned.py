@@ -151,6 +151,14 @@ def test_finds_and_placeholders(spark):
     assert personal.find_personal(df.limit(0), "ord", "full_text").count() == 0
 
 
+def test_a_long_gazetteer_loses_no_name(spark, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/project_verbatims.parquet").select("ord", "full_text")
+    found = lambda: sorted(map(tuple, personal.find_personal(df, "ord", "full_text").collect()))
+    whole = found()
+    monkeypatch.setattr(personal, "GAZETTEER_SIZE", 1)
+    assert personal.harvest_names(df, "full_text").count() > 1 and found() == whole
+
+
 def test_reliabilities_follow_the_votes():
     rng, counts = random.Random(1), {}
     for _ in range(4000):

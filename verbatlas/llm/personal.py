@@ -23,7 +23,7 @@ from ..session import materialise
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 LABELERS = ("form", "before", "after", "gazetteer", "shape", "decoy")
-#: A given name enters the gazetteer if so many texts introduce it; the most frequent are kept.
+#: A given name enters the gazetteer if so many texts introduce it; a gazetteer of up to so many names is broadcast, a longer one joined.
 GAZETTEER_TEXTS, GAZETTEER_SIZE = 2, 50_000
 
 # --- Fixed values: phrases and words of the languages -------------------------------------------------
@@ -271,8 +271,21 @@ def _features(votes: tuple[int, ...]) -> list[float]:
     return [1.0, *v, *(float(a > 0 and b > 0) for i, a in enumerate(v) for b in v[i + 1 :]), float(min(v) < 0)]
 
 
-def harvest_names(df: DataFrame, text_col: str) -> list[str]:
-    """Given names that texts introduce, most frequent first; counted over the whole corpus before the list is cut."""
+class _Asked(frozenset):
+    """A gazetteer that knows no name and keeps those that it is asked for."""
+
+    def __new__(cls) -> _Asked:
+        self = super().__new__(cls)
+        self.names = set()
+        return self
+
+    def __contains__(self, name: object) -> bool:
+        self.names.add(name)
+        return False
+
+
+def harvest_names(df: DataFrame, text_col: str) -> DataFrame:
+    """Rows (name): all given names that GAZETTEER_TEXTS texts introduce, counted over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +301,26 @@ def harvest_names(df: DataFrame, text_col: str) -> list[str]:
 
     src = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     counts = src.mapInArrow(run, "name string").groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= GAZETTEER_TEXTS)
-    return [r.name for r in counts.orderBy(F.desc("n"), "name").limit(GAZETTEER_SIZE).collect()]
+    return materialise(counts.select("name"), "given-names")
+
+
+def _known_names(src: DataFrame, names: DataFrame) -> DataFrame:
+    """src (id, text) with the names of each text's proposals that the gazetteer holds (null: none), by a shuffle of both."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                asked = _Asked()
+                candidates(text, asked)
+                at += [i] * len(asked.names)
+                found += asked.names
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["h", "name"])
+
+    # Texts of one hash may share their lists: a list holds nothing but names of the gazetteer.
+    keyed = src.withColumn("h", F.xxhash64("text"))
+    known = keyed.select("h", "text").mapInArrow(ask, "h long, name string").distinct().join(names, "name").groupBy("h").agg(F.collect_set("name").alias("known"))
+    return keyed.join(known, "h", "left").select("id", "text", "known")
 
 
 def find_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -300,14 +332,17 @@ def find_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    given = spark.sparkContext.broadcast(frozenset(harvest_names(df, text_col)))
+    names = harvest_names(df, text_col)
+    small = names.count() <= GAZETTEER_SIZE
+    given = spark.sparkContext.broadcast(frozenset(r.name for r in names.collect()) if small else frozenset())
+    src = src.withColumn("known", F.lit(None).cast("array<string>")) if small else _known_names(src, names)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
             at, kinds, starts, ends, votes = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, a, b, v in candidates(text, given.value):
+            for i, (text, known) in enumerate(zip(batch.column("text").to_pylist(), batch.column("known").to_pylist())):
+                for k, a, b, v in candidates(text, frozenset(known) if known else given.value):
                     at.append(i)
                     kinds.append(k)
                     starts.append(a)
