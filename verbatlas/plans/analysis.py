@@ -126,13 +126,14 @@ class Pipeline:
     analyzer: Analyzer = frequent_words
     options: CleaningOptions = field(default_factory=CleaningOptions)
     drop_duplicates: bool = True
+    dedup_mode: str = "shingles"  # or `exact`: the reference's ratio
     mode: str = "full"
 
     def run(self, verbatims: DataFrame) -> dict[str, DataFrame]:
         v = verbatims.where(F.length("full_text") > 0).select("ord", "project_id", clean(F.col("full_text"), self.options).alias("full_text"))
         v = materialise(v, "cleaned")
         if self.drop_duplicates:
-            v = materialise(v.join(dedup.keep_first(dedup.duplicate_classes(v, "ord", "full_text", group_col="project_id"), "ord"), "ord", "left_semi"), "kept")
+            v = materialise(v.join(dedup.keep_first(dedup.duplicate_classes(v, "ord", "full_text", mode=self.dedup_mode, group_col="project_id"), "ord"), "ord", "left_semi"), "kept")
         if self.mode == "rapid":
             v = v.join(sampling.random_sample(v, "ord", SETTINGS.sample_size_rapid), "ord", "left_semi")
         chunked = sampling.chunks(v, "ord", "project_id", SETTINGS.sample_size_rapid if self.mode == "rapid" else SETTINGS.chunk_size)
