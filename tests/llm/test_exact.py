@@ -223,3 +223,22 @@ def test_plans(spark):
     assert {(x.plan_id, x.target_no): (x.taken, x.gap) for x in report.collect()} == {(1, 1): (50, 0), (1, 2): (30, 0), (1, 3): (20, 0), (2, 1): (0, 3), (2, 2): (9, 0), (3, 1): (0, 10)}
     assert sorted(rows) == sorted(raking.raked_sample(v.repartition(7), plans, "ord")[0].collect())
     assert raking.plan_report(v.limit(0), plans).where("available > 0").count() == 0 and raking.plan_report(v, plans.limit(0)).count() == 0
+
+
+def test_overlapping_targets_share_their_rows(spark):
+    # All of y is positive: rows drawn for y count for pos too.
+    v = spark.createDataFrame([(i, "p", "pos" if i < 60 else "neg", "forum", "y" if i < 40 else "z") for i in range(200)], "ord long, project_id string, sentiment string, page_type string, category string")
+    plans = spark.createDataFrame([(1, 1, None, 100, "pos", None, None, 0.5, 5), (1, 2, None, 100, "neg", None, None, 0.5, 5), (1, 3, None, 100, None, None, "y", 0.4, 38), (1, 4, None, 100, None, None, "z", 0.6, 5)], PLAN)
+    sample, report = raking.raked_sample(v, plans, "ord")
+    rows = sample.collect()
+    assert len({r.ord for r in rows}) == len(rows) == 100
+    assert {r.target_no: (r.taken, r.gap) for r in report.collect()} == {1: (50, 0), 2: (50, 0), 3: (40, 0), 4: (60, 0)}
+
+
+def test_repair_moves_rows_along_targets():
+    # a target takes from a group whose other target has none to spare, which takes elsewhere in turn
+    meets = [{0, 2}, {0, 3}, {1, 2}, {1, 3}]
+    x = raking.repair([0, 5, 5, 0], [5, 5, 5, 5], meets, [7, 3, 5, 5], 10, [0.25] * 4)
+    assert sum(x) == 10 and (x[0] + x[1], x[2] + x[3], x[0] + x[2], x[1] + x[3]) == (7, 3, 5, 5)
+    assert raking.repair([10, 0], [10, 4], [{0}, {1}], [0, 6], 10, [0.9, 0.1], beyond=True) == [6, 4]
+    assert raking.repair([10, 0], [10, 4], [{0}, {1}], [10, 3], 10, [0.9, 0.1], beyond=True) == [10, 3]

@@ -2,9 +2,10 @@
 
 The rows of a plan are counted by cell (the combination of the fields that its targets name). On the
 cells, which are as few as the categories, weights are raked by iterative proportional fitting until
-every target's weighted share is met as nearly as can be. Rows are drawn without replacement by
-weighted exponential keys (the smallest -ln(u) / weight), then minimums are repaired: a target short
-of its minimum takes its next best rows, replacing the worst rows of targets with rows to spare.
+every target's weighted share is met as nearly as can be. Cells that meet the same targets form a
+group; each takes the raked number of rows, then minimums, and after them shares, are repaired: a short
+target takes more rows of any group that it meets, replacing rows of groups with rows to spare. A
+group's rows are drawn without replacement by weighted exponential keys (the smallest -ln(u) / weight).
 """
 
 from __future__ import annotations
@@ -92,6 +93,66 @@ def rake(counts: list[int], members: list[list[int]], shares: list[float], round
     return weights
 
 
+def _path(k: int, x: list[int], room: list[int], meets: list[set[int]], total: list[int], goal: list[int], free: bool, weight: list[float]) -> list[tuple[int, int | None]]:
+    """Moves (group that takes a row, group that gives one or None) after which target k has a row more and no other falls short; empty if there are none.
+
+    A row that a target with none to spare gives is made up for by the next move.
+    """
+    seen, queue = {k}, [(k, [])]
+    for m, moves in queue:
+        take = sorted((g for g in range(len(x)) if m in meets[g] and x[g] < room[g]), key=lambda g: (-sum(total[t] < goal[t] for t in meets[g]), -weight[g], g))
+        if take and free:
+            return [*moves, (take[0], None)]
+        for g in take:
+            for h in sorted((h for h in range(len(x)) if h != g and x[h] > 0 and m not in meets[h]), key=lambda h: (weight[h], h)):
+                short = [t for t in meets[h] - meets[g] if total[t] <= goal[t]]
+                if not short:
+                    return [*moves, (g, h)]
+                if len(short) == 1 and short[0] not in seen:
+                    seen.add(short[0])
+                    queue.append((short[0], [*moves, (g, h)]))
+    return []
+
+
+def repair(x: list[int], room: list[int], meets: list[set[int]], goal: list[int], size: int, weight: list[float], beyond: bool = False) -> list[int]:
+    """Rows per group, changed until each target has its goal or no exchange of rows helps it.
+
+    meets[g]: the targets that group g meets; room[g]: its rows. A row counts for every target that it
+    meets. The sum stays within size; `beyond` lets a target exceed it that nothing else helps.
+    """
+    x = list(x)
+    count = lambda x: [sum(n for n, m in zip(x, meets) if k in m) for k in range(len(goal))]
+    for k in range(len(goal)):
+        while (total := count(x))[k] < goal[k]:
+            moves = _path(k, x, room, meets, total, goal, sum(x) < size, weight)
+            if not moves and beyond:
+                moves = [(g, None) for g in range(len(x)) if k in meets[g] and x[g] < room[g]][:1]
+                size = max(size, sum(x) + goal[k] - total[k])
+            step, done = goal[k] - total[k], False
+            while moves and step and not done:
+                y = list(x)
+                for g, h in moves:
+                    y[g] += step
+                    if h is not None:
+                        y[h] -= step
+                after = count(y)
+                done = all(0 <= n <= r for n, r in zip(y, room)) and sum(y) <= max(size, sum(x)) and after[k] > total[k] and all(b >= min(a, c) for a, b, c in zip(total, after, goal))
+                x, step = (y, step) if done else (x, step // 2)
+            if not done:
+                break
+    return x
+
+
+def allocate(room: list[int], meets: list[set[int]], weight: list[float], needed: list[int], least: list[int], size: int) -> list[int]:
+    """Rows to draw of each group: their raked part of the sample, then the targets' minimums (beyond the size if they must) and needs repaired."""
+    x = [min(r, math.floor(size * w)) for r, w in zip(room, weight)]
+    for g in sorted(range(len(x)), key=lambda g: weight[g]):  # a target takes up to its share
+        over = [sum(n for n, m in zip(x, meets) if k in m) - needed[k] for k in meets[g]]
+        x[g] -= max(0, min([x[g], *over]))
+    x = repair(x, room, meets, least, size, weight, beyond=True)
+    return repair(x, room, meets, needed, size, weight)
+
+
 def plan_report(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """Per target: rows needed, rows there are, and whether it can be met. All rows count, each once.
 
@@ -110,15 +171,15 @@ def plan_report(rows: DataFrame, plans: DataFrame) -> DataFrame:
 def raked_sample(rows: DataFrame, plans: DataFrame, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The samples, rows (plan_id, id_col, target_no), and the report, per target (plan_id, target_no, needed, available, taken, gap).
 
-    A target's rows are drawn by exponential keys with raked weights. It takes up to its share of the
-    sample; what no target can fill is not filled by other categories but reported as gap. A row is
-    drawn at most once per plan; where targets overlap, for the first that needs it most. Rows without
-    an id are left out.
+    Rows are drawn by exponential keys with raked weights. A target takes up to its share of the sample
+    and at least its minimum; a row is drawn at most once per plan and counts for all targets that it
+    meets, which may take more than the shares of overlapping ones; target_no is the scarcest. What no
+    target can fill is not filled by other categories but reported as gap. Rows without an id are left out.
     """
     wanted = _targets(plans)
-    found = cells(rows, wanted).collect()
+    found = _scoped(rows, wanted, F.col(id_col).alias("_id")).groupBy("project_id", *FIELDS).agg(F.count("*").alias("n"), F.count("_id").alias("ids")).collect()
     spark = rows.sparkSession
-    quota_rows, cell_rows = [], []
+    quota_rows, cell_rows, group_rows = [], [], []
     for plan, group in itertools.groupby(sorted(wanted, key=lambda t: (t.plan_id, t.target_no)), key=lambda t: t.plan_id):
         targets = list(group)
         inside = [c for c in found if any(t.project_id is None or c.project_id == t.project_id for t in targets)]
@@ -126,28 +187,31 @@ def raked_sample(rows: DataFrame, plans: DataFrame, id_col: str, seed: int = 42)
         weights = rake([c.n for c in inside], members, [t.share or 0.0 for t in targets])
         for k, t in enumerate(targets):
             quota_rows.append((plan, t.target_no, needed_rows(t.share, t.sample_size, t.min_rows), t.min_rows or 0, t.sample_size or 0, sum(inside[i].n for i in members[k])))
-        for i, c in enumerate(inside):
-            own = [k for k, m in enumerate(members) if i in m]
-            if own:  # the scarcest target that the cell serves
-                k = min(own, key=lambda k: (sum(inside[j].n for j in members[k]) - quota_rows[len(quota_rows) - len(targets) + k][2], k))
-                cell_rows.append((plan, targets[k].target_no, c.project_id, *(c[f] for f in FIELDS), float(weights[i]) or 1e-12))
+        mass = sum(w * c.n for w, c in zip(weights, inside)) or 1.0
+        own = [frozenset(k for k, m in enumerate(members) if i in m) for i in range(len(inside))]
+        groups = sorted({o for o in own if o}, key=sorted)
+        of = [[i for i, o in enumerate(own) if o == g] for g in groups]
+        quota = quota_rows[len(quota_rows) - len(targets) :]
+        room = [sum(inside[i].ids for i in m) for m in of]
+        take = allocate(room, [set(g) for g in groups], [sum(weights[i] * inside[i].n for i in m) / mass for m in of], [q[2] for q in quota], [q[3] for q in quota], max(q[4] for q in quota))
+        for g, (group, m, n) in enumerate(zip(groups, of, take)):
+            k = min(group, key=lambda k: (quota[k][5] - quota[k][2], k))  # the scarcest target that the group serves
+            group_rows += [(plan, g, targets[t].target_no) for t in sorted(group)]
+            cell_rows += [(plan, g, n, targets[k].target_no, inside[i].project_id, *(inside[i][f] for f in FIELDS), float(weights[i]) or 1e-12) for i in m]
     quotas = spark.createDataFrame(quota_rows, "plan_id int, target_no int, needed long, min_rows long, sample_size long, available long")
-    weighted = spark.createDataFrame(cell_rows, "plan_id int, target_no int, _project string, sentiment string, page_type string, category string, weight double")
+    served = spark.createDataFrame(group_rows, "plan_id int, _group int, target_no int")
+    weighted = spark.createDataFrame(cell_rows, "plan_id int, _group int, take long, target_no int, _project string, sentiment string, page_type string, category string, weight double")
     src = _scoped(rows.where(F.col(id_col).isNotNull()), wanted, F.col(id_col).alias("_id")).withColumnRenamed("project_id", "_scope")
     on = [src[f].eqNullSafe(weighted[f]) for f in FIELDS] + [src["_scope"].eqNullSafe(weighted["_project"])]
-    drawn = src.join(F.broadcast(weighted), on).select("_id", "plan_id", "target_no", "weight")  # plans x category combinations
+    drawn = src.join(F.broadcast(weighted), on).select("_id", "plan_id", "_group", "take", "target_no", "weight")  # plans x category combinations
     drawn = drawn.withColumn("key", -F.log((F.pmod(F.xxhash64(F.lit(seed), "plan_id", "_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("weight"))
-    drawn = drawn.join(F.broadcast(quotas), ["plan_id", "target_no"])
-    # The best rows of each salt first, then of the target: no task sorts a whole hot category.
+    # The best rows of each salt first, then of the group: no task sorts a whole hot category.
     salt = F.pmod(F.xxhash64("_id"), F.lit(64))
-    part = Window.partitionBy("plan_id", "target_no", "salt").orderBy("key", "_id")
-    whole = Window.partitionBy("plan_id", "target_no").orderBy("key", "_id")
-    best = drawn.withColumn("salt", salt).withColumn("rank", F.row_number().over(part)).where("rank <= needed")
-    taken = best.withColumn("rank", F.row_number().over(whole)).where("rank <= needed")
-    # Minimums may push a plan over its size; the worst rows beyond a target's minimum give way.
-    spare = Window.partitionBy("plan_id").orderBy(F.col("rank") > F.col("min_rows"), F.col("rank") / F.col("needed"), "key", "_id")
-    sample = taken.withColumn("place", F.row_number().over(spare)).where((F.col("place") <= F.col("sample_size")) | (F.col("rank") <= F.col("min_rows")))
-    sample = sample.select("plan_id", F.col("_id").alias(id_col), "target_no")
-    counts = sample.groupBy("plan_id", "target_no").agg(F.count("*").alias("taken"))
+    part = Window.partitionBy("plan_id", "_group", "salt").orderBy("key", "_id")
+    whole = Window.partitionBy("plan_id", "_group").orderBy("key", "_id")
+    best = drawn.withColumn("salt", salt).withColumn("rank", F.row_number().over(part)).where("rank <= take")
+    taken = best.withColumn("rank", F.row_number().over(whole)).where("rank <= take")
+    sample = taken.select("plan_id", F.col("_id").alias(id_col), "target_no")
+    counts = taken.groupBy("plan_id", "_group").agg(F.count("*").alias("n")).join(F.broadcast(served), ["plan_id", "_group"]).groupBy("plan_id", "target_no").agg(F.sum("n").alias("taken"))
     report = quotas.join(counts, ["plan_id", "target_no"], "left").select("plan_id", "target_no", "needed", "available", F.coalesce("taken", F.lit(0)).alias("taken"))
     return sample, report.withColumn("gap", F.greatest(F.lit(0).cast("long"), F.col("needed") - F.col("taken")))
