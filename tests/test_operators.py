@@ -128,6 +128,15 @@ def test_merging(spark):
     assert m["r", 2].label == "odeur forte" and m["s", 0].method == "single"
 
 
+def test_long_labels_merge(spark):
+    long = "délai de livraison du colis chez le transporteur partenaire pendant les fêtes"
+    t = spark.createDataFrame([("r", "t1", 0, long, "a", []), ("r", "t2", 1, long + "s", "a", []), ("r", "t3", 2, "prix", None, [])], "run_id string, topic_id string, topic_ord int, canonical_label string, canonical_subtopic string, keywords array<string>")
+    labels = merging.topic_labels(t)
+    none = labels.select("run_id", "topic_id", F.lit("").alias("pivots"))
+    assert [(r.a, r.b, r.score) for r in merging.merge_pairs(labels, none).collect()] == [(0, 1, pytest.approx(indel_ratio(long + " | a", long + "s | a")))]
+    assert [r.score for r in merging.near_labels(t).collect()] == [pytest.approx(indel_ratio(long, long + "s"))]
+
+
 def test_cascade(spark):
     p = spark.createDataFrame([("a",), ("b",)], ["id"])
     r = spark.createDataFrame([("r1", "a"), ("r2", "b")], ["id", "project_id"])

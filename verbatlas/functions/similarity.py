@@ -73,6 +73,12 @@ def indel_ratio_short(a: Column, b: Column, masks: Column | None = None) -> Colu
     return F.when(both_empty, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(F.length(a) <= SHORT, ratio)
 
 
+def indel_ratio_any(a: Column, b: Column, masks: Column | None = None) -> Column:
+    """The ratio for texts of any length: by built-in functions where a is short, else in Arrow batches."""
+    long = F.length(a) > SHORT
+    return F.coalesce(indel_ratio_short(a, b, masks), indel_udf()(F.when(long, a), F.when(long, b)))
+
+
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..config import NEGATION_PATTERNS, SETTINGS
-from ..functions.similarity import char_masks, indel_ratio_short, jaccard
+from ..functions.similarity import char_masks, indel_ratio_any, jaccard
 from .graph import components
 
 
@@ -44,11 +44,11 @@ def merge_pairs(labels: DataFrame, pivots: DataFrame, ratio: float = SETTINGS.fu
     """Pairs (run_id, a, b, score) of one run's topics to merge: labels nearly equal, or sharing words and pivots.
 
     a and b are positions. A run has a few hundred topics at most, so its pairs are few. Labels
-    are compared by built-in functions up to 62 characters; longer ones only by words.
+    are compared by built-in functions up to 62 characters, longer ones in Arrow batches.
     """
     p = labels.join(pivots, ["run_id", "topic_id"], "left").select("run_id", "pos", "label", "pivots", char_masks(F.col("label")).alias("masks"))
     both = p.withColumnsRenamed({"pos": "a", "label": "la", "pivots": "pa"}).join(p.withColumnsRenamed({"pos": "b", "label": "lb", "pivots": "pb"}).drop("masks"), "run_id").where("a < b")
-    score, shared = F.round(F.coalesce(indel_ratio_short(F.col("la"), F.col("lb"), F.col("masks")), F.lit(0.0)), 9), jaccard(F.col("la"), F.col("lb"))
+    score, shared = F.round(F.coalesce(indel_ratio_any(F.col("la"), F.col("lb"), F.col("masks")), F.lit(0.0)), 9), jaccard(F.col("la"), F.col("lb"))
     near = (score >= ratio) | ((shared >= words) & (F.length("pa") > 0) & (F.col("pa") == F.col("pb")))
     return both.withColumn("score", score).where(near).select("run_id", "a", "b", "score")
 
@@ -103,5 +103,5 @@ def near_labels(run_topics: DataFrame, above: float = 0.85) -> DataFrame:
     l = l.withColumn("class", F.floor(F.log("n") / -F.log(F.lit(ratio)) + 1e-9))
     a = l.select(F.col("label").alias("x"), "masks", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("own"))
     met = a.join(l.select(F.col("label").alias("y"), "class"), "class").where((F.col("class") > F.col("own")) | (F.col("x") < F.col("y")))
-    score = F.round(indel_ratio_short(F.col("x"), F.col("y"), F.col("masks")), 9)
+    score = F.round(indel_ratio_any(F.col("x"), F.col("y"), F.col("masks")), 9)
     return met.withColumn("score", score).where(F.col("score") > above).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ENTITY_TYPES, MERGE_METHODS, NEGATION_PATTERNS, RUN_MODES, RUN_STATUSES, SOURCE_TYPES
 from ..functions.matching import compiled_keywords, default_negations, highlight, matched_terms
-from ..functions.similarity import char_masks, indel_ratio_short, jaccard
+from ..functions.similarity import char_masks, indel_ratio_any, jaccard
 from ..functions.text import BLANKS, EMOJI, LETTERS, LIGATURES, PLAIN, PUNCTUATION, URLS, CleaningOptions, clean, cleaning_examples, cleaning_stats, repair_double_encoding, squeeze_punctuation, squeeze_spaces, transliterate
 from ..io import spread, table
 from ..operators import dedup, importing, merging, relational, sampling, topics
@@ -417,7 +417,7 @@ def label_jaccard(spark, d):
 def indel_pairs_short(spark, d):
     l = _labels(spark, d)[0].select("run_id", "pos", "label", char_masks(F.col("label")).alias("masks"))
     both = l.withColumnsRenamed({"pos": "a", "label": "la"}).join(l.drop("masks").withColumnsRenamed({"pos": "b", "label": "lb"}), "run_id").where("a < b")
-    return both.select("run_id", "a", "b", F.round(F.coalesce(indel_ratio_short(F.col("la"), F.col("lb"), F.col("masks")), F.lit(0.0)), 9).alias("score"))
+    return both.select("run_id", "a", "b", F.round(F.coalesce(indel_ratio_any(F.col("la"), F.col("lb"), F.col("masks")), F.lit(0.0)), 9).alias("score"))
 
 
 @query(_PAIRS + "SELECT run_id, a, b, score FROM pairs")
