@@ -98,3 +98,27 @@ def test_random_records_round_trip(spark):
         records.append(";".join('"' + x.replace('"', '""') + '"' for x in f))
     got = load(spark, records)
     assert [got[i].full_text for i in range(2, 202)] == [f[1] for f in fields]
+
+
+def test_the_reader_decides(monkeypatch):
+    head = {"delimiter": ";", "header": "id;t", "text_column": "t", "date_column": None, "sentiment_column": None, "date_format": None}
+    records = ["1;a", "1;b;c", '1;"open', "1;d", "1", '1;"x\n2;y"', '1;q"q']
+    reason, detail, read = rejects._one_block(head, records)
+    assert reason == [None, "column_count", "broken_quote", None, "column_count", None, "broken_quote"]
+    assert detail == [None, "TOO MANY COLUMNS", "UNQUOTED VALUE", None, "MISSING COLUMNS", None, rejects.LENIENT] and sorted(read.column("_k").to_pylist()) == [0, 3, 5, 6]
+    whole = rejects._read
+    monkeypatch.setattr(rejects, "_read", lambda *a: ({}, whole(*a)[1].slice(0, 0)))
+    assert rejects._one_block(head, records)[0] == ["broken_quote"] * len(records)
+
+
+def test_reader_against_the_exact_rule():
+    head = {"delimiter": ";", "header": "id;t", "text_column": "t", "date_column": None, "sentiment_column": None, "date_format": None}
+    rng = random.Random(11)
+    for _ in range(30):
+        records = ["".join(rng.choices('a;"\n\r é', k=rng.randrange(0, 10))) if rng.random() < 0.6 else '1;"a ""b""\nc"' for _ in range(50)]
+        reason, _, read = rejects._one_block(head, records)
+        rows = dict(zip(read.column("_k").to_pylist(), read.column("reason").to_pylist()))
+        for k, r in enumerate(records):
+            fields = rejects.split_record(r, ";")
+            exact = "broken_quote" if fields is None else "column_count" if len(fields) != 2 else "empty_text" if not fields[1].strip() else None
+            assert (reason[k] or rows[k]) == exact, (r, records[k - 1])
