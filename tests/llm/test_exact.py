@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,31 @@ def test_needed_rows():
     assert raking.needed_rows(0.05, 10, 2) == 2 and raking.needed_rows(0.25, 10, 1) == 3 and raking.needed_rows(0.15, 30, None) == 5 and raking.needed_rows(None, None, 0) == 0
 
 
+v_plans = "plan_id int, target_no int, project_id string, sample_size long, sentiment string, page_type string, category string, share double, min_rows long"
+
+
+def test_key_bounds_enclose_the_sample():
+    rng = np.random.default_rng(2)
+    counts, weights = [50_000, 20_000, 10], [1.0, 0.1, 1e-12]
+    keys = np.sort(np.concatenate([rng.exponential(1 / w, n) for n, w in zip(counts, weights)]))
+    for take in (1, 100, 20_000, 60_000, 70_009):
+        low, high = raking.key_bounds(counts, weights, take)
+        below, within = np.searchsorted(keys, [low, high])
+        assert below <= take <= within and (high == np.inf or within - below < 40 * np.sqrt(take) + 300)
+    assert raking.key_bounds(counts, weights, 70_010) == (np.inf, np.inf)
+
+
+def test_large_samples_are_the_smallest_keys(spark, monkeypatch):
+    v = spark.range(20_000).selectExpr("id ord", "'p' project_id", "if(id % 3 = 0, 'negative', 'positive') sentiment", "cast(null as string) page_type", "if(id % 5 = 0, 'a', 'b') category")
+    plans = spark.createDataFrame([(1, 1, None, 8_000, "negative", None, None, 0.5, 0), (1, 2, None, 8_000, "positive", None, None, 0.5, 0)], v_plans)
+    sample, report = raking.raked_sample(v, plans, "ord")
+    assert [(r.taken, r.gap) for r in report.orderBy("target_no").collect()] == [(4000, 0)] * 2
+    monkeypatch.setattr(raking, "key_bounds", lambda *a: (0.0, float("inf")))  # all rows ranked
+    assert sorted(sample.collect()) == sorted(raking.raked_sample(v, plans, "ord")[0].collect())
+    monkeypatch.setattr(raking, "key_bounds", lambda *a: (5.0, 6.0))  # wrong bounds are noticed
+    assert sorted(sample.collect()) == sorted(raking.raked_sample(v, plans, "ord")[0].collect())
+
+
 def test_raking_meets_margins():
     counts = [40, 10, 30, 20]  # cells of two fields with two values each
     w = raking.rake(counts, [[0, 1], [2, 3], [0, 2], [1, 3]], [0.3, 0.7, 0.6, 0.4])

@@ -56,8 +56,8 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    report = raking.plan_report(table(spark, d, "project_verbatims"), table(spark, d, "sample_targets"))
-    return report.where(~F.col("met")).select("plan_id", "target_no")
+    """Targets that the drawn sample leaves short as there are not enough rows for them."""
+    return p7_report(spark, d).where("gap > 0 AND available < needed").select("plan_id", "target_no")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:

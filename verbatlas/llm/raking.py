@@ -6,6 +6,9 @@ every target's weighted share is met as nearly as can be. Cells that meet the sa
 group; each takes the raked number of rows, then minimums, and after them shares, are repaired: a short
 target takes more rows of any group that it meets, replacing rows of groups with rows to spare. A
 group's rows are drawn without replacement by weighted exponential keys (the smallest -ln(u) / weight).
+How keys are spread follows from the cells' counts and weights, so bounds are known below which fewer
+rows than wanted lie, and below which more do: rows under the first are taken where they stand, and
+only those between the bounds, about as many as the root of the sample, are ranked.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql.window import Window
 FIELDS = ("sentiment", "page_type", "category")
 UNKNOWN = "unknown"
 ROUNDS = 200
+#: Rows of cells that are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def needed_rows(share: float | None, size: int | None, least: int | None) -> int:
@@ -168,6 +173,25 @@ def plan_report(rows: DataFrame, plans: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "plan_id int, target_no int, needed long, available long, met boolean")
 
 
+def key_bounds(counts: list[int], weights: list[float], take: int) -> tuple[float, float]:
+    """Keys below which surely fewer, and surely more, than `take` of the cells' rows lie: eight deviations off what is expected."""
+    total, slack = sum(counts), 8 * math.sqrt(take) + 64
+
+    def key_of(rows: float) -> float:
+        low, high = 0.0, 1.0
+        expected = lambda t: sum(-n * math.expm1(-w * t) for n, w in zip(counts, weights))
+        while expected(high) < rows:
+            high *= 2
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if expected(middle) < rows else (low, middle)
+        return high
+
+    if take >= total:
+        return math.inf, math.inf
+    return key_of(take - slack) if take > slack else 0.0, key_of(take + slack) if take + slack < 0.999 * total else math.inf
+
+
 def raked_sample(rows: DataFrame, plans: DataFrame, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The samples, rows (plan_id, id_col, target_no), and the report, per target (plan_id, target_no, needed, available, taken, gap).
 
@@ -197,21 +221,35 @@ def raked_sample(rows: DataFrame, plans: DataFrame, id_col: str, seed: int = 42)
         for g, (group, m, n) in enumerate(zip(groups, of, take)):
             k = min(group, key=lambda k: (quota[k][5] - quota[k][2], k))  # the scarcest target that the group serves
             group_rows += [(plan, g, targets[t].target_no) for t in sorted(group)]
-            cell_rows += [(plan, g, n, targets[k].target_no, inside[i].project_id, *(inside[i][f] for f in FIELDS), float(weights[i]) or 1e-12) for i in m]
+            weight = [float(weights[i]) or 1e-12 for i in m]
+            low, high = key_bounds([inside[i].ids for i in m], weight, n)
+            cell_rows += [[plan, g, n, targets[k].target_no, inside[i].project_id, *(inside[i][f] for f in FIELDS), w, low, high] for i, w in zip(m, weight)]
     quotas = spark.createDataFrame(quota_rows, "plan_id int, target_no int, needed long, min_rows long, sample_size long, available long")
     served = spark.createDataFrame(group_rows, "plan_id int, _group int, target_no int")
-    weighted = spark.createDataFrame(cell_rows, "plan_id int, _group int, take long, target_no int, _project string, sentiment string, page_type string, category string, weight double")
     src = _scoped(rows.where(F.col(id_col).isNotNull()), wanted, F.col(id_col).alias("_id")).withColumnRenamed("project_id", "_scope")
-    on = [src[f].eqNullSafe(weighted[f]) for f in FIELDS] + [src["_scope"].eqNullSafe(weighted["_project"])]
-    drawn = src.join(F.broadcast(weighted), on).select("_id", "plan_id", "_group", "take", "target_no", "weight")  # plans x category combinations
-    drawn = drawn.withColumn("key", -F.log((F.pmod(F.xxhash64(F.lit(seed), "plan_id", "_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("weight"))
-    # The best rows of each salt first, then of the group: no task sorts a whole hot category.
-    salt = F.pmod(F.xxhash64("_id"), F.lit(64))
-    part = Window.partitionBy("plan_id", "_group", "salt").orderBy("key", "_id")
-    whole = Window.partitionBy("plan_id", "_group").orderBy("key", "_id")
-    best = drawn.withColumn("salt", salt).withColumn("rank", F.row_number().over(part)).where("rank <= take")
-    taken = best.withColumn("rank", F.row_number().over(whole)).where("rank <= take")
+    small = F.broadcast if len(cell_rows) <= BROADCAST_CELLS else lambda df: df  # plans x category combinations
+
+    def drawn(cells: list) -> DataFrame:
+        kind = "plan_id int, _group int, take long, target_no int, _project string, sentiment string, page_type string, category string, weight double, low double, high double"
+        weighted = spark.createDataFrame(cells, kind)
+        on = [src[f].eqNullSafe(weighted[f]) for f in FIELDS] + [src["_scope"].eqNullSafe(weighted["_project"])]
+        keyed = src.join(small(weighted), on).select("_id", "plan_id", "_group", "take", "target_no", "weight", "low", "high").where("take > 0")
+        return keyed.withColumn("key", -F.log((F.pmod(F.xxhash64(F.lit(seed), "plan_id", "_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("weight"))
+
+    below = drawn(cell_rows).groupBy("plan_id", "_group").agg(F.count_if(F.col("key") < F.col("low")).alias("sure"), F.count_if(F.col("key") < F.col("high")).alias("enough"))
+    sure = {(r.plan_id, r["_group"]): (r.sure, r.enough) for r in below.collect()}
+    for c in cell_rows:  # bounds that chance has proved wrong are given up: all of the group's rows are ranked
+        under, within = sure.get((c[0], c[1]), (0, 0))
+        if c[2] < math.inf and not (under <= c[2] <= within or under == within <= c[2]):
+            c[-2:] = 0.0, math.inf
+    counted = spark.createDataFrame([(*k, under) for k, (under, _) in sure.items()], "plan_id int, _group int, sure long")
+    keyed = drawn(cell_rows)
+    taken = keyed.where(F.col("key") < F.col("low")).select("plan_id", "_group", "_id", "target_no")
+    band = keyed.where((F.col("key") >= F.col("low")) & (F.col("key") < F.col("high"))).join(small(counted), ["plan_id", "_group"])
+    left = F.when(F.col("low") > 0, F.col("take") - F.col("sure")).otherwise(F.col("take"))
+    best = band.withColumn("rank", F.row_number().over(Window.partitionBy("plan_id", "_group").orderBy("key", "_id"))).where(F.col("rank") <= left)
+    taken = taken.unionByName(best.select("plan_id", "_group", "_id", "target_no"))
     sample = taken.select("plan_id", F.col("_id").alias(id_col), "target_no")
-    counts = taken.groupBy("plan_id", "_group").agg(F.count("*").alias("n")).join(F.broadcast(served), ["plan_id", "_group"]).groupBy("plan_id", "target_no").agg(F.sum("n").alias("taken"))
+    counts = taken.groupBy("plan_id", "_group").agg(F.count("*").alias("n")).join(small(served), ["plan_id", "_group"]).groupBy("plan_id", "target_no").agg(F.sum("n").alias("taken"))
     report = quotas.join(counts, ["plan_id", "target_no"], "left").select("plan_id", "target_no", "needed", "available", F.coalesce("taken", F.lit(0)).alias("taken"))
     return sample, report.withColumn("gap", F.greatest(F.lit(0).cast("long"), F.col("needed") - F.col("taken")))
