@@ -81,12 +81,32 @@ def test_copies_with_a_hot_group_against_brute_force(spark):
     assert sorted((r["first"], r.id, r.n) for r in format_duplicates.copies(df, "ord", "full_text").collect()) == exp
 
 
-def test_filter_never_loses_a_repeat(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "MAX_LOG2", 17)  # far too small: everything may pass, nothing may be lost
-    keys = spark.range(40_000).select(F.xxhash64(F.when(F.col("id") % 4 == 0, F.col("id") % 2000).otherwise(F.col("id"))).alias("h")).repartition(5)
-    passing = repeats.build(keys, 40_000)
-    again = keys.groupBy("h").count().where("count > 1").toPandas().h.to_numpy()
-    assert len(again) > 400 and passing.maybe(again).all()
+@pytest.mark.parametrize("keys, part", [(40_000, 1_000_000), (40, 1_000_000), (40_000, 300)])  # as many as there are; far too few; hot ranges
+def test_filter_never_loses_a_repeat(spark, monkeypatch, keys, part):
+    monkeypatch.setattr(repeats, "PART_ROWS", part)
+    key = F.when(F.col("id") % 4 == 0, F.col("id") % 2000).when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))
+    rows = spark.range(40_000).select(F.xxhash64(key).alias("h"), "id").repartition(5)
+    passed = repeats.possible(rows, keys).toPandas()
+    again = rows.toPandas().groupby("h").filter(lambda g: len(g) > 1)
+    assert len(again) == 20_000 and not passed.id.duplicated().any() and set(again.id) <= set(passed.id)
+    assert keys < 1000 or len(passed) - len(again) < 0.02 * (40_000 - len(again))
+    assert repeats.possible(rows.limit(0), 0).count() == 0
+
+
+@pytest.mark.parametrize("total", [10**6, 10**9, 10**12])
+def test_few_single_keys_pass_whatever_their_number(total):
+    layout = repeats.Layout.of(total)
+    n = min(total >> layout.ranges, 1_000_000)  # the keys of one range, in two reports
+    assert n >= total >> layout.ranges and layout.bits <= repeats.RANGE_LOG2
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << (64 - layout.ranges), n, dtype=np.int64)
+    reports = []
+    for part in (h[::2], np.append(h[1::2], h[:100])):
+        places, seen = np.unique(np.concatenate(layout.places(part)), return_counts=True)
+        reports.append((repeats._pack(places[seen == 1]), repeats._pack(places[seen > 1])))
+    bits = layout.merge(reports)
+    passed = layout.maybe(h, bits)
+    assert passed[:100].all() and passed[100:].mean() < 0.02
 
 
 # --- 10: shared spans ----------------------------------------------------------------------------------

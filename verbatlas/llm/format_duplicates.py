@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import attach_group
@@ -32,9 +30,21 @@ def field_key(text: Column) -> Column:
     return F.when(text.rlike(_BREAK) & whole, F.concat(F.lit("\u0001"), F.array_join(F.sort_array(F.transform(pieces, canonical)), "\u0001")))
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    src = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("plain"), field_key(F.col(text_col)).alias("fields"))
-    return src.where(F.col("id").isNotNull()).withColumn("case", F.length(F.regexp_replace("plain", r"[^\p{L}\p{N}]", "")) >= MIN_SIGNS)
+    """Rows (uid, id, raw, plain) of the cases: the key of a text's fields or plain form, and for records of fields that of their plain form.
+
+    Keys are 16 bytes, of which two of a trillion texts would agree by chance once in 10^14 times; texts go no further.
+    Texts that are no cases get no key where they are read, so that canonical forms are made once.
+    """
+    plain, fields = canonical(F.col(text_col)), field_key(F.col(text_col))
+    case = F.length(F.regexp_replace(plain, r"[^\p{L}\p{N}]", "")) >= MIN_SIGNS
+    key = F.when(case, F.struct(_digest(F.coalesce(fields, plain)).alias("raw"), F.when(fields.isNotNull(), _digest(plain)).alias("plain")))
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), key.alias("key"))
+    return materialise(rows, "canonical-keys").where("id is not null and key is not null").select("uid", "id", "key.raw", "key.plain")
 
 
 def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,18 +56,13 @@ def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left out; a row delivered twice under one id counts as two members with that id; an empty table
     gives no rows.
     """
-    keyed = _keyed(df, id_col, text_col).where("case")
-    total = df.count()  # from the file footers, where df is a scan
-    keys = F.array(F.xxhash64("plain"), F.xxhash64(F.coalesce("fields", "plain")))
-    passing = repeats.build(keyed.select(F.explode(F.array_distinct(keys)).alias("h")), total)
-
-    @F.pandas_udf("boolean")
-    def may_repeat(plain: pd.Series, fields: pd.Series) -> pd.Series:
-        return pd.Series(passing.maybe(plain.to_numpy(np.int64)) | passing.maybe(fields.to_numpy(np.int64)))
-
-    possible = keyed.where(may_repeat(keys[0], keys[1])).select("id", "plain", "fields")
-    possible = materialise(possible, "possible-copies")
-    rows = possible.select("id", F.coalesce("fields", "plain").alias("raw"), F.when(F.col("fields").isNotNull(), F.col("plain")).alias("plain"))
+    keyed = _keyed(df, id_col, text_col)
+    total = keyed.count()
+    both = F.filter(F.array(F.xxhash64("raw"), F.when(F.col("plain").isNotNull(), F.xxhash64("plain"))), lambda h: h.isNotNull())
+    met = repeats.possible(keyed.select(F.explode(both).alias("h"), "uid", "id", "raw", "plain"), total)
+    # A record of fields is asked for by either key, and comes once.
+    met = materialise(met.drop("h"), "possible-copies")
+    rows = met.where(F.col("plain").isNull()).unionByName(met.where(F.col("plain").isNotNull()).dropDuplicates(["uid"])).select("id", "raw", "plain")
     # Everything from here to the join is one row per distinct key. A plain text that runs together the
     # fields of a record joins that record's group (the least one's, were there several).
     raw = rows.groupBy("raw").agg(F.min("id").alias("lo"), F.count("*").alias("m"))

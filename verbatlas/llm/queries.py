@@ -95,7 +95,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_intervals(spread(table(spark, d, "documents")), "doc_id", "text").distinct().withColumnRenamed("id", "doc_id")
+    """The shared stretches of each document: characters a to b - 1, counted from 0."""
+    return shared_spans.shared_spans(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 def p10_kept(spark: SparkSession, d: str) -> DataFrame:
@@ -146,6 +147,11 @@ WITH t AS (
 SELECT first AS ord, ord AS copy_ord FROM g WHERE ord <> first
 """
 
+_COLLAPSED = f"""
+WITH c AS ({_COPIES.replace('SELECT first AS ord, ord AS copy_ord FROM g WHERE ord <> first', 'SELECT ord, first FROM g')}), n AS (SELECT first, count(*) AS n FROM c GROUP BY first)
+SELECT DISTINCT v.ord, coalesce(n.n, 1) AS n_copies FROM project_verbatims v LEFT JOIN c ON c.ord = v.ord LEFT JOIN n ON n.first = v.ord WHERE v.ord IS NOT NULL AND (c.first IS NULL OR c.first = v.ord)
+"""
+
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _LEAKED = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL
@@ -154,19 +160,24 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
-_SHARED = """
+_WINDOWS = """
 WITH w AS (SELECT doc_id, p, md5(substr(text, p, 250)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS p FROM documents WHERE length(text) >= 250)
 ), r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1
-), s AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM w SEMI JOIN r USING (h))
-SELECT doc_id, sum(least(250, coalesce(following - p, 250)))::BIGINT AS shared_chars FROM s GROUP BY doc_id
+), s AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS following, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w SEMI JOIN r USING (h))
+"""
+_SHARED = _WINDOWS + "SELECT doc_id, sum(least(250, coalesce(following - p, 250)))::BIGINT AS shared_chars FROM s GROUP BY doc_id"
+_SPANS = _WINDOWS + """, g AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 250 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM s)
+SELECT doc_id, min(p) - 1 AS a, max(p) + 249 AS b FROM g GROUP BY doc_id, k
 """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _COPIES,
+        "p2_collapsed": _COLLAPSED,
         "p9_found": _LEAKED,
         "p10_found": _SHARED,
+        "p10_spans": _SPANS,
         "p7_found": _TARGETS + "SELECT plan_id, target_no FROM c WHERE available < needed",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

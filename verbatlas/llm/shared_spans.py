@@ -1,16 +1,18 @@
 """Long spans of characters that stand verbatim in more than one document, exact and without pairs.
 
-1. Every text is cut into sentences. Where a sentence is longer than REACH, it is cut further, at the
-   places whose next characters hash lowest, so that the same passage is cut at the same places in
-   every document. From each cut, the run of consecutive sentences of at least RUN characters is hashed.
-2. Runs that may repeat anywhere in the corpus (llm.repeats) are emitted with the text around them.
+1. From the sentences of every text, runs of RUN characters are hashed: those that start where a sentence
+   ends and the next begins and, where sentences are longer than a window leaves room for, at the place
+   whose next characters hash lowest. Of each window of `min_chars` characters one run is picked, by its
+   own characters only, so that equal windows of two documents pick equal runs; neighbouring windows
+   mostly share theirs. A run travels as its hash and place, without text.
+2. Runs that may repeat anywhere in the corpus (llm.repeats) are counted exactly; those of two documents
+   and more get the text around them from their document.
 3. Equal runs meet in one task, where the exact windows of `min_chars` characters around them are
    compared; a window that occurs in two documents is shared, and a document's shared amount is the
    union of its windows.
 
-Any window of `min_chars` characters picks its run from its own characters only (see `_Cuts`), so two
-equal windows in different documents always meet: no span is missed, and none is reported that isn't
-there, as far as 64-bit hashes of two independent kinds are distinct.
+So no span is missed, and none is reported that isn't there, as far as 64-bit hashes of two independent
+kinds are distinct.
 """
 
 from __future__ import annotations
@@ -20,94 +22,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.skew import attach_group
 from ..session import materialise
 from . import repeats
 from .codes import Stretches, codes, mix, slices
 
 MIN_CHARS = 250
-#: Characters that decide on a cut, and the longest gap between cuts.
-AHEAD, REACH = 8, 48
+#: Characters of a run, and those that decide on its start.
+RUN, AHEAD = 100, 8
 #: A run occurring more often is compared by windows spread over all tasks instead of in one.
 HOT_RUN = 20_000
+#: Runs whose documents are broadcast to fetch the text around them; more are joined by a shuffle.
+BROADCAST_RUNS = 200_000
 _LONGEST, _BATCH = 2_000_000, 400_000
 _ENDS = np.array([ord(c) for c in ".!?…;:\n"], np.uint32)
-_BLANKS = np.array([ord(c) for c in " \n\t\r\xa0 　"], np.uint32)
+_BLANKS = np.array([ord(c) for c in " \n\t\r\xa0\u202f\u3000"], np.uint32)
 
 
-def run_chars(min_chars: int) -> int:
-    """The shortest run: one that lies with all that decides on it inside any window of min_chars."""
-    if min_chars < 3 * REACH + AHEAD + 32:
-        raise ValueError("spans that short need a smaller REACH")
-    return min_chars - 3 * REACH - AHEAD
-
-
-class _Cuts:
-    """Cuts, runs and windows of one batch of text slices.
+class _Runs:
+    """The runs of one batch of text slices, with the windows that picked them.
 
     Each place has a rank from its next AHEAD characters: ends of sentences first, the others in the
-    order of their hash. Window p picks as its cut the lowest rank in [p, p + REACH), and a place is a
-    cut if some window picks it. The run from a cut ends at the first cut at least `run` characters
-    on, which is less than 3 * REACH + AHEAD + run from p: all inside the window.
+    order of their hash. Window p picks the leftmost lowest rank among the places from which a run still
+    ends within the window.
     """
 
     def __init__(self, batch: list[tuple[int, int, str]], min_chars: int):
-        self.batch, self.min_chars = batch, min_chars
+        if min_chars < RUN + AHEAD:
+            raise ValueError("spans that short need a smaller RUN")
         gap = "\0" * AHEAD
-        self.text = gap.join(s for _, _, s in batch) + gap
-        self.cp = codes(self.text)
+        cp = codes(gap.join(s for _, _, s in batch) + gap)
         size = np.array([len(s) for _, _, s in batch])
-        self.start = np.concatenate([[0], np.cumsum(size + AHEAD)[:-1]])
-        self.end = self.start + size
-        n = len(self.cp)
-        values = mix(self.cp)
-        self.stretches = Stretches(values)
+        start = np.concatenate([[0], np.cumsum(size + AHEAD)[:-1]])
+        n = len(cp)
+        values = mix(cp)
         with np.errstate(over="ignore"):
             ahead, step = values, 1
             while step < AHEAD:  # each place's next AHEAD characters, by doubling
-                ahead = ahead * np.uint64(0xD6E8FEB86659FD93)
-                ahead[:-step] += values[step:] if step == 1 else held[step:]
                 held = ahead
+                ahead = held * np.uint64(0xD6E8FEB86659FD93)
+                ahead[:-step] += held[step:]
                 step *= 2
-        rank = mix(ahead) >> np.uint64(34)  # 30 bits
+        rank = mix(ahead) >> np.uint64(35)  # 29 bits, and the first for ends of sentences
         ends = np.zeros(n, bool)
-        ends[:-1] = np.isin(self.cp[:-1], _ENDS) & np.isin(self.cp[1:], _BLANKS)
-        rank = np.where(ends, rank >> np.uint64(2), (rank >> np.uint64(2)) | np.uint64(1 << 29))
-        for e in self.end:  # outside of texts
-            rank[e : e + AHEAD] = np.uint64((1 << 31) - 1)
+        ends[:-1] = np.isin(cp[:-1], _ENDS) & np.isin(cp[1:], _BLANKS)
+        rank[~ends] |= np.uint64(1 << 29)
         low = (rank << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-        width = 1
-        while width * 2 <= REACH:
+        room, width = min_chars - RUN + 1, 1  # starts that a window may pick
+        while width * 2 <= room:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
-        if width < REACH:
-            low = np.minimum(low[: len(low) - (REACH - width)], low[REACH - width :])
-        pick = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # pick[p]: the cut of window p
-        owner = np.repeat(np.arange(len(batch)), size + AHEAD)[: len(pick)]
-        inside = np.arange(len(pick)) + REACH <= self.end[owner]
-        places, first, self.count = np.unique(np.where(inside, pick, -1), return_index=True, return_counts=True)
-        keep = places >= 0
-        self.cut, self.first, self.count = places[keep], first[keep], self.count[keep]  # window starts first .. first + count - 1
-        self.of = owner[self.first]
-        run = run_chars(min_chars)
-        stop = np.searchsorted(self.cut, self.cut + run)
-        ok = stop < len(self.cut)
-        stop = np.minimum(stop, max(0, len(self.cut) - 1))
-        ok &= self.of[stop] == self.of if len(self.cut) else ok
-        last = np.minimum(self.first + self.count - 1, self.end[self.of] - min_chars)  # a window ends in its text
-        ok &= last >= self.first
-        self.cut, self.first, self.of, self.last, self.stop = self.cut[ok], self.first[ok], self.of[ok], last[ok], self.cut[stop][ok]
-
-    def hashes(self) -> np.ndarray:
-        return self.stretches.hash(self.cut, self.stop).view(np.int64)
-
-
-def _cuts(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[list, _Cuts]]:
-    texts = batch.column("text").to_pylist()
-    texts = [t if t and len(t) >= min_chars else "" for t in texts]
-    for held in slices(texts, _LONGEST, 2 * min_chars, _BATCH):
-        yield held, _Cuts(held, min_chars)
+        if width < room:
+            low = np.minimum(low[: len(low) - (room - width)], low[room - width :])
+        pick = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # pick[p]: the run's start that window p picks
+        windows = np.maximum(0, size - min_chars + 1)
+        owner = np.repeat(np.arange(len(batch)), windows)
+        p = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + start[owner]
+        pick = pick[p]
+        edge = np.flatnonzero(np.append(True, pick[1:] != pick[:-1])) if len(pick) else pick
+        #: Of each run: its slice, first window in the slice, and how many more windows picked it.
+        self.of, self.first = owner[edge], p[edge] - start[owner[edge]]
+        self.more = np.diff(np.append(edge, len(pick))) - 1
+        self.hashes = Stretches(values).hash(pick[edge], pick[edge] + RUN).view(np.int64)
 
 
 def _windows(ids: list, starts: list[int], texts: list[str], min_chars: int) -> tuple[np.ndarray, ...]:
@@ -157,41 +135,42 @@ def shared_intervals(docs: DataFrame, id_col: str, text_col: str, min_chars: int
     nothing; rows without an id are left out; rows repeated under the same id count once; an empty
     table gives no rows.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length(text_col) >= min_chars))
+    src = src.withColumn("t", F.hash("text"))  # tells texts apart that are delivered under one id
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, cuts in _cuts(batch, min_chars):
-                yield pa.RecordBatch.from_arrays([pa.array(cuts.hashes())], ["h"])
-
-    # Cuts stand about REACH / 2 apart. Average lengths of all texts, from one cheap pass, size the filter.
-    chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    passing = repeats.build(src.select("text").mapInArrow(runs, "h long"), int(chars * 2 / REACH))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in slices(batch.column("text").to_pylist(), _LONGEST, 2 * min_chars, _BATCH):
+                r = _Runs(held, min_chars)
+                row, offset = np.array([i for i, _, _ in held]), np.array([at for _, at, _ in held])
+                at = pa.array(row[r.of], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(r.hashes), batch.column("id").take(at), batch.column("t").take(at), pa.array(offset[r.of] + r.first, pa.int32()), pa.array(r.more, pa.int32())], ["h", "id", "t", "start", "more"])
+
+    found = materialise(src.mapInArrow(runs, f"h long, id {kind}, t int, start int, more int"), "runs")
+    passed = materialise(repeats.possible(found, found.count()), "possible-runs")
+    groups = passed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    groups = materialise(groups.where(F.col("lo") != F.col("hi")).select("h", "n"), "shared-run-sizes")
+    hot = groups.where(F.col("n") > HOT_RUN).select("h")  # fewer than rows / HOT_RUN, at most 64 MB for a trillion rows
+    cold = passed.join(F.broadcast(hot), "h", "left_anti").join(groups.where(F.col("n") <= HOT_RUN).select("h"), "h", "left_semi").withColumn("hot", F.lit(False))
+    shared = materialise(cold.unionByName(passed.join(F.broadcast(hot), "h", "left_semi").withColumn("hot", F.lit(True))), "shared-runs")
+    asked = shared.groupBy("id", "t").agg(F.collect_set(F.struct("h", "start", "more", "hot")).alias("runs"))  # of one document
+    asked = F.broadcast(asked) if shared.count() <= BROADCAST_RUNS else asked
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for held, cuts in _cuts(batch, min_chars):
-                h = cuts.hashes()
-                got = np.flatnonzero(passing.maybe(h))
-                rows = [(h[i], held[cuts.of[i]], cuts.start[cuts.of[i]], cuts.first[i], cuts.last[i]) for i in got]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([ids[r[1][0]] for r in rows], batch.column("id").type),
-                        pa.array([r[1][1] + int(r[3] - r[2]) for r in rows], pa.int64()),
-                        pa.array([cuts.text[r[3] : r[4] + min_chars] for r in rows], pa.string()),
-                    ],
-                    ["h", "id", "start", "around"],
-                )
-
-    rows = materialise(src.mapInArrow(candidates, f"h long, id {kind}, start long, around string"), "shared-runs")
-    runs_by_docs = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    groups = materialise(runs_by_docs.where(F.col("lo") != F.col("hi")).select("h", "n"), "shared-run-sizes")
-    hot_rows = groups.where(F.col("n") > HOT_RUN).select("h")  # fewer than rows / HOT_RUN, at most 64 MB for a trillion rows
-    cold = rows.join(groups.where(F.col("n") <= HOT_RUN).select("h"), "h", "left_semi")
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                rows = [(i, r["h"], r["start"], r["hot"], text[r["start"] : r["start"] + r["more"] + min_chars]) for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())) for r in runs]
+                at, h, start, hot, text = zip(*rows) if rows else ((),) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), part.column("id").take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(hot, pa.bool_()), pa.array(text, pa.string())], ["h", "id", "start", "hot", "around"])
+
+    rows = src.join(asked, ["id", "t"]).select("id", "text", "runs").mapInArrow(around, f"h long, id {kind}, start long, hot boolean, around string")
+    if hot.isEmpty():
+        cold = rows
+    else:
+        rows = materialise(rows, "texts-around-runs")
+        cold = rows.where("NOT hot")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by h; whole groups are compared, some at a time."""
@@ -214,8 +193,8 @@ def shared_intervals(docs: DataFrame, id_col: str, text_col: str, min_chars: int
             yield _shared_intervals(ids, starts, texts, min_chars)
 
     schema = f"id {kind}, a long, b long, first boolean"
-    found = cold.repartition("h").sortWithinPartitions("h").mapInArrow(compare, schema)
-    if hot_rows.isEmpty():
+    found = cold.select("h", "id", "start", "around").repartition("h").sortWithinPartitions("h").mapInArrow(compare, schema)
+    if hot.isEmpty():
         return found
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +204,26 @@ def shared_intervals(docs: DataFrame, id_col: str, text_col: str, min_chars: int
                 row, place, one, two = _windows([], part.column("start").to_pylist(), part.column("around").to_pylist(), min_chars)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(place, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["id", "a", "one", "two"])
 
-    windows = rows.join(F.broadcast(hot_rows), "h", "left_semi").mapInArrow(spread, f"id {kind}, a long, one long, two long")
-    twice = windows.groupBy("one", "two").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("one", "two", "lo")
-    spans = windows.join(twice, ["one", "two"]).select("id", "a", (F.col("a") + min_chars).alias("b"), (F.col("id") == F.col("lo")).alias("first"))
-    return found.unionByName(spans)
+    windows = rows.where("hot").select("id", "start", "around").mapInArrow(spread, f"id {kind}, a long, one long, two long").select("id", "a", F.struct("one", "two").alias("window"))
+    holders = materialise(windows.groupBy("window").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")), "windows")
+    total = holders.agg(F.sum("n")).first()[0] or 0
+    spans = attach_group(windows, holders.where("lo <> hi").select("window", "n", "lo"), "window", total)
+    return found.unionByName(spans.select("id", "a", (F.col("a") + min_chars).alias("b"), (F.col("id") == F.col("lo")).alias("first")))
+
+
+def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (id_col, a, b): the shared intervals of each document, those that touch or overlap as one."""
+    spans = F.array_sort(F.collect_set(F.struct("a", "b")))  # of one document: bounded by its length
+    kind = "array<struct<a:bigint,b:bigint>>"
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"]), grown).otherwise(F.concat(acc, F.array(x)))
+
+    union = F.aggregate(spans, F.array().cast(kind), joined)
+    merged = shared_intervals(docs, id_col, text_col, min_chars).groupBy("id").agg(union.alias("x"))
+    return merged.select(F.col("id").alias(id_col), F.explode("x").alias("x")).select(id_col, "x.a", "x.b")
 
 
 def shared_amounts(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
