@@ -23,7 +23,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     loaded = read_with_rejects(table(spark, d, "raw_imports"), table(spark, d, "raw_files")).where("reason is null")
-    return loaded.select("file_id", "line_no", "full_text", F.unix_micros("source_date").alias("source_us"), "sentiment")
+    return loaded.select("file_id", "line_no", "full_text", F.date_format("source_date", "yyyy-MM-dd HH:mm:ss").alias("source_date"), "sentiment")
 
 
 def queries() -> dict:
@@ -57,5 +57,5 @@ WITH f AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": _RECORDS + "SELECT file_id, line_no, reason FROM x WHERE reason IS NOT NULL",
-        "p6_loaded": _RECORDS + "SELECT file_id, line_no, full_text, CASE WHEN day <> '' THEN epoch_us(moment) END AS source_us, nullif(mood, '') AS sentiment FROM x WHERE reason IS NULL",
+        "p6_loaded": _RECORDS + "SELECT file_id, line_no, full_text, CASE WHEN day <> '' THEN strftime(moment, '%Y-%m-%d %H:%M:%S') END AS source_date, nullif(mood, '') AS sentiment FROM x WHERE reason IS NULL",
     }
