@@ -55,6 +55,26 @@ def test_dictionary_is_kept_and_extended(spark, tmp_path):
     assert timestamps.normalise_timestamps(a.limit(0), "raw", "zone", "day", "ord").count() == 0
 
 
+def test_keys_added_twice_count_once(spark, tmp_path):
+    schema, path = "ord long, raw string, zone string, day string", f"file://{tmp_path}/twice"
+    a = spark.createDataFrame([(1, "2024-01-01", "UTC", "DMY"), (2, "2024-01-01", "UTC", "DMY")], schema)
+    timestamps.normalise_timestamps(a, "raw", "zone", "day", "ord", path).collect()
+    spark.read.parquet(path).write.mode("append").parquet(path)
+    assert timestamps.normalise_timestamps(a, "raw", "zone", "day", "ord", path).count() == 2
+    assert timestamps.normalise_timestamps(a, "raw", "zone", "day", "ord").count() == 2  # in the shared folder
+    assert not timestamps._read_dictionary(spark, timestamps.dictionary_path(spark)).isEmpty()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from verbatlas.session import shared_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(fake)
+
+
 FILES = "file_id long, delimiter string, header string, text_column string, date_column string, sentiment_column string, date_format string, reason string"
 RECORDS = "file_id long, line_no long, raw_record string, reason string"
 

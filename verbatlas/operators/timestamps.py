@@ -6,6 +6,7 @@ dictionary table; later runs parse only what the dictionary lacks. Rows get thei
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..session import materialise, scratch_path
+from ..session import materialise, shared_dir
 from .skew import attach_group
 
 DICTIONARY_SCHEMA = "raw string, zone string, day_order string, utc_us long"
@@ -166,15 +167,22 @@ def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
 
 
+def dictionary_path(spark: SparkSession) -> str:
+    """Where the dictionary is kept in the shared folder; other notations or names of months and zones make another."""
+    rules = repr([[p.pattern for p in _NOTATIONS], sorted(ABBREVIATIONS.items()), sorted(_MONTHS.items())])
+    return f"{shared_dir(spark)}/instants-{hashlib.md5(rules.encode()).hexdigest()[:12]}"
+
+
 def normalise_timestamps(rows: DataFrame, raw: str, zone: str, day_order: str, id_col: str, dictionary: str | None = None) -> DataFrame:
     """Rows (id_col, utc_us) of the rows whose `raw` denotes an absolute instant.
 
-    dictionary: folder of the persistent dictionary; None makes one for this call in the shared folder.
+    dictionary: folder of the persistent dictionary; None takes that of the shared folder, which later calls extend.
+    Runs that extend it at the same time may both add a key; it counts once.
     Null and blank strings, relative words, placeholders, impossible dates and wall-clock times without
     a zone have no instant and no row. Repeated rows give as many rows; an empty table gives none.
     A raw string that a third of all rows share is joined by broadcast (see operators.skew).
     """
-    path = dictionary or scratch_path(rows.sparkSession, "instants")
+    path = dictionary or dictionary_path(rows.sparkSession)
     # An empty string cannot denote a zone or order, so it stands for null in the joined key.
     src = rows.where(F.col(raw).rlike(r"\d")).select(
         F.col(id_col).alias("id"), F.col(raw).alias("raw"), F.coalesce(F.col(zone), F.lit("")).alias("zone"), F.coalesce(F.col(day_order), F.lit("")).alias("day_order")
@@ -184,5 +192,6 @@ def normalise_timestamps(rows: DataFrame, raw: str, zone: str, day_order: str, i
     total = keys.agg(F.sum("n")).first()[0] or 0
     known = extend_dictionary(keys, path).where(F.col("utc_us").isNotNull())
     one = F.struct(*same).alias("key")
-    groups = keys.join(known, same).select(one, "n", "utc_us")
+    once = keys.join(known, same).groupBy(same).agg(F.max("n").alias("n"), F.min("utc_us").alias("utc_us"))  # as the join leaves it: no further shuffle
+    groups = once.select(one, "n", "utc_us")
     return attach_group(src.select("id", one), groups, "key", total).select(F.col("id").alias(id_col), "utc_us")

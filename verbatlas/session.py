@@ -29,9 +29,12 @@ def get_spark(app: str = "verbatlas", cpus: int | str = "*", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir`, or a folder of our own where it is unset.
 
-    Only a session without that setting (tests, a laptop) gets a local temporary folder.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder; on a cluster, whose
+    executors do not share one, the setting is required.
     """
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verbatlas-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
