@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from verbatlas.functions.matching import compiled_keywords, compiled_regexes, highlight, matched_terms, valid_patterns
+from verbatlas.functions.matching import Matcher, compiled_keywords, compiled_regexes, highlight, matched_terms, valid_patterns
 from verbatlas.operators import topics
 
 
@@ -72,3 +72,28 @@ def test_metrics(spark):
     m = {r.topic_id: r for r in topics.topic_metrics(v, rules, topics.topic_matches(v, rules)).collect()}
     assert (m["a"].volume_verbatims, m["a"].volume_mentions, m["a"].pct_of_dataset) == (1, 3, 50.0)
     assert (m["b"].volume_verbatims, m["b"].pct_of_dataset) == (0, 0.0) and "c" not in m
+
+
+def test_matcher_against_the_model():
+    rng = random.Random(4)
+    bits = ["pas de ", "ni ", "prix", "été", "(a+b)", "\n", "x" * 20, "Prix ", ". ", "\\E", "sans "]
+    for _ in range(300):
+        text, words = "".join(rng.choices(bits, k=rng.randrange(9))), rng.sample(["prix", "été", "(a+b)", "\\E", "Prix"], 3)
+        nots, negations = rng.sample(["sans", "zzz"], 1), rng.sample(["pas de", "ni", "sans"], 2)
+        matcher = Matcher([("p", "t", [(w, w.lower(), negations) for w in words], nots, []), ("q", "u", [("x", "x", [])], [], [])])
+        got = dict(matcher.match("p", text.lower()))
+        assert got.get("t", []) == model(text, words, nots, negations) and "u" not in got
+
+
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    v = spark.createDataFrame([(i, "pq"[i % 2], f"prix {i} sans odeur rouge") for i in range(20)], "ord long, project_id string, full_text string")
+    t = spark.createDataFrame(
+        [(str(k), "rs"[k % 2], k, "A", None, [f"prix {k}", "odeur"], ["19"] if k == 3 else [], ["rou(ge|x)", "a("], True) for k in range(6)],
+        "topic_id string, run_id string, topic_ord int, canonical_label string, canonical_subtopic string, keywords array<string>, negative_keywords array<string>, regex_patterns array<string>, is_active boolean",
+    )
+    rules = topics.topic_rules(t, spark.createDataFrame([("r", "p"), ("s", "q")], "id string, project_id string"))
+    words = spark.createDataFrame([("a", "x", ["rouge"]), ("a", "y", ["prix 1", ""]), (None, "z", None), ("b", "x", ["nichts"])], "entity_type string, label string, keywords array<string>")
+    few = sorted(map(str, topics.topic_matches(v, rules).collect())), sorted(map(str, topics.entity_matches(v, words).collect()))
+    monkeypatch.setattr(topics, "BROADCAST_RULES", 2)
+    assert few == (sorted(map(str, topics.topic_matches(v, rules).collect())), sorted(map(str, topics.entity_matches(v, words).collect())))
+    assert len(few[0]) == 59 and len(few[1]) == 31

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import NEGATION_PATTERNS, SETTINGS
@@ -20,14 +23,14 @@ def negation_regex(keyword: Column, patterns: Column, window: int = SETTINGS.neg
 
 
 def compiled_keywords(keywords: Column, patterns: Column) -> Column:
-    """Keywords with their lower-case form and negation regex; empty ones are left out, repeated ones merged."""
+    """Keywords with their lower-case form, negation regex and negations; empty ones are left out, repeated ones merged."""
     terms = F.array_distinct(F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.length(k) > 0))
-    return F.transform(terms, lambda k: F.struct(k.alias("term"), F.lower(k).alias("low"), negation_regex(F.lower(k), patterns).alias("negated")))
+    return F.transform(terms, lambda k: F.struct(k.alias("term"), F.lower(k).alias("low"), negation_regex(F.lower(k), patterns).alias("negated"), patterns.alias("negations")))
 
 
 def compiled_regexes(patterns: Column) -> Column:
     """Valid patterns with the label that a match gets; \\w and \\b mean Unicode letters."""
-    return F.transform(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.struct(F.concat(F.lit("[regex:"), F.substring(p, 1, 20), F.lit("]")).alias("label"), F.concat(F.lit("(?U)"), p).alias("pattern")))
+    return F.transform(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.struct(F.concat(F.lit("[regex:"), F.substring(p, 1, 20), F.lit("]")).alias("label"), F.concat(F.lit("(?U)"), p).alias("pattern"), p.alias("source")))
 
 
 def valid_patterns(spark: SparkSession, topics: DataFrame, column: str) -> DataFrame:
@@ -59,6 +62,79 @@ def matched_terms(low: Column, keywords: Column, negatives: Column, regexes: Col
     return F.when((F.length(low) == 0) | excluded, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(terms)))
 
 
+class Matcher:
+    """The rules of some projects' topics for whole texts: one automaton finds all their keywords and negative
+    keywords in a single pass; negations and regular expressions are compiled once and tried only where they can matter."""
+
+    def __init__(self, topics: list[tuple], negation: bool = True, regexes: bool = True, window: int = SETTINGS.negation_window_chars):
+        """topics: (project, topic, [(term, lower-case term, negations)], [negative keywords, lower case], [(label, regular expression)])."""
+        import ahocorasick
+
+        words: dict[str, int] = {}
+        self.uses: dict[str, dict[int, list]] = {}  # project → word → (topic, its term, its negation)
+        self.bars: dict[str, dict[int, set]] = {}  # project → word → topics that it excludes
+        self.patterns: dict[str, dict[re.Pattern, list]] = {}
+        self.names: list = []
+        for project, topic, terms, nots, patterns in topics:
+            k = len(self.names)
+            self.names.append(topic)
+            uses, bars = self.uses.setdefault(project, {}), self.bars.setdefault(project, {})
+            for term, low, negations in terms or ():
+                if low:
+                    uses.setdefault(words.setdefault(low, len(words)), []).append((k, term, _negated(low, tuple(negations or ()), window) if negation else None))
+            for low in nots or ():
+                if low:
+                    bars.setdefault(words.setdefault(low, len(words)), set()).add(k)
+            for label, source in (patterns or ()) if regexes else ():
+                if (compiled := _compiled(source)) is not None:
+                    self.patterns.setdefault(project, {}).setdefault(compiled, []).append((k, label))
+        self.finder = ahocorasick.Automaton()
+        for w, i in words.items():
+            self.finder.add_word(w, i)
+        if words:
+            self.finder.make_automaton()
+
+    def match(self, project: str, low: str) -> list[tuple[object, list[str]]]:
+        """(topic, sorted distinct terms) of the project's topics that a lower-case text matches."""
+        if (uses := self.uses.get(project)) is None:
+            return []
+        found: dict[int, set] = {}
+        hits = {i for _, i in self.finder.iter(low)} if len(self.finder) else ()
+        negated: dict[re.Pattern, bool] = {}
+        for i in hits:
+            for k, term, no in uses.get(i, ()):
+                if no is not None and no not in negated:
+                    negated[no] = no.search(low) is not None
+                if no is None or not negated[no]:
+                    found.setdefault(k, set()).add(term)
+        for pattern, owners in self.patterns.get(project, {}).items():
+            if pattern.search(low):
+                for k, label in owners:
+                    found.setdefault(k, set()).add(label)
+        if found:
+            bars = self.bars[project]
+            for i in hits:
+                for k in bars.get(i, ()):
+                    found.pop(k, None)
+        return [(self.names[k], sorted(terms)) for k, terms in found.items()]
+
+
+@lru_cache(100_000)
+def _negated(low: str, negations: tuple[str, ...], window: int) -> re.Pattern | None:
+    """Matches where a negation ends within `window` characters before the keyword; None without usable negations."""
+    usable = [n for n in negations if n and len(n) <= window]
+    return re.compile("(?:" + "|".join(f"{re.escape(n)}.{{0,{window - len(n)}}}" for n in usable) + ")" + re.escape(low), re.S) if usable else None
+
+
+@lru_cache(100_000)
+def _compiled(source: str | None) -> re.Pattern | None:
+    """A rule's regular expression; None for one that is null or does not compile."""
+    try:
+        return None if source is None else re.compile(source)
+    except re.error:
+        return None
+
+
 def default_negations() -> Column:
     return F.array(*[F.lit(p) for p in NEGATION_PATTERNS])
 

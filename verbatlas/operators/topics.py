@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.matching import compiled_keywords, compiled_regexes, default_negations, valid_patterns
+from ..functions.matching import Matcher, compiled_keywords, compiled_regexes, default_negations
 
-#: Most rows of rules that are broadcast; more are joined by a shuffle on the project.
+#: Most rows of rules, or of the dictionary, that are broadcast at once; more rules travel with the texts of their project, more entries take more passes.
 BROADCAST_RULES = 50_000
 
 
 def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True) -> DataFrame:
     """One row per topic with its project and compiled rules. Topics of unknown runs have no verbatims and are left out."""
     topics = run_topics.where("is_active") if active_only else run_topics
-    topics = valid_patterns(run_topics.sparkSession, topics, "regex_patterns")
     r = runs.select(F.col("id").alias("run_id"), "project_id")
     return topics.join(r, "run_id").select(
         "topic_id", "run_id", "project_id", "topic_ord", "canonical_label", "canonical_subtopic", "keywords",
@@ -25,38 +27,38 @@ def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True
 def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text", negation: bool = True, regexes: bool = True) -> DataFrame:
     """Rows (ord, topic_id, terms) of every match of a topic in a verbatim of its project.
 
-    Rules are gathered to one row per project, so each verbatim is read and lower-cased once and one row
-    leaves per match only. Null and empty texts match nothing; a topic listed twice matches twice.
+    Each text is read once, by an automaton of all keywords in Arrow batches, and one row leaves per match
+    only. Null and empty texts match nothing; a topic listed twice matches twice; regular expressions
+    that do not compile match nothing.
     """
-    words = F.transform("rules", lambda k: F.struct(k["low"].alias("low"), k["negated"].alias("negated")))
+    spark, kinds = rules.sparkSession, (verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString())
+    words = F.transform("rules", lambda k: F.struct(k["term"].alias("term"), k["low"].alias("low"), k["negations"].alias("negations")))
     nots = F.transform(F.coalesce("negatives", F.array().cast("array<string>")), lambda n: F.lower(n))
-    patterns = F.transform("regexes", lambda r: r["pattern"])
-    per_project = rules.groupBy("project_id").agg(
-        F.collect_list(F.struct("topic_id", "rules", nots.alias("nots"), "regexes")).alias("topics"),
-        F.array_distinct(F.flatten(F.collect_set(words))).alias("words"),
-        F.array_distinct(F.flatten(F.collect_set(nots))).alias("nots"),
-        F.array_distinct(F.flatten(F.collect_set(patterns))).alias("patterns"),
-    )
-    if rules.count() <= BROADCAST_RULES:
-        per_project = F.broadcast(per_project)
+    flat = rules.where(F.col("project_id").isNotNull()).select("project_id", "topic_id", words.alias("words"), nots.alias("nots"), F.transform("regexes", lambda r: F.struct(r["label"].alias("label"), r["source"].alias("source"))).alias("patterns"))
     v = verbatims.where(F.length(text) > 0).select("ord", "project_id", F.lower(text).alias("low"))
-    low = F.col("low")
-
-    def stands(k: Column) -> Column:
-        found = F.contains(low, k["low"])
-        return F.when(found & k["negated"].isNotNull(), ~F.rlike(low, k["negated"])).otherwise(found) if negation else found
-
-    # Topics share their words, so each distinct word, pattern and negative is sought once per text; topics then compare short lists.
-    met = v.join(per_project, "project_id").select(
-        "ord", "topics", F.filter("words", stands).alias("has"), F.filter("nots", lambda n: (F.length(n) > 0) & F.contains(low, n)).alias("has_not"),
-        (F.filter("patterns", lambda p: F.rlike(low, p)) if regexes else F.array().cast("array<string>")).alias("has_pattern"),
-    )
-    pairs = met.where((F.size("has") > 0) | (F.size("has_pattern") > 0)).select("ord", "has", "has_not", "has_pattern", F.explode("topics").alias("t"))
-    terms = F.transform(F.filter("t.rules", lambda k: F.array_contains("has", F.struct(k["low"].alias("low"), k["negated"].alias("negated")))), lambda k: k["term"])
-    if regexes:
-        terms = F.concat(terms, F.transform(F.filter("t.regexes", lambda r: F.array_contains("has_pattern", r["pattern"])), lambda r: r["label"]))
-    pairs = pairs.where(~F.arrays_overlap("t.nots", "has_not") | F.arrays_overlap("t.nots", "has_not").isNull())
-    return pairs.select("ord", "t.topic_id", F.array_sort(F.array_distinct(terms)).alias("terms")).where(F.size("terms") > 0)
+    held = flat.limit(BROADCAST_RULES + 1).collect()
+    small = len(held) <= BROADCAST_RULES
+    shared = spark.sparkContext.broadcast([(r.project_id, r.topic_id, [tuple(w) for w in r.words], list(r.nots), [tuple(x) for x in r.patterns]) for r in held] if small else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, by_project = Matcher(shared.value, negation, regexes), {}
+        for batch in batches:
+            at, topic, terms = [], [], []
+            for i, (project, low) in enumerate(zip(batch.column("project_id").to_pylist(), batch.column("low").to_pylist())):
+                matcher = every
+                if not small:
+                    if project not in by_project:
+                        by_project[project] = Matcher([(project, t["topic_id"], [(w["term"], w["low"], w["negations"]) for w in t["words"]], t["nots"], [(x["label"], x["source"]) for x in t["patterns"]]) for t in batch.column("topics")[i].as_py()], negation, regexes)
+                    matcher = by_project[project]
+                for name, met in matcher.match(project, low):
+                    at.append(i)
+                    topic.append(name)
+                    terms.append(met)
+            yield pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(at, pa.int64())), pa.array(topic, pa.string() if kinds[1] == "string" else None), pa.array(terms, pa.list_(pa.string()))], ["ord", "topic_id", "terms"])
+
+    if not small:
+        v = v.join(flat.groupBy("project_id").agg(F.collect_list(F.struct("topic_id", "words", "nots", "patterns")).alias("topics")), "project_id")
+    return v.mapInArrow(run, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>")
 
 
 def topic_metrics(verbatims: DataFrame, rules: DataFrame, matches: DataFrame) -> DataFrame:
@@ -93,11 +95,34 @@ def entities(dictionary: DataFrame) -> DataFrame:
 
 
 def entity_matches(verbatims: DataFrame, dictionary: DataFrame, text: str = "full_text") -> DataFrame:
-    """Rows (ord, entity_type, label) of the entities that a text contains. The dictionary travels as one row of arrays."""
-    one = entities(dictionary).agg(F.collect_list(F.struct("entity_type", "label", "keywords")).alias("all"))
-    v = verbatims.where(F.length(text) > 0).select("ord", F.lower(text).alias("low")).crossJoin(F.broadcast(one))  # one row
-    found = F.filter("all", lambda e: F.exists(e["keywords"], lambda k: F.contains(F.col("low"), k)))
-    return v.select("ord", F.explode(found).alias("e")).select("ord", "e.entity_type", "e.label")
+    """Rows (ord, entity_type, label) of the entities that a text contains, found by an automaton of their keywords.
+
+    A dictionary of more than BROADCAST_RULES entities is sought in parts of that size, with a pass over the texts each.
+    """
+    spark, kind = verbatims.sparkSession, verbatims.schema["ord"].dataType.simpleString()
+    entries = entities(dictionary)
+    parts = max(1, -(-entries.count() // BROADCAST_RULES))
+    v = verbatims.where(F.length(text) > 0).select("ord", F.lower(text).alias("low"))
+
+    def one_pass(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(r.entity_type, r.label, r.keywords) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            matcher = Matcher([("", k, [(w, w, ()) for w in words], (), ()) for k, (_, _, words) in enumerate(held)])
+            for batch in batches:
+                found = [(i, k) for i, low in enumerate(batch.column("low").to_pylist()) for k, _ in matcher.match("", low)]
+                at, which = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(at, pa.int64())), pa.array([held[k][0] for k in which], pa.string()), pa.array([held[k][1] for k in which], pa.string())], ["ord", "entity_type", "label"])
+
+        return v.mapInArrow(run, f"ord {kind}, entity_type string, label string")
+
+    part = F.pmod(F.xxhash64("entity_type", "label"), F.lit(parts))
+    out = None
+    for k in range(parts):
+        found = one_pass(entries.where(part == k).collect())
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def entity_counts(verbatims: DataFrame, dictionary: DataFrame) -> DataFrame:
