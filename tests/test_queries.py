@@ -1,11 +1,11 @@
 import pytest
 
 from contract import connect, rows
-from verbatlas.queries import general, reference
+from verbatlas.queries import exchange, general, reference
 
 DATA = "/root/testdata/sf0.001"
-SQL = general.oracle_sql() | reference.oracle_sql()
-QUERIES = general.queries() | reference.queries()
+SQL = general.oracle_sql() | reference.oracle_sql() | exchange.oracle_sql()
+QUERIES = general.queries() | reference.queries() | exchange.queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -46,6 +46,7 @@ VENDOR_MARKERS = {
     "semantiweb": ("review_text", "review_id", "sentiment_label"),
 }
 STANDARD_COLUMNS = ("full_text", "source_id", "source_date", "sentiment", "language", "page_type", "category", "author", "url")
+MANUAL_TARGETS = ("brand", "product", "subcategory")
 RUN_STATUSES = ("pending", "processing", "success", "partial", "failed", "interrupted")
 RUN_MODES = ("rapid", "full")
 SOURCE_TYPES = ("brandwatch", "semantiweb", "generic_csv")

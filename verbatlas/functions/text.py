@@ -88,6 +88,22 @@ def repair_double_encoding(text: Column) -> Column:
     return F.when(text.rlike("[ÃÂ]") & text.rlike(utf8), F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
 
 
+def repair_list(texts: Column) -> Column:
+    """repair_double_encoding of each string of a list."""
+    return F.transform(texts, repair_double_encoding)
+
+
+def repair_map(texts: Column) -> Column:
+    """repair_double_encoding of each value of a map."""
+    return F.transform_values(texts, lambda k, v: repair_double_encoding(v))
+
+
+def repair_nested(df: DataFrame) -> DataFrame:
+    """The table with every string repaired: plain ones, and those in lists and maps of strings."""
+    by_kind = {"string": repair_double_encoding, "array<string>": repair_list, "map<string,string>": repair_map}
+    return df.withColumns({c: by_kind[kind](F.col(f"`{c}`")) for c, kind in df.dtypes if kind in by_kind})
+
+
 def cleaning_examples(df: DataFrame, id_col: str, text_col: str, n: int = 5, options: CleaningOptions = CleaningOptions()) -> DataFrame:
     """The first n texts before and after cleaning, with lengths."""
     first = df.select(id_col, F.coalesce(text_col, F.lit("")).alias("before")).orderBy(id_col).limit(n)

@@ -151,6 +151,18 @@ def keep_first(classes: DataFrame, id_col: str) -> DataFrame:
     return classes.where(F.col(id_col) == F.col("class_id")).select(id_col)
 
 
+def keep_last(classes: DataFrame, id_col: str) -> DataFrame:
+    """The rows to keep: the last of each class."""
+    return classes.groupBy("class_id").agg(F.max(id_col).alias(id_col)).select(id_col)
+
+
+def group_ids(classes: DataFrame, id_col: str, salt: str = "") -> DataFrame:
+    """Rows (id_col, dedup_group_id) of classes of more than one row; ids depend on the class and salt only."""
+    sizes = classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    ident = F.sha2(F.concat_ws("\x1f", F.lit(salt), F.col("class_id").cast("string")), 256)
+    return classes.join(sizes, "class_id").select(id_col, ident.alias("dedup_group_id"))
+
+
 def dedup_stats(classes: DataFrame, id_col: str, threshold: float = SETTINGS.dedup_threshold) -> DataFrame:
     """One row: rows before and after, removed, classes of more than one row, threshold."""
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("n"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..config import NEGATION_PATTERNS, SETTINGS
 from ..functions.similarity import char_masks, indel_ratio_any, jaccard
-from .graph import components
 
 
 def normal_label(topic: Column, sub: Column) -> Column:
@@ -55,28 +55,85 @@ def merge_pairs(labels: DataFrame, pivots: DataFrame, ratio: float = SETTINGS.fu
 
 def merge_groups(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows (run_id, pos, group_pos, method): each topic's group, named by its first position."""
-    # One graph for all runs: nodes are positions with their run.
-    node = lambda c: F.concat_ws("#", "run_id", F.lpad(F.col(c).cast("string"), 9, "0"))
-    comp = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
-    t = labels.select("run_id", "pos", node("pos").alias("node")).join(comp, "node", "left")
-    group = F.coalesce(F.substring_index("component", "#", -1).cast("int"), F.col("pos"))
-    return t.select("run_id", "pos", group.alias("group_pos"), F.when(F.col("component").isNotNull(), "pass1_algo").otherwise("single").alias("method"))
+    kind = ", ".join(f"{c} {labels.schema[c].dataType.simpleString()}" for c in ("run_id", "pos"))
+
+    def one_run(topics: pa.Table, edges: pa.Table) -> pa.Table:
+        """Union-find over a run's topics, a few hundred at most."""
+        parent = {p: p for p in topics.column("pos").to_pylist()}
+
+        def root(p: int) -> int:
+            while parent[p] != p:
+                parent[p] = p = parent[parent[p]]
+            return p
+
+        met = set()
+        for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist()):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+            met |= {a, b}
+        pos = topics.column("pos").to_pylist()
+        return pa.table({"run_id": topics.column("run_id"), "pos": topics.column("pos"), "group_pos": pa.array([root(p) for p in pos], pa.int32()), "method": pa.array(["pass1_algo" if p in met else "single" for p in pos])})
+
+    edges = pairs.select(F.col("run_id").alias("_run"), "a", "b")
+    return labels.select("run_id", "pos").groupBy("run_id").cogroup(edges.groupBy("_run")).applyInArrow(one_run, f"{kind}, group_pos int, method string")
 
 
 def merged_topics(run_topics: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per group: first member's label and subtopic, the others as aliases `label > sub`, all keywords, sources.
 
-    An empty label falls back to the first keyword, cut to 50 characters, and then to Theme_<position>.
+    An empty label falls back to the first pain point, benefit or keyword, cut to 50 characters, and then to
+    Theme_<position>. Where topics have pain_points, benefits, usage_context and example_verbatims, pains and
+    benefits are united, up to ten examples kept, and the first member's context.
     """
+    lists = [c for c in ("pain_points", "benefits", "example_verbatims") if c in run_topics.columns]
+    contexts = [c for c in ("usage_context",) if c in run_topics.columns]
+    none = F.array().cast("array<string>")
     t = positions(run_topics).join(groups, ["run_id", "pos"])
-    member = F.struct("pos", F.trim(F.coalesce("canonical_label", F.lit(""))).alias("label"), F.coalesce("canonical_subtopic", F.lit("")).alias("sub"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    member = F.struct("pos", F.trim(F.coalesce("canonical_label", F.lit(""))).alias("label"), F.coalesce("canonical_subtopic", F.lit("")).alias("sub"), F.coalesce("keywords", none).alias("keywords"), *[F.coalesce(c, none).alias(c) for c in lists], *contexts)
     g = t.groupBy("run_id", "group_pos").agg(F.array_sort(F.collect_list(member)).alias("m"), F.first("method").alias("method"))  # one group: a run's topics at most
     first, rest = F.col("m")[0], F.slice("m", 2, 100_000)
-    label = F.when(F.length(first["label"]) > 0, first["label"]).when(F.size(first["keywords"]) > 0, F.substring(F.get(first["keywords"], F.lit(0)), 1, 50)).otherwise(F.concat(F.lit("Theme_"), first["pos"].cast("string")))
+    label = F.when(F.length(first["label"]) > 0, first["label"])
+    for c in [*[c for c in lists if c != "example_verbatims"], "keywords"]:
+        label = label.when(F.size(first[c]) > 0, F.substring(F.get(first[c], F.lit(0)), 1, 50))
+    label = label.otherwise(F.concat(F.lit("Theme_"), first["pos"].cast("string")))
     named = F.filter(rest, lambda x: F.length(x["label"]) > 0)
     aliases = F.transform(named, lambda x: F.when(F.length(x["sub"]) > 0, F.concat(x["label"], F.lit(" > "), x["sub"])).otherwise(x["label"]))
     keywords = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["keywords"]))))
-    return g.select("run_id", "group_pos", label.alias("label"), first["sub"].alias("subtopic"), F.array_join(aliases, " | ").alias("aliases"), F.array_join(keywords, " | ").alias("keywords"), F.array_join(F.transform("m", lambda x: x["pos"].cast("string")), ",").alias("sources"), "method")
+    union = lambda c: F.array_distinct(F.flatten(F.transform("m", lambda x: x[c])))
+    united = [(F.slice(union(c), 1, 10) if c == "example_verbatims" else union(c)).alias(c) for c in lists]
+    return g.select(
+        "run_id", "group_pos", label.alias("label"), first["sub"].alias("subtopic"), F.array_join(aliases, " | ").alias("aliases"), F.array_join(keywords, " | ").alias("keywords"),
+        F.array_join(F.transform("m", lambda x: x["pos"].cast("string")), ",").alias("sources"), "method", *united, *[first[c].alias(c) for c in contexts],
+    )
+
+
+def merge_info(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per run: topics before and after merging, pairs, groups of several topics, topics left single, and calls of a model: none."""
+    sizes = groups.groupBy("run_id", "group_pos").agg(F.count("*").alias("n"))
+    many = F.count_if(F.col("n") > 1)
+    g = sizes.groupBy("run_id").agg(F.sum("n").alias("topics_in"), F.count("*").alias("topics_out"), many.alias("groups"), (F.count("*") - many).alias("singles"))
+    p = pairs.groupBy("run_id").agg(F.count("*").alias("pairs"))
+    return g.join(p, "run_id", "left").select("run_id", "topics_in", "topics_out", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"), "groups", "singles", F.lit(0).cast("long").alias("model_calls"))
+
+
+def second_pass(groups: DataFrame, topics: DataFrame, decide=None) -> DataFrame:
+    """Groups after a second opinion: `decide` (topics of a group as a pandas frame) → a number per topic that splits the group.
+
+    Without one, groups and single topics stay as the first pass left them.
+    """
+    if decide is None:
+        return groups
+    met = groups.join(positions(topics).select("run_id", "pos", "canonical_label", "canonical_subtopic"), ["run_id", "pos"])
+    schema = groups.select("run_id", "pos", "group_pos", "method").schema
+
+    def split(pdf):  # a group: a run's topics at most
+        pdf = pdf.sort_values("pos")
+        if len(pdf) > 1:
+            pdf["group_pos"] = pdf.groupby(list(decide(pdf)))["pos"].transform("min").astype("int32")
+            pdf["method"] = ["pass2_llm" if n > 1 else "single" for n in pdf.groupby("group_pos")["pos"].transform("size")]
+        return pdf[["run_id", "pos", "group_pos", "method"]]
+
+    return met.groupBy("run_id", "group_pos").applyInPandas(split, schema)
 
 
 def fallback_rules(run_topics: DataFrame) -> DataFrame:

@@ -42,6 +42,19 @@ def topics_with_runs(topics: DataFrame, runs: DataFrame, projects: DataFrame) ->
     return topics.where("is_active").join(r, "run_id").join(p, "project_id").select("topic_id", "run_id", "canonical_label", "canonical_subtopic", "merge_method", "run_mode", "project_name")
 
 
+def run_options(runs: DataFrame, projects: DataFrame) -> DataFrame:
+    """A line for people per run: project, mode, start of the brief, date and number of texts."""
+    r = runs.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id")
+    line = F.concat_ws(" - ", "project_name", "mode", F.substring(F.coalesce("brief", F.lit("")), 1, 50), F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.concat(F.format_number(F.coalesce("total_verbatims", F.lit(0)), 0), F.lit(" texts")))
+    return r.select("id", line.alias("line"))
+
+
+def project_lines(projects: DataFrame, verbatims: DataFrame) -> DataFrame:
+    """A line for people per project: name, date and number of texts."""
+    p = projects_with_counts(projects, verbatims)
+    return p.select("id", F.concat_ws(" - ", "name", F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.format_number("verbatims", 0)).alias("line"))
+
+
 def run_verbatims(verbatims: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
     """All verbatims of a run's project."""
     one = runs.where(F.col("id") == run_id).select("project_id").distinct()
@@ -101,6 +114,11 @@ def register_views(spark: SparkSession, runs: DataFrame, projects: DataFrame, to
     topics_with_runs(topics, runs, projects).createOrReplaceTempView("v_topics_with_metrics")
 
 
+def probe(spark: SparkSession) -> dict[str, object]:
+    """Whether the session answers, its version, and how many tables it knows."""
+    return {"answers": spark.sql("SELECT 1").first()[0] == 1, "version": spark.version, "tables": len(spark.catalog.listTables())}
+
+
 def table_stats(spark: SparkSession) -> DataFrame:
     """The session's tables and views."""
     return spark.createDataFrame([(t.name, bool(t.isTemporary)) for t in spark.catalog.listTables()], "name string, temporary boolean")

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..config import SETTINGS
+from ..session import materialise
 
 
 def stratum(columns: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns])
 
 
+def detect_strata(df: DataFrame, names: tuple[str, ...] = SETTINGS.strata) -> tuple[str, ...]:
+    """Those of the usual strata that the table has as columns."""
+    return tuple(c for c in names if c in df.columns)
+
+
+def head_sample(df: DataFrame, id_col: str, n: int = SETTINGS.sample_size_rapid) -> DataFrame:
+    """The first n rows by id; all rows of a smaller table."""
+    return df.orderBy(id_col).limit(n)
+
+
 def histogram(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows and percent of each stratum."""
     n = df.groupBy(stratum(columns).alias("stratum")).agg(F.count("*").alias("rows"))
@@ -57,10 +72,44 @@ def random_sample(df: DataFrame, id_col: str, n: int, seed: int = SETTINGS.sampl
     return df.select(id_col).withColumn("d", _draw(id_col, seed)).orderBy("d", id_col).limit(n).select(id_col)
 
 
+def group_places(df: DataFrame, id_col: str, group: str) -> DataFrame:
+    """Rows (group, id_col, pos): each row's place, from 0, in its group by id; equal ids in any order.
+
+    Rows are spread by ranges of (group, id), so a group that holds a third of all rows fills many tasks.
+    Each task counts on from 0; only the first group of a task can have begun before, so there are fewer
+    offsets than tasks, and they are broadcast.
+    """
+    kinds = [df.schema[c].dataType.simpleString() for c in (group, id_col)]
+
+    def count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, so_far = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(0).dictionary_encode()
+            code = values.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            size = np.diff(np.append(first, len(code)))
+            place = np.arange(len(code)) - np.repeat(first, size)
+            begins, ends = batch.column(0)[0].as_py(), batch.column(0)[len(code) - 1].as_py()
+            if held is not None and held[0] == begins:
+                place[: size[0]] += so_far
+            so_far = int(place[-1]) + 1
+            held = (ends,)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place, pa.int64()), batch.column(2)], [group, id_col, "_place", "_part"])
+
+    ranged = df.select(group, id_col).repartitionByRange(group, id_col).sortWithinPartitions(group, id_col).withColumn("_part", F.spark_partition_id().cast("long"))
+    placed = materialise(ranged.mapInArrow(count_on, f"`{group}` {kinds[0]}, `{id_col}` {kinds[1]}, _place long, _part long"), "places")
+    sizes = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    later = sizes.withColumn("_before", before).where("_before > 0").select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_before")
+    out = placed.join(F.broadcast(later), placed[group].eqNullSafe(later["_g"]) & (placed["_part"] == later["_p"]), "left")
+    return out.select(group, id_col, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("long").alias("pos"))
+
+
 def chunks(df: DataFrame, id_col: str, group: str, size: int = SETTINGS.chunk_size) -> DataFrame:
     """Rows (group, id_col, pos, chunk_index): consecutive slices of each group in the order of ids."""
-    w = Window.partitionBy(group).orderBy(id_col)
-    return df.select(group, id_col).withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("chunk_index", F.floor(F.col("pos") / size))
+    return group_places(df, id_col, group).withColumn("chunk_index", F.floor(F.col("pos") / size))
 
 
 def prompt_cut(chunked: DataFrame, texts: DataFrame, id_col: str, group: str, most: int = SETTINGS.prompt_chars) -> DataFrame:
@@ -72,16 +121,21 @@ def prompt_cut(chunked: DataFrame, texts: DataFrame, id_col: str, group: str, mo
     return first.groupBy(group, "chunk_index").agg(F.count("*").alias("texts"), F.sum((F.col("cut") == 0).cast("long")).alias("fitting"))
 
 
-def estimate(chunked: DataFrame, texts: DataFrame, id_col: str, group: str, price_in: float = 0.01, price_out: float = 0.03) -> DataFrame:
-    """Per group: chunks, tokens in (a token is four characters; the first chunk's count times chunks) and out, cost, seconds, alert."""
-    size = chunked.join(texts.select(id_col, F.length(F.coalesce("full_text", F.lit(""))).alias("n")), id_col)
-    g = size.groupBy(group).agg((F.max("chunk_index") + 1).alias("chunks"), F.sum(F.when(F.col("chunk_index") == 0, F.col("n"))).alias("chars"))
-    tokens_in, tokens_out = F.ceil(F.col("chars") / 4) * F.col("chunks"), F.col("chunks") * SETTINGS.output_tokens_per_chunk
+def estimate(chunked: DataFrame, texts: DataFrame, id_col: str, group: str, price_in: float = 0.01, price_out: float = 0.03, brief: str = "", prompt: str = "") -> DataFrame:
+    """Per group: chunks, tokens in and out, cost, seconds (cut to whole ones), alert.
+
+    Tokens in: those of the first chunk's prompt, its texts with the brief and the prompt's own text, times
+    the chunks; a token is four characters.
+    """
+    size = chunked.where("chunk_index = 0").join(texts.select(id_col, F.length(F.coalesce("full_text", F.lit(""))).alias("n")), id_col)
+    first = size.groupBy(group).agg(F.sum("n").alias("chars"))
+    g = chunked.groupBy(F.col(group).alias("_g")).agg((F.max("chunk_index") + 1).alias("chunks")).join(first, F.col("_g").eqNullSafe(F.col(group)))
+    tokens_in, tokens_out = F.ceil((F.col("chars") + len(brief) + len(prompt)) / 4) * F.col("chunks"), F.col("chunks") * SETTINGS.output_tokens_per_chunk
     alert = F.when(F.col("chunks") >= SETTINGS.blocking_chunks, "blocking").when(F.col("chunks") >= SETTINGS.warning_chunks, "warning").otherwise("none")
     return g.select(
         group, F.col("chunks").cast("long").alias("chunks"), tokens_in.cast("long").alias("tokens_in"), tokens_out.cast("long").alias("tokens_out"),
         (F.floor((tokens_in * F.lit(price_in) + tokens_out * F.lit(price_out)) * 10 + 0.5000001) / 10000).alias("cost"),
-        F.ceil(F.col("chunks") * SETTINGS.seconds_per_chunk / SETTINGS.llm_parallel_calls).cast("long").alias("seconds"), alert.alias("alert"),
+        F.floor(F.col("chunks") * SETTINGS.seconds_per_chunk / SETTINGS.llm_parallel_calls).cast("long").alias("seconds"), alert.alias("alert"),
     )
 
 

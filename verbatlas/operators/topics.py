@@ -148,6 +148,18 @@ def summary(verbatims: DataFrame, matches: DataFrame) -> DataFrame:
     return both.withColumn("without_match", F.col("total") - F.col("with_match"))
 
 
+def ontology(run_topics: DataFrame) -> DataFrame:
+    """The rules of topics, apart from the topics: one row each, nulls as empty lists, with the default negations."""
+    none = F.array().cast("array<string>")
+    return run_topics.select("topic_id", "run_id", *[F.coalesce(c, none).alias(c) for c in ("keywords", "regex_patterns", "negative_keywords")], default_negations().alias("negation_patterns"))
+
+
+def topics_with_ontology(run_topics: DataFrame, rules: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Topics with their rules, by topic; those of one run, or of all. Topics without rules, and rules without topic, are left out."""
+    t = run_topics if run_id is None else run_topics.where(F.col("run_id") == run_id)
+    return t.select("topic_id", "run_id", "topic_ord", "canonical_label", "canonical_subtopic").join(rules.drop("run_id"), "topic_id")
+
+
 def top_topics(metrics: DataFrame, n: int = 10) -> DataFrame:
     """The n topics of each run with most verbatims; ties in topic order."""
     w = Window.partitionBy("run_id").orderBy(F.desc("volume_verbatims"), "topic_ord", "topic_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,9 +17,10 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import SETTINGS, TOKEN_PRICES
+from ..config import NEGATION_PATTERNS, SETTINGS, TOKEN_PRICES
 from ..functions.text import CleaningOptions, clean
 from ..operators import dedup, sampling, topics
+from ..operators.merging import fallback_rules
 from ..session import materialise
 
 Analyzer = Callable[[list[str]], str]
@@ -50,7 +52,12 @@ def unfenced(response: str) -> str:
     return m.group(1) if m else response
 
 
-def with_retries(analyzer: Analyzer, tries: int = SETTINGS.llm_max_retries, wait: Callable[[int], None] = lambda k: None) -> Analyzer:
+def back_off(k: int) -> None:
+    """Waits 4 seconds before the second try, then twice as long each time, up to a minute."""
+    time.sleep(min(60, 4 * 2**k))
+
+
+def with_retries(analyzer: Analyzer, tries: int = SETTINGS.llm_max_retries, wait: Callable[[int], None] = back_off) -> Analyzer:
     """Tries again on connection errors only."""
 
     def call(texts: list[str]) -> str:
@@ -66,6 +73,54 @@ def with_retries(analyzer: Analyzer, tries: int = SETTINGS.llm_max_retries, wait
     return call
 
 
+def call_json(analyzer: Analyzer, texts: list[str]) -> dict:
+    """An analyzer's response as JSON, without a fence; raises where it is none."""
+    return json.loads(unfenced(with_retries(analyzer)(texts)))
+
+
+def answers(analyzer: Analyzer) -> bool:
+    """Whether an analyzer answers a tiny call."""
+    try:
+        analyzer(["ok"])
+        return True
+    except Exception:  # any failure is a no
+        return False
+
+
+def topic_lines(labels: list[tuple[str, str | None]]) -> str:
+    """Topics as numbered lines `label > subtopic` of a prompt."""
+    return "\n".join(f"{k}. {label} > {sub}" if sub else f"{k}. {label}" for k, (label, sub) in enumerate(labels, 1))
+
+
+def rules_prompt(label: str, subtopic: str | None = None, description: str | None = None, examples: list[str] | None = None) -> list[str]:
+    """What a model is told to write the rules of a topic: up to five examples, and a word for what is missing."""
+    shown = "\n".join(f"- {x}" for x in (examples or [])[:5]) or "none given"
+    return [f"Topic: {label}", f"Subtopic: {subtopic or 'N/A'}", f"Description: {description or 'none'}", f"Examples:\n{shown}", "Answer in JSON: keywords, regex_patterns, negative_keywords, negation_patterns."]
+
+
+def generated_rules(run_topics: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """Rows (topic_id, keywords, regex_patterns, negative_keywords, negation_patterns, source): rules that an analyzer
+    writes for each topic. Without negations it gets the default ones; where the call or its JSON fails, the
+    topic gets the fallback's keywords, and source is `fallback`. Topics travel in Arrow batches, one call each."""
+    fall = fallback_rules(run_topics).select("topic_id", F.filter(F.split("keywords", r" \| "), lambda w: w != "").alias("fallback"))
+    rows = run_topics.select("topic_id", F.coalesce("canonical_label", F.lit("")).alias("label"), "canonical_subtopic").join(fall, "topic_id")
+    names = ("keywords", "regex_patterns", "negative_keywords", "negation_patterns")
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for t in pdf.itertuples():
+                try:
+                    got = call_json(analyzer, rules_prompt(t.label, t.canonical_subtopic))
+                    rules = [[str(x) for x in got.get(c) or []] for c in names]
+                    out.append((t.topic_id, *rules[:3], rules[3] or list(NEGATION_PATTERNS), "model"))
+                except Exception:  # a topic without a model's rules still gets some
+                    out.append((t.topic_id, list(t.fallback), [], [], list(NEGATION_PATTERNS), "fallback"))
+            yield pd.DataFrame(out, columns=["topic_id", *names, "source"])
+
+    return rows.mapInPandas(run, "topic_id string, " + ", ".join(f"{c} array<string>" for c in names) + ", source string")
+
+
 def analyze_chunks(chunked: DataFrame, texts: DataFrame, analyzer: Analyzer = frequent_words, most: int = SETTINGS.prompt_chars) -> DataFrame:
     """Rows of RESULT, one per chunk (project_id, chunk_index): a response, or status `failed` with the error.
 

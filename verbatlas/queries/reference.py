@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from ..config import ENTITY_TYPES, MERGE_METHODS, NEGATION_PATTERNS, RUN_MODES, RUN_STATUSES, SOURCE_TYPES
 from ..functions.matching import compiled_keywords, default_negations, highlight, matched_terms
 from ..functions.similarity import char_masks, indel_ratio_any, jaccard
 from ..functions.text import BLANKS, EMOJI, LETTERS, LIGATURES, PLAIN, PUNCTUATION, URLS, CleaningOptions, clean, cleaning_examples, cleaning_stats, repair_double_encoding, squeeze_punctuation, squeeze_spaces, transliterate
 from ..io import spread, table
-from ..operators import dedup, importing, merging, relational, sampling, topics
+from ..operators import dedup, merging, relational, sampling, topics
 from ..plans import analysis
 from ..session import materialise
 from ..sources import sinks
@@ -357,7 +358,7 @@ def chunk_prompt_cut(spark, d):
 
 @query(_CHUNKS + """, g AS (SELECT project_id, max(chunk_index) + 1 AS chunks, sum(n) FILTER (chunk_index = 0) AS chars FROM k GROUP BY 1)
   SELECT project_id, chunks::BIGINT AS chunks, (ceil(chars / 4.0) * chunks)::BIGINT AS tokens_in, (chunks * 2000)::BIGINT AS tokens_out,
-         floor((ceil(chars / 4.0)::DOUBLE * chunks * 0.01::DOUBLE + (chunks * 2000)::DOUBLE * 0.03::DOUBLE) * 10 + 0.5000001::DOUBLE) / 10000 AS cost, ceil(chunks * 30 / 10.0)::BIGINT AS seconds,
+         floor((ceil(chars / 4.0)::DOUBLE * chunks * 0.01::DOUBLE + (chunks * 2000)::DOUBLE * 0.03::DOUBLE) * 10 + 0.5000001::DOUBLE) / 10000 AS cost, (chunks * 30 // 10)::BIGINT AS seconds,
          CASE WHEN chunks >= 500 THEN 'blocking' WHEN chunks >= 100 THEN 'warning' ELSE 'none' END AS alert FROM g""")
 def run_estimate(spark, d):
     return sampling.estimate(chunks(spark, d), _v(spark, d), "ord", "project_id")
@@ -373,7 +374,7 @@ _PIVOTS = _LABELS + r""", w AS (SELECT run_id, topic_id, w, count(*) AS tf FROM
 ), tops AS (SELECT *, row_number() OVER (PARTITION BY run_id, topic_id ORDER BY round(tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1), 9) DESC, w DESC) AS r FROM w JOIN vocab USING (run_id, w)
 ), p AS (SELECT run_id, topic_id, string_agg(w, ' ' ORDER BY w) AS pivots FROM tops WHERE r <= 3 GROUP BY ALL)
 """
-_RATIO = """CASE WHEN length(la) = 0 AND length(lb) = 0 THEN 1.0::DOUBLE WHEN length(la) = 0 OR length(lb) = 0 THEN 0.0::DOUBLE WHEN length(la) > 62 THEN 0.0::DOUBLE ELSE
+_RATIO = """CASE WHEN length(la) = 0 AND length(lb) = 0 THEN 1.0::DOUBLE WHEN length(la) = 0 OR length(lb) = 0 THEN 0.0::DOUBLE ELSE
   2.0::DOUBLE * (length(la) - bit_count(list_reduce(string_split(lb, ''), lambda s, ch: ((s + (s & list_sum(list_transform(range(1, length(la) + 1), lambda i: CASE WHEN substr(la, i, 1) = ch THEN (1::HUGEINT << (i - 1)::HUGEINT) ELSE 0::HUGEINT END))::HUGEINT))
    | (s - (s & list_sum(list_transform(range(1, length(la) + 1), lambda i: CASE WHEN substr(la, i, 1) = ch THEN (1::HUGEINT << (i - 1)::HUGEINT) ELSE 0::HUGEINT END))::HUGEINT))) & ((1::HUGEINT << length(la)::HUGEINT) - 1), (1::HUGEINT << length(la)::HUGEINT) - 1))) / (length(la) + length(lb)) END"""
 _JACCARD = r"""CASE WHEN len(list_filter(regexp_split_to_array(la, '\s+'), lambda x: x <> '')) = 0 OR len(list_filter(regexp_split_to_array(lb, '\s+'), lambda x: x <> '')) = 0 THEN 0.0::DOUBLE ELSE
@@ -526,36 +527,18 @@ def constraint_violations(spark, d):
     return relational.violations(table(spark, d, "projects"), table(spark, d, "analysis_runs"), table(spark, d, "run_topics"))
 
 
-# --- Import --------------------------------------------------------------------------------------------
-
-
-@query("SELECT ord, coalesce(array_to_string(list_sort(list_transform(map_entries(extra_data), lambda e: e.key || '=' || e.value)), ';'), '') AS extra FROM project_verbatims")
-def residual_map(spark, d):
-    pairs = F.transform(F.map_entries("extra_data"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return _v(spark, d).select("ord", F.coalesce(F.array_join(F.array_sort(pairs), ";"), F.lit("")).alias("extra"))
-
-
-@query()
-def date_coerce(spark, d):
-    """Vendor dates by the importer's list of notations; null where none fits."""
-    return _v(spark, d).select("ord", F.unix_micros(importing.parse_date(F.col("source_date"))).alias("utc_us"))
-
-
-@query("SELECT file_id, source_type, 'full_text' AS target FROM raw_files WHERE contains(header, text_column)")
-def rename_mapping(spark, d):
-    """Files whose header has the column that becomes full_text."""
-    return table(spark, d, "raw_files").where(F.contains("header", F.col("text_column"))).select("file_id", "source_type", F.lit("full_text").alias("target"))
+# --- Theme extraction ----------------------------------------------------------------------------------
 
 
-# --- Theme extraction ----------------------------------------------------------------------------------
+def chunk_results(spark, d) -> DataFrame:
+    v = _v(spark, d)
+    return materialise(analysis.analyze_chunks(sampling.chunks(v, "ord", "project_id"), v), "chunk-results")
 
 
 @query()
 def chunk_themes(spark, d):
     """Themes of every chunk by the deterministic analyzer."""
-    v = _v(spark, d)
-    results = materialise(analysis.analyze_chunks(sampling.chunks(v, "ord", "project_id"), v), "chunk-results")
-    return analysis.flatten_themes(results).select("project_id", "chunk_index", "pos", "topic_label", F.size("example_verbatims").alias("examples"))
+    return analysis.flatten_themes(chunk_results(spark, d)).select("project_id", "chunk_index", "pos", "topic_label", F.size("example_verbatims").alias("examples"))
 
 
 @query()

@@ -29,6 +29,12 @@ def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
     return list(SCHEMAS)
 
 
+def seed_dictionary(spark: SparkSession, entries: list[tuple], version: str) -> DataFrame:
+    """Rows of dim_entities from (type, label, keywords) of a list that a person writes."""
+    rows = [(version, kind, label, label.lower(), list(words), None) for kind, label, words in entries]
+    return spark.createDataFrame(rows, SCHEMAS["dim_entities"])
+
+
 def drop_tables(spark: SparkSession, database: str, confirmed: bool = False) -> None:
     """Drops all tables of the engine, only if told that this is meant."""
     if not confirmed:

@@ -9,8 +9,8 @@ DICTIONARY = "version string, entities array<struct<entity_type:string,label:str
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """UTF-8, or ISO-8859-1 if any file is not valid UTF-8. Lines are checked where they are read."""
-    text = spark.read.format("binaryFile").load(path)
-    return "UTF-8" if text.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty() else "ISO-8859-1"
+    lines = spark.read.option("encoding", "UTF-8").text(path)
+    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
 def read_export(spark: SparkSession, path: str, delimiter: str = ",", encoding: str | None = None) -> DataFrame:
@@ -19,6 +19,11 @@ def read_export(spark: SparkSession, path: str, delimiter: str = ",", encoding:
     return reader.option("encoding", encoding or encoding_of(spark, path)).csv(path)
 
 
+def preview(spark: SparkSession, path: str, rows: int = 1000, **options: str) -> DataFrame:
+    """The first rows of an export, for a look at it."""
+    return read_export(spark, path, **options).limit(rows)
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """A dictionary file as rows of dim_entities."""
     d = spark.read.option("multiLine", True).schema(DICTIONARY).json(path)
