@@ -170,3 +170,13 @@ def test_reliabilities_follow_the_votes():
     score = personal.train_classifier(counts, p)
     assert sum(abs(score[k] - p[k]) * n for k, n in counts.items()) / 4000 < 0.1
     assert personal.reliabilities({}) == {} and personal.train_classifier({}, {}) == {}
+
+
+def test_long_words_are_restored(spark):
+    word = "é" + "xyzé" * 40
+    bad = word.encode().decode("cp1252")
+    huge = "ñ" * 100_000
+    df = spark.createDataFrame([(1, f"le {word} ici"), (2, f"le {bad} ici"), (3, huge), (4, huge.encode().decode("latin-1"))], "ord long, full_text string")
+    got = {r.ord: r.restored for r in garbled.restore_garbled(df, "ord", ("full_text",)).collect()}
+    assert got == {2: f"le {word} ici", 4: huge}
+    assert spark.range(1).select(F.xxhash64(F.lit(word))).first()[0] == garbled._hash(word)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import attach_group
@@ -68,29 +69,46 @@ def _recode(word: str, source: str, target: str) -> str | None:
     return "".join([table[b] for b in raw])
 
 
-def _raw_forms(w: str) -> tuple[set[str], set[str]]:
-    """Forms that wrong decodings leave of a word as it is written: of UTF-8 bytes, and of single-byte encodings."""
-    once = {f for enc in MISREAD_AS if (f := _misread(w, enc)) != w}
-    more = {_misread(f, enc) for f in once for enc in AGAIN_AS}
-    lost = {f for enc in ("cp1252", "mac_roman") if (f := _recode(w, enc, "utf-8")) and "\ufffd" in f}
-    swapped = {f for a, b in CONFUSED if (f := _recode(w, a, b))} - {w}
-    return once | more | lost, swapped
+def _raw_forms(w: str) -> Iterator[tuple[str, bool]]:
+    """Forms that wrong decodings leave of a word as it is written, one at a time, as a word may be very long: of
+    UTF-8 bytes, and (True) of single-byte encodings."""
+    for enc in MISREAD_AS:
+        if (once := _misread(w, enc)) != w:
+            yield once, False
+            for again in AGAIN_AS:
+                yield _misread(once, again), False
+    for enc in ("cp1252", "mac_roman"):
+        if (lost := _recode(w, enc, "utf-8")) and "\ufffd" in lost:
+            yield lost, False
+    for a, b in CONFUSED:
+        if (swapped := _recode(w, a, b)) and swapped != w:
+            yield swapped, True
+
+
+def _low_forms(word: str) -> Iterator[tuple[str, bool]]:
+    """Lower-case forms that wrong decodings and a later cleaning leave of a word, some of them twice, never the word itself."""
+    for w in dict.fromkeys((word, word.upper(), word.capitalize())):
+        for f, confused in _raw_forms(w):
+            low = f.lower()
+            for v in dict.fromkeys((low, low.replace("\xa0", " ").strip())):
+                if v.strip() and v != word and " " not in v:
+                    yield v, confused
 
 
 def garbled_forms(word: str) -> dict[str, bool]:
-    """Lower-case forms that wrong decodings and a later cleaning leave of a word, each with whether it was
-    confused between single-byte encodings (such forms look like words). The word itself is not among them."""
+    """The lower-case forms of a word, each with whether it was only confused between single-byte encodings (such forms look like words)."""
     out: dict[str, bool] = {}
-    for w in {word, word.upper(), word.capitalize()}:
-        for forms, confused in zip(_raw_forms(w), (False, True)):
-            for f in forms:
-                low = f.lower()
-                for v in (low, low.replace("\xa0", " ").strip()):
-                    if v.strip() and v != word and " " not in v:
-                        out[v] = out.get(v, True) and confused
+    for v, confused in _low_forms(word):
+        out[v] = out.get(v, True) and confused
     return out
 
 
+def _hash(word: str) -> int:
+    """As xxhash64 of the word in Spark."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _words(text: Column) -> Column:
     """Distinct lower-case words with characters beyond ASCII and, marked by RUN, the runs of such characters."""
     low = F.lower(text)
@@ -102,23 +120,31 @@ def _words(text: Column) -> Column:
 def _forms_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         form, source, n, confused = [], [], [], []
-        for word, count in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            if len(word) <= 60 and word.strip() and "\ufffd" not in word and word[0] != RUN:
-                for f, c in garbled_forms(word).items():
-                    form.append(f)
-                    source.append(word)
-                    n.append(count)
-                    confused.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(source, pa.string()), pa.array(n, pa.int64()), pa.array(confused, pa.bool_())], ["form", "original", "m", "confused"])
+        for word, own, count in zip(batch.column("word").to_pylist(), batch.column("h").to_pylist(), batch.column("n").to_pylist()):
+            if word.strip() and "\ufffd" not in word and word[0] != RUN:
+                found: dict[int, bool] = {}
+                for f, c in _low_forms(word):
+                    h = _hash(f)
+                    found[h] = found.get(h, True) and c
+                form += found
+                confused += found.values()
+                source += [own] * len(found)
+                n += [count] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(form, pa.int64()), pa.array(source, pa.int64()), pa.array(n, pa.int64()), pa.array(confused, pa.bool_())], ["form", "source", "m", "confused"])
 
 
 def garbled_words(vocabulary: DataFrame) -> DataFrame:
-    """The table (word, original) of the garbled words of a vocabulary (word, n); original is null if unknown."""
+    """The table (word, original) of the garbled words of a vocabulary (word, n); original is null if unknown.
+
+    Forms and words meet by 64-bit hashes, so that a form takes as little room however long the word is.
+    """
     spark = vocabulary.sparkSession
-    forms = vocabulary.mapInArrow(_forms_batches, "form string, original string, m long, confused boolean")
-    met = forms.join(vocabulary, forms["form"] == vocabulary["word"])
+    vocabulary = vocabulary.withColumn("h", F.xxhash64("word"))
+    forms = vocabulary.mapInArrow(_forms_batches, "form long, source long, m long, confused boolean")
+    met = forms.join(vocabulary, forms["form"] == vocabulary["h"])
     sure = ~F.col("confused") | ((F.col("m") >= CONFUSED_RARITY * F.col("n")) & F.col("word").rlike(_UNUSUAL))
-    met = materialise(met.where(sure).select("word", "original", "m", "confused"), "garbled-met")
+    met = met.where(sure).select("word", "source", "m", "confused")
+    met = materialise(met.join(vocabulary.select(F.col("word").alias("original"), F.col("h").alias("source")), "source").select("word", "original", "m", "confused"), "garbled-met")
     garbled = met.select("word").distinct()
     # A word garbled twice is also a form of the word garbled once; only clean words are originals.
     verified = met.join(garbled.withColumnRenamed("word", "original"), "original", "left_anti")
@@ -168,7 +194,7 @@ def find_garbled(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFra
 def _in_case_of(garbled: str, original: str) -> str:
     """The original in the case from which the garbled word comes: as it is, with a capital, or all capitals."""
     for c in (original, original.capitalize(), original.upper()):
-        if any(garbled in forms for forms in _raw_forms(c)):
+        if any(garbled == form for form, _ in _raw_forms(c)):
             return c
     letters = [c for c in garbled if c.isascii() and c.isalpha()]
     return original.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else original
