@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,30 @@ def test_language_rows(spark, model):
     assert language.identify_languages(df.limit(0), model, "ord", "full_text", "language").count() == 0
 
 
+def test_confidence_is_calibrated(spark):
+    """Against labels of rows that neither fit has seen, with the noise that was found in the labels taken into account."""
+    v = spark.read.parquet(f"{DATA}/project_verbatims.parquet").select("ord", "full_text", "language")
+    model = language.fit((v.where("ord % 3 <> 0"), "ord", "full_text", "language", 1500))
+    rows = [(r.full_text, language.label_language(r.language)) for r in v.where("ord % 3 = 0").collect() if r.full_text and language.label_language(r.language)]
+    stated, right = [], []
+    for (_, label), found in zip(rows, language.identify(model, [t for t, _ in rows])):
+        if len(found) == 1:
+            stated.append((1 - model.noise) * found[0][1] + model.noise / 7)
+            right.append(found[0][0] == label)
+    stated, right = np.array(stated), np.array(right, float)
+    parts = np.array_split(np.argsort(stated), 8)
+    assert len(right) > 500 and sum(abs(stated[p].mean() - right[p].mean()) * len(p) for p in parts) / len(right) < 0.06
+    assert 0.05 < model.noise < 0.25
+
+
+def test_calibration_tells_noise_from_doubt(model, documents):
+    rows, rng = documents[1].collect(), random.Random(3)
+    wrong = [rng.choice(language.LANGUAGES) if rng.random() < 0.35 else r.lang for r in rows]
+    found = language.calibrate(model, [r.text for r in rows], wrong)
+    assert 0.2 < found.noise < 0.5 and [x[0] for x in language.identify(found, [rows[0].text])[0]] == [x[0] for x in language.identify(model, [rows[0].text])[0]]
+    assert language.calibrate(model, [], []) is model and language.calibrate(model, ["", "ab"], ["fr", "fr"]) is model
+
+
 def test_model_without_examples():
     assert language.identify(language.train([], []), ["Le flacon me donne la nausée"])[0][0][2] == 23
 
