@@ -1,17 +1,21 @@
 """Personal data in free text: found by labelers that vote, and replaced by typed placeholders.
 
-Broad patterns propose spans. For each span, labelers (pattern, check of form, gazetteer, context
-before and after, signs of something else) vote for, against, or abstain. Votes are counted over the
-whole corpus by pattern of votes; expectation-maximisation estimates from these counts how reliable
-each labeler is and how likely each pattern is personal data; a logistic regression on votes and pairs
-of votes, trained on those likelihoods, decides on every span. The gazetteer of given names is read off
-the corpus itself: names that follow phrases of introduction.
+Patterns propose spans; names are proposed by phrases, titles and verbs around them and, anywhere in
+prose, by runs of capitalised words of which the gazetteer knows one. For each span, labelers (check of
+form, context before and after, gazetteer, shape, signs of something else) vote for, against, or
+abstain. Votes are counted over the whole corpus by pattern of votes; expectation-maximisation estimates
+from these counts how reliable each labeler is and how likely each pattern is personal data. A logistic
+regression on votes, pairs of votes, the span's shape and the words next to it, trained on those
+likelihoods, decides on every span. The gazetteer of names is read off the corpus itself: names that
+follow phrases of introduction.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +30,9 @@ LABELERS = ("form", "before", "after", "gazetteer", "shape", "decoy")
 #: A given name enters the gazetteer if so many texts introduce it; a gazetteer of up to so many names is broadcast, a longer one joined.
 GAZETTEER_TEXTS, GAZETTEER_SIZE = 2, 50_000
 
+#: About how many spans of each kind the classifier is trained on, and the buckets of its hashed features.
+TRAIN_SPANS, BUCKETS_LOG2 = 4_000, 14
+
 # --- Fixed values: phrases and words of the languages -------------------------------------------------
 INTRODUCTIONS = """
 je m'appelle|mon nom est|au nom de|de la part de|my name is|in the name of|ich heiße|ich heisse|mein name ist|auf den namen|im namen von
@@ -45,6 +52,7 @@ erreichen|rufen|contact|kontakt|contacto|urgent|urgente|dringend|dringen|whatsap
 """
 IDENTITY = """
 nir|sécu|sécurité sociale|insurance|social security|ssn|dni|nie|nif|codice fiscale|steuer-id|steuernummer|steuer-identifikationsnummer|bsn|burgerservicenummer|cpf|passport|passeport|identity|identité|sozialversicherung
+id no|id nr|id number|id-nr|n° d'identité|ausweisnummer|número de identidad|número de identificação|numero di identità
 """
 LIVING = """
 habite|adresse|échantillon au|arriver au|envoyer|live at|sample to|gone to|address|wohne|probe an|anschrift|vivo en|muestra a|dirección|abito|campione in|indirizzo|moro|amostra para|endereço|woon|monster naar|adres
@@ -60,6 +68,10 @@ STREETS_BEFORE = {  # number, then type, then name; or type, name, number
 }
 STREETS_AFTER = "street st. road rd. lane close avenue drive way court crescent gardens place square terrace hill"
 STREET_ENDINGS = "straße strasse str. gasse weg platz allee ring damm ufer straat laan plein gracht kade singel dijk"
+#: National numbers without a leading 0 or +, digits only: Spain, Portugal, Italy, North America.
+NATIONAL = r"[6789]\d{8}|2\d{8}|3\d{8,9}|[2-9]\d\d[2-9]\d{6}"
+#: Words whose full stop doesn't end a sentence.
+SHORTENED = "tel tél tfno tlf mob no nr n nº num núm ref réf st av avda bd c dr dra sr sra mr mrs ms sig prof"
 SMALL_WORDS = "le la les un une des du de et mais est the a an and but is of der die das und aber ist von el los y pero es il lo gli e ma o os as um uma het een en maar mon ma mes my mein meine mi mio me had hatte"
 # ------------------------------------------------------------------------------------------------------
 
@@ -94,6 +106,11 @@ _CITY = re.compile(r"(?:,\s*\d+º\s*\w)?(?:\s*[,–-]\s*|\s+)(?:\d{4,5}(?:-\d{3}
 _POSTAL = re.compile(r"[\s,–-]+(?:\d{4,5}(?:-\d{3})?|[A-Z]{1,2}\d)|,?\s+\d{4}\s?[A-Z]{2}|,?\s+[^\W\d_]\w+\s+[A-Z]{1,2}\d", _I)
 _CALLS, _IDENTITY, _LIVING, _DECOYS = (re.compile(rf"(?<!\w)(?:{_phrases(x)})", _I) for x in (CALLS, IDENTITY, LIVING, DECOYS))
 _SMALL = frozenset(SMALL_WORDS.split())
+_NATIONAL = re.compile(NATIONAL)
+_SHORTENED = frozenset(SHORTENED.split())
+_LAST_WORD = re.compile(r"\w*\Z")
+#: Two or three words with a capital; the first words of sentences are among them.
+_CAPITALS = re.compile(r"(?<![\w@#])[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[ \xa0-][^\W\d_a-zß-öø-ÿ][^\W\d_]+){1,2}(?!\w)")
 #: Characters that take no room on the page, made blanks so that patterns see words; positions stay.
 _UNSEEN = {c: " " for c in (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD, 0x2060)}
 #: What tells which patterns are worth trying on a text: flags by word that must stand in it.
@@ -129,9 +146,13 @@ def flags_of(text: str) -> int:
 
 
 def _near(text: str, at: int, size: int) -> str:
-    """The end of the sentence up to `at`, of at most `size` characters."""
+    """The end of the sentence up to `at`, of at most `size` characters; the full stop of a shortened word ends none."""
     part = text[max(0, at - size) : at]
-    cut = max(part.rfind(". "), part.rfind("\n"), part.rfind("! "), part.rfind("? "))
+    cut = max(part.rfind("\n"), part.rfind("! "), part.rfind("? "))
+    stop = part.rfind(". ")
+    while stop > cut and _LAST_WORD.search(part, max(0, stop - 8), stop).group().lower() in _SHORTENED:
+        stop = part.rfind(". ", 0, stop)
+    cut = max(cut, stop)
     return part[cut + 1 :] if cut >= 0 else part
 
 
@@ -178,8 +199,7 @@ def _address_end(text: str, at: int) -> int:
 
 def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, tuple[int, ...]]]:
     """Proposed spans (kind, start, end, votes) of a text; starts count from 0."""
-    if not (flags := flags_of(text)):
-        return []
+    flags = flags_of(text)
     text = text.translate(_UNSEEN)
     out: dict[tuple[str, int], tuple[int, tuple[int, ...]]] = {}
 
@@ -202,9 +222,9 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, tu
             digits, before = sum(c.isdigit() for c in v), _near(text, a, 60)
             identity, call, decoy = bool(_IDENTITY.search(before)), bool(_CALLS.search(before) or _CALLS.search(text[b : b + 20])), bool(_DECOYS.search(_near(text, a, 30)))
             date = bool(re.match(r"\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d\d-\d\d", v))
-            dialled = v[0] in "+(0"
+            dialled, national = v[0] in "+(0", bool(_NATIONAL.fullmatch("".join(filter(str.isdigit, v))))
             if 7 <= digits <= 15 and not identity:
-                add("phone", a, b, (_vote(dialled and digits >= 9, date), _vote(call), 0, 0, _vote(bool(re.search(r"\d[\s.()/-]\d", v)) or dialled, not dialled), _vote(False, decoy or date)))
+                add("phone", a, b, (_vote(dialled and digits >= 9 or national, date), _vote(call), 0, 0, _vote(bool(re.search(r"\d[\s.()/-]\d", v)) or dialled, not (dialled or national)), _vote(False, decoy or date)))
             if 8 <= digits <= 15 and not date:
                 add("id_number", a, b, (_vote(digits in (9, 11, 13, 15)), _vote(identity, not identity), 0, 0, _vote(False, v[0] in "+("), _vote(False, decoy or call and not identity)))
     if flags & STREET and any(map(str.isdigit, text)):
@@ -220,6 +240,11 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, tu
         if span := _inside_name(text, m.start("name"), m.end("name"), True):
             title = bool(_TITLE.search(text[max(0, span[0] - 12) : span[0]].rstrip()))
             add("name", *span, _name_votes(text, *span, False, title, True, given))
+    taken = sorted((a, b) for (_, a), (b, _) in out.items())
+    for m in _CAPITALS.finditer(text):
+        a, b = m.span()
+        if not any(x < b and a < y for x, y in taken) and any(t.lower() in given for t in re.findall(_TOKEN, m.group())) and (span := _inside_name(text, a, b, False)):
+            add("name", *span, _name_votes(text, *span, False, False, False, given))
     return [(kind, a, b, votes) for (kind, a), (b, votes) in sorted(out.items(), key=lambda x: x[0][1])]
 
 
@@ -252,10 +277,8 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[
     return {k: float(x) for k, x in zip(counts, p)}
 
 
-def train_classifier(counts: dict[tuple[int, ...], int], likelihood: dict[tuple[int, ...], float], rounds: int = 400) -> dict[tuple[int, ...], float]:
-    """A logistic regression on votes and pairs of votes, trained on likelihoods; its score for each pattern."""
-    if not counts:
-        return {}
+def _vote_weights(counts: dict[tuple[int, ...], int], likelihood: dict[tuple[int, ...], float], rounds: int = 400) -> np.ndarray:
+    """Of a logistic regression on votes and pairs of votes, trained on likelihoods."""
     x = np.array([_features(k) for k in counts])
     y, n = np.array([likelihood[k] for k in counts]), np.sqrt(np.array(list(counts.values()), float))
     w = np.zeros(x.shape[1])
@@ -263,7 +286,50 @@ def train_classifier(counts: dict[tuple[int, ...], int], likelihood: dict[tuple[
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
         w -= 4.0 * (x.T @ (n * (p - y)) + 1e-4 * w)
-    return {k: float(v) for k, v in zip(counts, 1 / (1 + np.exp(-x @ w)))}
+    return w
+
+
+def train_classifier(counts: dict[tuple[int, ...], int], likelihood: dict[tuple[int, ...], float], rounds: int = 400) -> dict[tuple[int, ...], float]:
+    """The score of each pattern by votes and pairs of votes alone."""
+    if not counts:
+        return {}
+    w = _vote_weights(counts, likelihood, rounds)
+    return {k: float(1 / (1 + np.exp(-np.dot(_features(k), w)))) for k in counts}
+
+
+def shape_and_neighbours(text: str, a: int, b: int) -> list[int]:
+    """Buckets of the span's shape and length, and of two words on either side."""
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", text[a:b][:80])))
+    before, after = re.findall(r"\w+|[^\w\s]", text[max(0, a - 40) : a].lower())[-2:], re.findall(r"\w+|[^\w\s]", text[b : b + 40].lower())[:2]
+    keys = [f"s{shape}", f"n{min(40, (b - a) // 3)}", *(f"b{k}{w}" for k, w in enumerate(reversed(before))), *(f"a{k}{w}" for k, w in enumerate(after))]
+    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) >> (32 - BUCKETS_LOG2) for k in keys]
+
+
+@dataclass
+class SpanClassifier:
+    """Scores of one kind's spans: votes, their pairs, and what stands in and next to the span."""
+
+    votes: np.ndarray
+    context: np.ndarray
+
+    def score(self, votes: list[tuple[int, ...]], near: list[list[int]]) -> np.ndarray:
+        x = np.array([_features(v) for v in votes]) @ self.votes + np.array([self.context[f].sum() for f in near])
+        return 1 / (1 + np.exp(-x))
+
+
+def train_spans(counts: dict[tuple[int, ...], int], likelihood: dict[tuple[int, ...], float], sample: list[tuple[tuple[int, ...], list[int]]], epochs: int = 4, rate: float = 0.2) -> SpanClassifier:
+    """Starts from the votes' weights; a sample of spans (votes, buckets) then teaches what contexts add, in shrunken steps per weight."""
+    w, c = _vote_weights(counts, likelihood), np.zeros(1 << BUCKETS_LOG2)
+    seen = np.ones(1 << BUCKETS_LOG2)
+    x, y = np.array([_features(v) for v, _ in sample]).reshape(len(sample), -1), np.array([likelihood[v] for v, _ in sample])
+    rng = np.random.default_rng(5)
+    for _ in range(epochs):
+        for i in rng.permutation(len(sample)):
+            f = sample[i][1]
+            g = 1 / (1 + np.exp(-(x[i] @ w + c[f].sum()))) - y[i]
+            seen[f] += g * g
+            c[f] -= rate * (g / np.sqrt(seen[f]) + 1e-3 * c[f])
+    return SpanClassifier(w, c)
 
 
 def _features(votes: tuple[int, ...]) -> list[float]:
@@ -340,7 +406,7 @@ def find_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
-            at, kinds, starts, ends, votes = [], [], [], [], []
+            at, kinds, starts, ends, votes, near = [], [], [], [], [], []
             for i, (text, known) in enumerate(zip(batch.column("text").to_pylist(), batch.column("known").to_pylist())):
                 for k, a, b, v in candidates(text, frozenset(known) if known else given.value):
                     at.append(i)
@@ -348,19 +414,34 @@ def find_personal(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     starts.append(a)
                     ends.append(b)
                     votes.append(list(v))
+                    near.append(shape_and_neighbours(text, a, b))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(votes, pa.list_(pa.int32()))], ["id", "kind", "start", "end", "votes"]
+                [ids.take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(votes, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int32()))], ["id", "kind", "start", "end", "votes", "near"]
             )
 
-    spans = materialise(src.mapInArrow(propose, f"id {kind}, kind string, start int, end int, votes array<int>"), "personal-spans")
+    spans = materialise(src.mapInArrow(propose, f"id {kind}, kind string, start int, end int, votes array<int>, near array<int>"), "personal-spans")
     # Three votes of six labelers on five kinds: at most 3,645 patterns, whatever the corpus.
     counted = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    scores = []
-    for k in KINDS:
-        counts = {tuple(r.votes): r.n for r in counted if r.kind == k}
-        scores += [(k, list(v), p) for v, p in train_classifier(counts, reliabilities(counts)).items()]
-    table = spark.createDataFrame(scores, "kind string, votes array<int>, score double")
-    accepted = spans.join(F.broadcast(table.where("score >= 0.5")), ["kind", "votes"])
+    by_kind = {k: {tuple(r.votes): r.n for r in counted if r.kind == k} for k in KINDS}
+    # The same spans in every run: those whose hash falls below a bound that their kind's number sets.
+    space, part = 1 << 40, F.lit(0)
+    for k, counts in by_kind.items():
+        part = F.when(F.col("kind") == k, min(1 << 40, (1 << 40) * TRAIN_SPANS // max(1, sum(counts.values())))).otherwise(part)
+    drawn = spans.where(F.pmod(F.xxhash64("id", "kind", "start"), F.lit(space)) < part).select("kind", "votes", "near").limit(2 * len(KINDS) * TRAIN_SPANS).collect()
+    drawn = sorted((r.kind, tuple(r.votes), r.near) for r in drawn)
+    trained = {k: train_spans(counts, reliabilities(counts), [(v, near) for kind_, v, near in drawn if kind_ == k]) for k, counts in by_kind.items() if counts}
+    deciders = spark.sparkContext.broadcast(trained)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, votes, near = (batch.column(c).to_pylist() for c in ("kind", "votes", "near"))
+            score = np.zeros(batch.num_rows)
+            for k, decider in deciders.value.items():
+                if at := [i for i, x in enumerate(kinds) if x == k]:
+                    score[at] = decider.score([tuple(votes[i]) for i in at], [near[i] for i in at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "kind", "start", "end")), pa.array(score)], ["id", "kind", "start", "end", "score"])
+
+    accepted = spans.mapInArrow(decide, f"id {kind}, kind string, start int, end int, score double").where("score >= 0.5")
     found = F.collect_set(F.struct(F.array_position(F.array(*[F.lit(k) for k in ("id_number", "email", "phone", "address", "name")]), F.col("kind")).alias("rank"), "start", "end", "kind", "score"))
     kept = F.aggregate(  # of one text
         F.sort_array(found),
