@@ -11,6 +11,7 @@ from ..config import SETTINGS
 from ..functions.similarity import indel_ratio, indel_udf
 from ..session import materialise
 from .graph import components
+from .skew import attach_group
 
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
@@ -99,13 +100,12 @@ def shingle_candidates(texts: DataFrame, words: int = SHINGLE_WORDS, similarity:
     grams = F.when(n == 0, F.array(F.lit(""))).when(n < words, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))
     sh = materialise(texts.select("id", "grp", toks.alias("w")).select("id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64("grp", g))).alias("s")), "shingles")
     flat = sh.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    counts = flat.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = flat.join(counts, "h").where("df > 1 or n = 1")
-    # A shingle of one text only can match no other, but keeps its place in the prefix.
-    single = flat.join(counts.where("df = 1"), "h").groupBy("id").agg(F.count("*").alias("unique"))
-    order = Window.partitionBy("id").orderBy("df", "h")
-    prefix = ranked.where("df > 1").withColumn("place", F.row_number().over(order)).join(single, "id", "left")
-    prefix = prefix.where(F.col("place") + F.coalesce("unique", F.lit(0)) <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
+    shared = materialise(flat.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    # A shingle of one text only can match no other, but keeps its place, before all others, in the prefix.
+    ranked = attach_group(flat, shared, "h", sh.agg(F.sum(F.size("s"))).first()[0] or 0, size="df")
+    order, text = Window.partitionBy("id").orderBy("df", "h"), Window.partitionBy("id")
+    prefix = ranked.withColumns({"place": F.row_number().over(order), "unique": F.col("n") - F.count("*").over(text)})
+    prefix = prefix.where(F.col("place") + F.col("unique") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
     p = prefix.select("id", "n", "h")
     met = p.select(F.col("id").alias("a"), F.col("n").alias("na"), "h").join(p.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h"), "h")
     met = met.where((F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)).select("a", "b").distinct()
