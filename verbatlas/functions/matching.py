@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import NEGATION_PATTERNS, SETTINGS
@@ -119,6 +122,115 @@ class Matcher:
         return [(self.names[k], sorted(terms)) for k, terms in found.items()]
 
 
+class Vocabulary:
+    """Distinct keywords with their negations, negative keywords and regular expressions of many topics. A text's
+    signature says which of them it holds; all that its topics and terms are depends on this alone."""
+
+    def __init__(self, entries: Iterable[tuple], window: int = SETTINGS.negation_window_chars):
+        """entries: ("k", lower-case keyword, negations as JSON or ""), ("n", lower-case negative keyword, "") or ("p", regular expression, "")."""
+        import ahocorasick
+
+        self.ids: dict[tuple, int] = {}
+        self.patterns: list[tuple[int, re.Pattern]] = []
+        words: dict[str, int] = {}
+        self.keys: list[list] = []  # word → (entry, its negation, the words of which one must be there for it)
+        self.nots: list[int] = []  # word → entry, or -1
+
+        def word(low: str) -> int:
+            if (w := words.setdefault(low, len(words))) == len(self.keys):
+                self.keys.append([])
+                self.nots.append(-1)
+            return w
+
+        for entry in entries:
+            if entry in self.ids or not entry[1]:
+                continue
+            kind, low, negations = entry
+            if kind == "p":
+                if (compiled := _compiled(low)) is not None:
+                    self.patterns.append((self.ids.setdefault(entry, len(self.ids)), compiled))
+                continue
+            k, w = self.ids.setdefault(entry, len(self.ids)), word(low)
+            if kind == "n":
+                self.nots[w] = k
+            else:
+                no = tuple(json.loads(negations) or ()) if negations else ()
+                self.keys[w].append((k, _negated(low, no, window), frozenset(word(n) for n in no if n and len(n) <= window)))
+        self.finder = ahocorasick.Automaton()
+        for low, w in words.items():
+            self.finder.add_word(low, w)
+        if words:
+            self.finder.make_automaton()
+
+    def signature(self, low: str) -> bytes:
+        """The sorted entries that a lower-case text holds, four bytes each."""
+        hits = {w for _, w in self.finder.iter(low)} if len(self.finder) else ()
+        held = [k for k, pattern in self.patterns if pattern.search(low)]
+        for w in hits:
+            if (k := self.nots[w]) >= 0:
+                held.append(k)
+            for k, no, needs in self.keys[w]:
+                if no is None or needs.isdisjoint(hits) or not no.search(low):
+                    held.append(k)
+        return np.array(sorted(held), np.int32).tobytes() if held else b""
+
+
+class ProjectRules:
+    """The topics of one project: what a signature matches, by arrays."""
+
+    def __init__(self, topics: list[tuple], ids: dict[tuple, int]):
+        """topics: (topic, {words: [[term, keyword, negations]], nots, patterns: [[label, regular expression]]}); ids: of a Vocabulary.
+
+        A topic that is listed several times matches as one, by each of its rules.
+        """
+        names, pairs, listing, pair, uses, bars = {}, {}, [], [], {}, {}
+        self.first: dict = {}  # topic → its first rule
+        for k, (name, rule) in enumerate(topics):
+            t = names.setdefault(name, len(names))
+            for entry, term in [*((("k", low, no or ""), term) for term, low, no in rule.get("words") or ()), *((("p", source, ""), label) for label, source in rule.get("patterns") or ())]:
+                if entry in ids:
+                    uses.setdefault(ids[entry], []).append(len(pair))
+                    listing.append(k)
+                    pair.append(pairs.setdefault((t, term), len(pairs)))
+            for low in rule.get("nots") or ():
+                if ("n", low, "") in ids:
+                    bars.setdefault(ids["n", low, ""], []).append(k)
+            self.first.setdefault(name, rule)
+        self.names = list(names)
+        self.terms = [term for _, term in pairs]
+        self.topic = np.array([t for t, _ in pairs], np.int64)
+        self._listing, self._pair = np.array(listing, np.int64), np.array(pair, np.int64)
+        self._uses, self._bars = ({k: np.array(x, np.int64) for k, x in d.items()} for d in (uses, bars))
+        self._once = len(pairs) == len(pair)
+        self._barred, self._seen, self._met = (np.zeros(n, bool) for n in (len(topics), len(pairs), len(names)))
+
+    def matched(self, signature: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Topics (positions in names) and pairs (positions in topic and terms) that a text of this signature matches, each once."""
+        held = np.frombuffer(signature, np.int32).tolist()
+        if not (met := [self._uses[k] for k in held if k in self._uses]):
+            return _NONE, _NONE
+        found = np.concatenate(met)
+        if barred := [self._bars[k] for k in held if k in self._bars]:
+            for b in barred:
+                self._barred[b] = True
+            found = found[~self._barred[self._listing[found]]]
+            for b in barred:
+                self._barred[b] = False
+        pairs = self._pair[found] if self._once else _distinct(self._pair[found], self._seen)
+        return _distinct(self.topic[pairs], self._met), pairs
+
+
+_NONE = np.array([], np.int64)
+
+
+def _distinct(positions: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Sorted distinct positions; flags are all false before and after."""
+    flags[positions] = True
+    out = np.flatnonzero(flags)
+    flags[out] = False
+    return out
+
+
 @lru_cache(100_000)
 def _negated(low: str, negations: tuple[str, ...], window: int) -> re.Pattern | None:
     """Matches where a negation ends within `window` characters before the keyword; None without usable negations."""

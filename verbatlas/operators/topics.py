@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.matching import Matcher, compiled_keywords, compiled_regexes, default_negations
+from ..functions.matching import Matcher, ProjectRules, Vocabulary, compiled_keywords, compiled_regexes, default_negations
 
-#: Most rows of rules, or of the dictionary, that are broadcast at once; more rules travel with the texts of their project, more entries take more passes.
+#: Most distinct entries of rules, or rows of the dictionary, that are broadcast at once; more of rules are sought project by project, more of the dictionary take more passes.
 BROADCAST_RULES = 50_000
+#: Most regular expressions that every text is tried with, whatever its project.
+BROADCAST_PATTERNS = 20
+#: A project with more than 1/HOT_SHARE of all verbatims is divided.
+HOT_SHARE, LEAST_HOT = 200, 1_000
 
 
 def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True) -> DataFrame:
@@ -24,46 +34,321 @@ def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True
     )
 
 
-def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text", negation: bool = True, regexes: bool = True) -> DataFrame:
-    """Rows (ord, topic_id, terms) of every match of a topic in a verbatim of its project.
+def _flat(rules: DataFrame, negation: bool = True, regexes: bool = True, *more: str) -> DataFrame:
+    """Rules as (project_id, topic_id, rule as JSON with the columns `more`, entries of its Vocabulary)."""
+    none, nones = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    words = F.transform("rules", lambda k: F.array(k["term"], k["low"], F.to_json(k["negations"]) if negation else F.lit("")))
+    nots = F.transform(F.filter(F.coalesce("negatives", none), lambda n: F.length(n) > 0), lambda n: F.lower(n))
+    patterns = F.transform("regexes", lambda r: F.array(r["label"], r["source"])) if regexes else nones
+    flat = rules.where(F.col("project_id").isNotNull()).select("project_id", "topic_id", F.coalesce(words, nones).alias("words"), nots.alias("nots"), F.filter(F.coalesce(patterns, nones), lambda r: r[1].isNotNull()).alias("patterns"), *more)
+    of = lambda kind, c, a, b: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), a(x).alias("low"), b(x).alias("negations")))
+    blank = lambda x: F.lit("")
+    entries = F.concat(of("k", "words", lambda x: x[1], lambda x: F.coalesce(x[2], F.lit(""))), of("n", "nots", lambda x: x, blank), of("p", "patterns", lambda x: x[1], blank))
+    return flat.select("project_id", "topic_id", F.to_json(F.struct("words", "nots", "patterns", *more)).alias("rule"), entries.alias("entries"))
+
+
+def _vocabulary(flat: DataFrame) -> Broadcast | None:
+    """The distinct entries of all rules; None where they are more than BROADCAST_RULES or BROADCAST_PATTERNS."""
+    met = flat.select(F.explode("entries").alias("e")).select("e.*").distinct().limit(BROADCAST_RULES + 1).collect()
+    if len(met) > BROADCAST_RULES or sum(r.kind == "p" for r in met) > BROADCAST_PATTERNS:
+        return None
+    return flat.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(tuple(r) for r in met)))
+
+
+_held: dict[str, Vocabulary] = {}
+
+
+def _opened(shared: Broadcast) -> Vocabulary:
+    """The vocabulary of a broadcast, kept by the worker as long as its tasks use the same."""
+    name, entries = shared.value
+    if name not in _held:
+        _held.clear()
+        _held[name] = Vocabulary(entries)
+    return _held[name]
+
+
+def _signed(rows: DataFrame, shared: Broadcast, keep_all: bool) -> DataFrame:
+    """Rows with the signature of the text `low` in its place; with keep_all, those that hold nothing of the vocabulary too."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signature = _opened(shared).signature
+        for batch in batches:
+            signed = pa.array([b"" if low is None else signature(low) for low in batch.column("low").to_pylist()], pa.binary())
+            out = pa.RecordBatch.from_arrays([signed if c == "low" else batch.column(c) for c in names], names)
+            yield out if keep_all else out.filter(pc.greater(pc.binary_length(signed), 0))
+
+    return rows.mapInArrow(run, StructType([StructField("low", BinaryType()) if f.name == "low" else f for f in rows.schema]))
 
-    Each text is read once, by an automaton of all keywords in Arrow batches, and one row leaves per match
-    only. Null and empty texts match nothing; a topic listed twice matches twice; regular expressions
-    that do not compile match nothing.
+
+class _Sink:
+    """What becomes of the matches of each text: made of one partition's rows, project after project."""
+
+    #: Rows, or characters, that are held before they leave.
+    most = 200_000
+
+    #: Whether a row that is there twice counts once.
+    distinct = False
+    kind: pa.DataType | None = None  # of topic_id
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.size, self.rows = columns, 0, []
+
+    def opened(self, rules: ProjectRules) -> None: ...
+
+    def add(self, i: int, rules: ProjectRules, topics: np.ndarray, pairs: np.ndarray, again: bool, n: int) -> None: ...
+
+    def closed(self, rules: ProjectRules) -> pa.RecordBatch | None: ...
+
+    def flush(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        """What the batch's rows so far have given."""
+
+
+def _swept(rows: DataFrame, flat: DataFrame, shared: Broadcast | None, sink: Callable[[], _Sink], schema: str | StructType, spread_hot: dict[str, int], order: tuple[str, ...] = ()) -> DataFrame:
+    """Every project's rules, then its rows, in one sorted stream: a project's rules are read once for all of its rows.
+
+    rows: project_id, low (signature, or text without `shared`), `n` where a row stands for several texts, other columns.
+    The rows of the projects in spread_hot go to as many parts, each with the rules.
     """
-    spark, kinds = rules.sparkSession, (verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString())
-    words = F.transform("rules", lambda k: F.struct(k["term"].alias("term"), k["low"].alias("low"), k["negations"].alias("negations")))
-    nots = F.transform(F.coalesce("negatives", F.array().cast("array<string>")), lambda n: F.lower(n))
-    flat = rules.where(F.col("project_id").isNotNull()).select("project_id", "topic_id", words.alias("words"), nots.alias("nots"), F.transform("regexes", lambda r: F.struct(r["label"].alias("label"), r["source"].alias("source"))).alias("patterns"))
-    v = verbatims.where(F.length(text) > 0).select("ord", "project_id", F.lower(text).alias("low"))
-    held = flat.limit(BROADCAST_RULES + 1).collect()
-    small = len(held) <= BROADCAST_RULES
-    shared = spark.sparkContext.broadcast([(r.project_id, r.topic_id, [tuple(w) for w in r.words], list(r.nots), [tuple(x) for x in r.patterns]) for r in held] if small else [])
+    if spread_hot:
+        parts = F.coalesce(F.create_map(*[F.lit(x) for kv in spread_hot.items() for x in kv])[F.col("project_id")], F.lit(1))
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("ord"), parts).cast("int"))
+        flat = flat.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    else:
+        rows, flat = rows.withColumn("_part", F.lit(0)), flat.withColumn("_part", F.lit(0))
+    columns = [c for c in rows.columns if c not in ("project_id", "low", "_part")]
+    both = flat.select("project_id", "_part", "topic_id", "rule").unionByName(rows, allowMissingColumns=True)
+    # A project's rows are few or spread; more partitions than cores even them out.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    keys = ["project_id", "_part"] if "ord" not in columns else [F.col("project_id"), F.col("_part"), F.when(F.col("project_id").isNull(), F.xxhash64("ord"))]
+    both = both.repartition(tasks, *keys).sortWithinPartitions("project_id", "_part", F.col("rule").isNull(), "low", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, by_project = Matcher(shared.value, negation, regexes), {}
+        out, at, listed, rules, last, before, found = sink(columns), None, [], None, None, None, None
+        words = None if shared is None else _opened(shared)
         for batch in batches:
-            at, topic, terms = [], [], []
-            for i, (project, low) in enumerate(zip(batch.column("project_id").to_pylist(), batch.column("low").to_pylist())):
-                matcher = every
-                if not small:
-                    if project not in by_project:
-                        by_project[project] = Matcher([(project, t["topic_id"], [(w["term"], w["low"], w["negations"]) for w in t["words"]], t["nots"], [(x["label"], x["source"]) for x in t["patterns"]]) for t in batch.column("topics")[i].as_py()], negation, regexes)
-                    matcher = by_project[project]
-                for name, met in matcher.match(project, low):
-                    at.append(i)
-                    topic.append(name)
-                    terms.append(met)
-            yield pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(at, pa.int64())), pa.array(topic, pa.string() if kinds[1] == "string" else None), pa.array(terms, pa.list_(pa.string()))], ["ord", "topic_id", "terms"])
-
-    if not small:
-        v = v.join(flat.groupBy("project_id").agg(F.collect_list(F.struct("topic_id", "words", "nots", "patterns")).alias("topics")), "project_id")
-    return v.mapInArrow(run, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>")
-
-
-def topic_metrics(verbatims: DataFrame, rules: DataFrame, matches: DataFrame) -> DataFrame:
+            projects, parts, names, texts, lows = (batch.column(c).to_pylist() for c in ("project_id", "_part", "topic_id", "rule", "low"))
+            counts = batch.column("n").to_pylist() if "n" in columns else None
+            ords = batch.column("ord").to_pylist() if out.distinct else None
+            out.kind = batch.schema.field("topic_id").type
+            for i, text in enumerate(texts):
+                if at != (projects[i], parts[i]):
+                    if rules is not None and (done := out.closed(rules)) is not None:
+                        yield done
+                    at, listed, rules, last = (projects[i], parts[i]), [], None, None
+                if text is not None:
+                    listed.append((names[i], json.loads(text)))
+                    continue
+                if rules is None:
+                    own = words if words is not None else Vocabulary(e for _, r in listed for e in [*(("k", low, no or "") for _, low, no in r.get("words") or ()), *(("n", low, "") for low in r.get("nots") or ()), *(("p", p, "") for _, p in r.get("patterns") or ())])
+                    rules = ProjectRules(listed, own.ids)
+                    out.opened(rules)
+                held = lows[i] if shared is not None else own.signature(lows[i]) if lows[i] else b""
+                again = held == last
+                if again and ords and ords[i] == before:
+                    continue
+                if not again:
+                    last, found = held, rules.matched(held)
+                before = ords[i] if ords else None
+                out.add(i, rules, *found, again, counts[i] if counts else 1)
+                if out.size > out.most and (done := out.flush(batch)) is not None:
+                    yield done
+            if (done := out.flush(batch)) is not None:
+                yield done
+        if rules is not None and (done := out.closed(rules)) is not None:
+            yield done
+
+    return both.mapInArrow(run, schema)
+
+
+def _hot(verbatims: DataFrame) -> dict[str, int]:
+    """Projects with more than 1/HOT_SHARE of the rows, with the number of parts that leaves less in each."""
+    sizes = verbatims.where(F.col("project_id").isNotNull()).groupBy("project_id").agg(F.count("*").alias("n"))
+    least = max(LEAST_HOT, verbatims.count() // HOT_SHARE)
+    return {r.project_id: -(-r.n // least) for r in sizes.where(F.col("n") > least).collect()}
+
+
+def _rows(verbatims: DataFrame, shared: Broadcast | None, text: str, *columns: str) -> DataFrame:
+    """Texts that can match, as _swept takes them."""
+    v = verbatims.where((F.length(text) > 0) & F.col("project_id").isNotNull()).select(*columns, "project_id", F.lower(text).alias("low"))
+    return v if shared is None else _signed(v, shared, False)
+
+
+class _Matches(_Sink):
+    """(ord, topic_id, terms) of each match."""
+
+    def __init__(self, columns):
+        super().__init__(columns)
+        self.rows, self.names, self.terms, self.last = [], [], [], []
+
+    def add(self, i, rules, topics, pairs, again, n):
+        if not again:
+            by_topic: dict[int, list] = {}
+            for t, p in zip(rules.topic[pairs].tolist(), pairs.tolist()):
+                by_topic.setdefault(t, []).append(rules.terms[p])
+            self.last = [(rules.names[t], sorted(terms)) for t, terms in by_topic.items()]
+        for name, terms in self.last:
+            self.rows.append(i)
+            self.names.append(name)
+            self.terms.append(terms)
+        self.size += len(self.last)
+
+    def flush(self, batch):
+        if self.rows:
+            out = pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(self.rows, pa.int64())), pa.array(self.names, self.kind), pa.array(self.terms, pa.list_(pa.string()))], ["ord", "topic_id", "terms"])
+            self.rows, self.names, self.terms, self.size = [], [], [], 0
+            return out
+
+
+class _Pairs(_Sink):
+    """(ord, topic_id) of each match, by arrays."""
+
+    distinct = True
+
+    def __init__(self, columns):
+        super().__init__(columns)
+        self.kept = []  # (topic ids of a project, rows, topics of each)
+
+    def opened(self, rules):
+        self.names = pa.array(rules.names, self.kind)
+
+    def add(self, i, rules, topics, pairs, again, n):
+        if len(topics):
+            if not self.kept or self.kept[-1][0] is not self.names:
+                self.kept.append((self.names, [], []))
+            self.kept[-1][1].append(i)
+            self.kept[-1][2].append(topics)
+            self.size += len(topics)
+
+    def flush(self, batch):
+        if self.kept:
+            at = np.concatenate([np.repeat(rows, [len(t) for t in topics]) for _, rows, topics in self.kept])
+            names = pa.concat_arrays([names.take(pa.array(np.concatenate(topics))) for names, _, topics in self.kept])
+            self.kept, self.size = [], 0
+            return pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(at)), names], ["ord", "topic_id"])
+
+
+class _Met(_Sink):
+    """The ord of each text with a match."""
+
+    distinct = True
+
+    def add(self, i, rules, topics, pairs, again, n):
+        if len(topics):
+            self.rows.append(i)
+
+    def flush(self, batch):
+        if self.rows:
+            out = pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(self.rows, pa.int64()))], ["ord"])
+            self.rows = []
+            return out
+
+
+class _Counts(_Sink):
+    """Per topic (topic_id, null, texts), and per term (topic_id, term, texts)."""
+
+    def opened(self, rules):
+        self.volumes, self.counts = np.zeros(len(rules.names), np.int64), np.zeros(len(rules.terms), np.int64)
+
+    def add(self, i, rules, topics, pairs, again, n):
+        self.volumes[topics] += n
+        self.counts[pairs] += n
+
+    def closed(self, rules):
+        topics, pairs = np.flatnonzero(self.volumes), np.flatnonzero(self.counts)
+        names = [rules.names[t] for t in [*topics.tolist(), *rules.topic[pairs].tolist()]]
+        terms = [None] * len(topics) + [rules.terms[p] for p in pairs.tolist()]
+        if names:
+            return pa.RecordBatch.from_arrays([pa.array(names, self.kind), pa.array(terms, pa.string()), pa.array(np.concatenate([self.volumes[topics], self.counts[pairs]]))], ["topic_id", "term", "verbatims"])
+
+
+class _Labels(_Sink):
+    """The rows with the labels of the topics that they match, in topic order, joined by ` | `."""
+
+    most = 8_000_000
+
+    def __init__(self, columns):
+        super().__init__(columns)
+        self.joined, self.last = [], ""
+
+    def opened(self, rules):
+        listed = [(label.get("topic_ord") is None, label.get("topic_ord"), name is None, name, t, label["canonical_label"]) for t, (name, rule) in enumerate(rules.first.items()) for label in rule["labels"] if label.get("canonical_label") is not None]
+        listed.sort(key=lambda x: x[:5])
+        self.topic, self.label = np.array([x[4] for x in listed], np.int64), np.array([x[5] for x in listed], object)
+        self.met = np.zeros(len(rules.names), bool)
+
+    def add(self, i, rules, topics, pairs, again, n):
+        if not again:
+            self.met[topics] = True
+            self.last = " | ".join(self.label[self.met[self.topic]].tolist()) if len(topics) else ""
+            self.met[topics] = False
+        self.rows.append(i)
+        self.joined.append(self.last)
+        self.size += len(self.last)
+
+    def flush(self, batch):
+        if self.rows:
+            at = pa.array(self.rows, pa.int64())
+            out = pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in self.columns], pa.array(self.joined, pa.string())], [*self.columns, "topics"])
+            self.rows, self.joined, self.size = [], [], 0
+            return out
+
+
+def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text", negation: bool = True, regexes: bool = True) -> DataFrame:
+    """Rows (ord, topic_id, terms) of every match of a topic in a verbatim of its project.
+
+    An automaton of all keywords reads each text once; what it found goes to the project's rules. More entries
+    than are broadcast are sought project by project. Null and empty texts match nothing; a topic listed twice
+    matches once, by each of its rules; regular expressions that do not compile match nothing.
+    """
+    flat = _flat(rules, negation, regexes)
+    shared = _vocabulary(flat)
+    kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
+    return _swept(_rows(verbatims, shared, text, "ord"), flat, shared, _Matches, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>", _hot(verbatims))
+
+
+def matched_pairs(verbatims: DataFrame, rules: DataFrame, negation: bool = True, regexes: bool = True) -> DataFrame:
+    """Distinct rows (ord, topic_id) of topic_matches."""
+    flat = _flat(rules, negation, regexes)
+    shared = _vocabulary(flat)
+    kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
+    pairs = _swept(_rows(verbatims, shared, "full_text", "ord"), flat, shared, _Pairs, f"ord {kinds[0]}, topic_id {kinds[1]}", _hot(verbatims), ("ord",))
+    # Topics of a text are distinct already: only an ord of several texts can repeat one.
+    return pairs.distinct() if verbatims.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").head(1) else pairs
+
+
+def matched_texts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
+    """The ord of each text with a topic."""
+    flat = _flat(rules)
+    shared = _vocabulary(flat)
+    return _swept(_rows(verbatims, shared, "full_text", "ord"), flat, shared, _Met, f"ord {verbatims.schema['ord'].dataType.simpleString()}", _hot(verbatims), ("ord",))
+
+
+def topic_counts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (topic_id, term, verbatims) of the topics and terms met, `term` null for the topic as a whole.
+
+    Texts of a project with the same signature are counted before they meet the rules, so that the work grows
+    with the kinds of texts, not with texts times topics.
+    """
+    flat = _flat(rules)
+    shared = _vocabulary(flat)
+    schema = f"topic_id {rules.schema['topic_id'].dataType.simpleString()}, term string, verbatims long"
+    if shared is None:
+        parts = _swept(_rows(verbatims, None, "full_text", "ord"), flat, None, _Counts, schema, _hot(verbatims))
+    else:
+        parts = _swept(_rows(verbatims, shared, "full_text").groupBy("project_id", "low").agg(F.count("*").alias("n")), flat, shared, _Counts, schema, {})
+    return parts.groupBy("topic_id", "term").agg(F.sum("verbatims").alias("verbatims"))
+
+
+def _counted(matches: DataFrame) -> DataFrame:
+    """topic_counts of rows of topic_matches."""
+    return matches.select("topic_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term")).groupBy("topic_id", "term").agg(F.count("*").alias("verbatims"))
+
+
+def topic_metrics(verbatims: DataFrame, rules: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Per topic: verbatims that match, distinct terms met, and share of the project's texts; 0 for topics without match."""
-    per_topic = matches.groupBy("topic_id").agg(F.count("*").alias("volume_verbatims"), F.size(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("volume_mentions"))
+    counts = topic_counts(verbatims, rules) if matches is None else _counted(matches)
+    per_topic = counts.groupBy("topic_id").agg(F.sum(F.when(F.col("term").isNull(), F.col("verbatims"))).alias("volume_verbatims"), F.count("term").alias("volume_mentions"))
     sizes = verbatims.where(F.length("full_text") > 0).groupBy("project_id").agg(F.count("*").alias("n"))
     base = rules.select("topic_id", "run_id", "project_id", "topic_ord", "canonical_label").join(sizes, "project_id", "left").join(per_topic, "topic_id", "left")
     vv = F.coalesce("volume_verbatims", F.lit(0)).cast("long")
@@ -73,14 +358,14 @@ def topic_metrics(verbatims: DataFrame, rules: DataFrame, matches: DataFrame) ->
     )
 
 
-def keyword_counts(matches: DataFrame) -> DataFrame:
-    """Per topic and term: verbatims that contain it."""
-    return matches.select("topic_id", F.explode("terms").alias("term")).groupBy("topic_id", "term").agg(F.count("*").alias("verbatims"))
+def keyword_counts(counts: DataFrame) -> DataFrame:
+    """Per topic and term: verbatims that contain it; of topic_counts."""
+    return counts.where(F.col("term").isNotNull())
 
 
-def keyword_sheet(rules: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row per keyword of each topic with its count, and one per negative keyword."""
-    counts = keyword_counts(matches)
+def keyword_sheet(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per keyword of each topic with its count, and one per negative keyword; of topic_counts."""
+    counts = keyword_counts(counts)
     kw = rules.select("topic_id", F.explode(F.transform("rules", lambda k: k["term"])).alias("term"))
     kw = kw.join(counts, ["topic_id", "term"], "left").select("topic_id", "term", F.lit("keyword").alias("kind"), F.coalesce("verbatims", F.lit(0)).cast("long").alias("verbatims"))
     neg = rules.select("topic_id", F.explode(F.array_distinct(F.coalesce("negatives", F.array().cast("array<string>")))).alias("term"))
@@ -131,19 +416,24 @@ def entity_counts(verbatims: DataFrame, dictionary: DataFrame) -> DataFrame:
     return entities(dictionary).select("entity_type", "label").join(n, ["entity_type", "label"], "left").withColumn("verbatims", F.coalesce("verbatims", F.lit(0)).cast("long"))
 
 
-def enriched(verbatims: DataFrame, rules: DataFrame, matches: DataFrame, dictionary: DataFrame, types: tuple[str, ...]) -> DataFrame:
+def enriched(verbatims: DataFrame, rules: DataFrame, dictionary: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Each verbatim with its topics' labels in topic order and its entities by type, joined by ` | `."""
-    labels = matches.join(F.broadcast(rules.select("topic_id", "topic_ord", "canonical_label")), "topic_id") if rules.count() <= BROADCAST_RULES else matches.join(rules.select("topic_id", "topic_ord", "canonical_label"), "topic_id")
-    topics = labels.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_ord", "topic_id", "canonical_label"))), lambda x: x["canonical_label"]), " | ").alias("topics"))
     found = entity_matches(verbatims, dictionary).groupBy("ord").pivot("entity_type", list(types)).agg(F.array_join(F.array_sort(F.collect_list("label")), " | "))
-    out = verbatims.select("ord").join(topics, "ord", "left").join(found, "ord", "left")
-    return out.select("ord", F.coalesce("topics", F.lit("")).alias("topics"), *[F.coalesce(t, F.lit("")).alias(f"entity_{t}") for t in types])
-
-
-def summary(verbatims: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row: texts, texts with a topic, texts without."""
+    labels = rules.groupBy("topic_id").agg(F.collect_list(F.struct("topic_ord", "canonical_label")).alias("labels"))
+    flat = _flat(rules.join(labels, "topic_id"), True, True, "labels")
+    shared = _vocabulary(flat)
+    v = verbatims.select("ord", "project_id", F.lower("full_text").alias("low"))
+    # Labels are added last: they are long, and are not shuffled.
+    out = (v if shared is None else _signed(v, shared, True)).join(found, "ord", "left")
+    schema = StructType([*[f for f in out.schema if f.name not in ("project_id", "low")], StructField("topics", StringType())])
+    out = _swept(out, flat, shared, _Labels, schema, _hot(verbatims))
+    return out.select("ord", "topics", *[F.coalesce(t, F.lit("")).alias(f"entity_{t}") for t in types])
+
+
+def summary(verbatims: DataFrame, met: DataFrame) -> DataFrame:
+    """One row: texts, texts with a topic (their ord, of matched_texts or topic_matches), texts without."""
     total = verbatims.agg(F.count_if(F.length("full_text") > 0).alias("total"), F.lit(0).cast("long").alias("with_match"))
-    met = matches.agg(F.lit(0).cast("long").alias("total"), F.count_distinct("ord").alias("with_match"))
+    met = met.agg(F.lit(0).cast("long").alias("total"), F.count_distinct("ord").alias("with_match"))
     both = total.unionByName(met).agg(F.sum("total").alias("total"), F.sum("with_match").alias("with_match"))
     return both.withColumn("without_match", F.col("total") - F.col("with_match"))
 

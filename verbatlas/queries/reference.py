@@ -40,10 +40,8 @@ def _text(value: str) -> str:
 # --- Topics and entities -------------------------------------------------------------------------------
 
 
-def _topics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    v = _v(spark, d)
-    rules = topics.topic_rules(table(spark, d, "run_topics"), table(spark, d, "analysis_runs"))
-    return v, rules, topics.topic_matches(v, rules)
+def _topics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _v(spark, d), topics.topic_rules(table(spark, d, "run_topics"), table(spark, d, "analysis_runs"))
 
 
 _NEGATIONS = "[" + ", ".join(map(_text, NEGATION_PATTERNS)) + "]"
@@ -73,13 +71,12 @@ WITH rules AS (
 
 @query(_RULES + "SELECT * FROM metrics")
 def topic_metrics(spark, d):
-    v, rules, matches = _topics(spark, d)
-    return topics.topic_metrics(v, rules, matches)
+    return topics.topic_metrics(*_topics(spark, d))
 
 
 @query(_RULES + "SELECT topic_id, term, count(*) AS verbatims FROM hits GROUP BY ALL")
 def topic_keyword_counts(spark, d):
-    return topics.keyword_counts(_topics(spark, d)[2])
+    return topics.keyword_counts(topics.topic_counts(*_topics(spark, d)))
 
 
 @query(_RULES + "SELECT topic_id, run_id, volume_verbatims, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY volume_verbatims DESC, topic_ord, topic_id)::INT AS rank FROM metrics) WHERE rank <= 10")
@@ -89,8 +86,8 @@ def topic_summary_top10(spark, d):
 
 @query(_RULES + "SELECT (SELECT count(*) FROM v) AS total, count(DISTINCT ord) AS with_match, (SELECT count(*) FROM v) - count(DISTINCT ord) AS without_match FROM hits")
 def topic_summary(spark, d):
-    v, _, matches = _topics(spark, d)
-    return topics.summary(v, matches)
+    v, rules = _topics(spark, d)
+    return topics.summary(v, topics.matched_texts(v, rules))
 
 
 @query(_RULES + "SELECT topic_id, canonical_label FROM metrics WHERE volume_verbatims = 0")
@@ -101,8 +98,7 @@ def topics_without_match(spark, d):
 @query(_RULES + "SELECT DISTINCT ord, topic_id FROM open_pairs WHERE len(list_filter(keywords, lambda k: length(k) > 0 AND contains(low, lower(k)))) > 0")
 def explorer_matches(spark, d):
     """Keyword matches without negation and regular expressions, as the explorer shows them."""
-    v, rules, _ = _topics(spark, d)
-    return topics.topic_matches(v, rules, negation=False, regexes=False).select("ord", "topic_id").distinct()
+    return topics.matched_pairs(*_topics(spark, d), negation=False, regexes=False)
 
 
 @query("""SELECT ord, full_text FROM project_verbatims WHERE length(full_text) > 0 AND contains(lower(full_text), 'parfum') ORDER BY ord LIMIT 50""")
@@ -128,14 +124,14 @@ def highlight_keywords(spark, d):
          UNION ALL SELECT topic_id, 'negative', term, 0 FROM (SELECT DISTINCT topic_id, unnest(negatives) AS term FROM rules)"""
 )
 def keyword_sheet(spark, d):
-    _, rules, matches = _topics(spark, d)
-    return topics.keyword_sheet(rules, matches)
+    v, rules = _topics(spark, d)
+    return topics.keyword_sheet(rules, topics.topic_counts(v, rules))
 
 
 @query(_RULES + "SELECT topic_id, run_id, canonical_label, coalesce(canonical_subtopic, '') AS subtopic, m.volume_verbatims, m.volume_mentions, m.pct_of_dataset FROM rules JOIN metrics m USING (topic_id, run_id, canonical_label)")
 def topic_sheet(spark, d):
-    v, rules, matches = _topics(spark, d)
-    return topics.topic_metrics(v, rules, matches).join(rules.select("topic_id", F.coalesce("canonical_subtopic", F.lit("")).alias("subtopic")), "topic_id").drop("topic_ord")
+    v, rules = _topics(spark, d)
+    return topics.topic_metrics(v, rules).join(rules.select("topic_id", F.coalesce("canonical_subtopic", F.lit("")).alias("subtopic")), "topic_id").drop("topic_ord")
 
 
 @query(
@@ -155,10 +151,10 @@ def label_groupby_merge(spark, d):
 @query(_RULES + "SELECT run_id, round(100.0::DOUBLE * sum(volume_verbatims) / max(n), 2) AS coverage_pct, count(*) FILTER (volume_verbatims > 0) AS topics_met FROM metrics JOIN (SELECT run_id, any_value(n) AS n FROM rules JOIN (SELECT project_id, count(*) AS n FROM v GROUP BY 1) USING (project_id) GROUP BY 1) USING (run_id) GROUP BY run_id")
 def coverage_kpi(spark, d):
     """Sum of topic volumes over texts; above 100 where topics overlap."""
-    v, rules, matches = _topics(spark, d)
+    v, rules = _topics(spark, d)
     n = v.where(F.length("full_text") > 0).groupBy("project_id").agg(F.count("*").alias("n"))
     runs = rules.select("run_id", "project_id").distinct().join(n, "project_id")
-    m = topics.topic_metrics(v, rules, matches).groupBy("run_id").agg(F.sum("volume_verbatims").alias("s"), F.count_if(F.col("volume_verbatims") > 0).alias("topics_met"))
+    m = topics.topic_metrics(v, rules).groupBy("run_id").agg(F.sum("volume_verbatims").alias("s"), F.count_if(F.col("volume_verbatims") > 0).alias("topics_met"))
     return m.join(runs, "run_id").select("run_id", F.round(100.0 * F.col("s") / F.col("n"), 2).alias("coverage_pct"), "topics_met")
 
 
@@ -169,8 +165,7 @@ def coverage_kpi(spark, d):
 )
 def ontology_validation(spark, d):
     """Rules tried on the first hundred texts of each project: the limit is the feature."""
-    v, rules, _ = _topics(spark, d)
-    return topics.validation(v, rules)
+    return topics.validation(*_topics(spark, d))
 
 
 _ENTITIES = """
@@ -199,8 +194,8 @@ def entity_volume(spark, d):
     + " FROM project_verbatims p LEFT JOIN tl USING (ord) LEFT JOIN el USING (ord)"
 )
 def enriched_verbatims(spark, d):
-    v, rules, matches = _topics(spark, d)
-    return topics.enriched(v, rules, matches, table(spark, d, "dim_entities"), ENTITY_TYPES)
+    v, rules = _topics(spark, d)
+    return topics.enriched(v, rules, table(spark, d, "dim_entities"), ENTITY_TYPES)
 
 
 @query(
