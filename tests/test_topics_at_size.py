@@ -6,7 +6,7 @@ import pytest
 from verbatlas.operators import topics
 from verbatlas.queries import reference
 
-QUERIES = "coverage_kpi keyword_sheet".split()
+QUERIES = "coverage_kpi keyword_sheet topic_keyword_counts".split()
 ROW_WISE = {"topic_summary", "explorer_matches", "enriched_verbatims"}
 
 
