@@ -6,7 +6,7 @@ import pytest
 from verbatlas.operators import topics
 from verbatlas.queries import reference
 
-QUERIES = "coverage_kpi keyword_sheet topic_keyword_counts topic_summary enriched_verbatims".split()
+QUERIES = "coverage_kpi keyword_sheet topic_keyword_counts topic_summary enriched_verbatims label_groupby_merge".split()
 ROW_WISE = {"topic_summary", "explorer_matches", "enriched_verbatims"}
 
 
