@@ -6,7 +6,7 @@ import pytest
 from verbatlas.operators import topics
 from verbatlas.queries import reference
 
-QUERIES = "coverage_kpi keyword_sheet topic_keyword_counts topic_summary enriched_verbatims label_groupby_merge topic_metrics topic_summary_top10 explorer_matches slide_table topic_sheet".split()
+QUERIES = "coverage_kpi keyword_sheet topic_keyword_counts topic_summary enriched_verbatims label_groupby_merge topic_metrics topic_summary_top10 explorer_matches slide_table topic_sheet topics_without_match".split()
 ROW_WISE = {"topic_summary", "explorer_matches", "enriched_verbatims"}
 
 
