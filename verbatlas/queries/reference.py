@@ -131,7 +131,7 @@ def keyword_sheet(spark, d):
 @query(_RULES + "SELECT topic_id, run_id, canonical_label, coalesce(canonical_subtopic, '') AS subtopic, m.volume_verbatims, m.volume_mentions, m.pct_of_dataset FROM rules JOIN metrics m USING (topic_id, run_id, canonical_label)")
 def topic_sheet(spark, d):
     v, rules = _topics(spark, d)
-    return topics.topic_metrics(v, rules).join(rules.select("topic_id", F.coalesce("canonical_subtopic", F.lit("")).alias("subtopic")), "topic_id").drop("topic_ord")
+    return topics.topic_metrics(v, rules).join(rules.select("topic_id", "run_id", "canonical_label", F.coalesce("canonical_subtopic", F.lit("")).alias("subtopic")), ["topic_id", "run_id", "canonical_label"]).drop("topic_ord")
 
 
 @query(
