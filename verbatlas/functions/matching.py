@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from re import _parser
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -122,16 +124,20 @@ class Matcher:
         return [(self.names[k], sorted(terms)) for k, terms in found.items()]
 
 
+#: Stands for NEGATION_PATTERNS where a keyword's negations are given as text.
+DEFAULT_NEGATIONS = "*"
+
+
 class Vocabulary:
     """Distinct keywords with their negations, negative keywords and regular expressions of many topics. A text's
     signature says which of them it holds; all that its topics and terms are depends on this alone."""
 
     def __init__(self, entries: Iterable[tuple], window: int = SETTINGS.negation_window_chars):
-        """entries: ("k", lower-case keyword, negations as JSON or ""), ("n", lower-case negative keyword, "") or ("p", regular expression, "")."""
+        """entries: ("k", lower-case keyword, negations as JSON, DEFAULT_NEGATIONS or ""), ("n", lower-case negative keyword, "") or ("p", regular expression, "")."""
         import ahocorasick
 
         self.ids: dict[tuple, int] = {}
-        self.patterns: list[tuple[int, re.Pattern]] = []
+        self.patterns: list[tuple[int, str, re.Pattern]] = []  # (entry, what stands in all that it matches, pattern)
         words: dict[str, int] = {}
         self.keys: list[list] = []  # word → (entry, its negation, the words of which one must be there for it)
         self.nots: list[int] = []  # word → entry, or -1
@@ -148,13 +154,13 @@ class Vocabulary:
             kind, low, negations = entry
             if kind == "p":
                 if (compiled := _compiled(low)) is not None:
-                    self.patterns.append((self.ids.setdefault(entry, len(self.ids)), compiled))
+                    self.patterns.append((self.ids.setdefault(entry, len(self.ids)), _literal(compiled), compiled))
                 continue
             k, w = self.ids.setdefault(entry, len(self.ids)), word(low)
             if kind == "n":
                 self.nots[w] = k
             else:
-                no = tuple(json.loads(negations) or ()) if negations else ()
+                no = NEGATION_PATTERNS if negations == DEFAULT_NEGATIONS else tuple(json.loads(negations) or ()) if negations else ()
                 self.keys[w].append((k, _negated(low, no, window), frozenset(word(n) for n in no if n and len(n) <= window)))
         self.finder = ahocorasick.Automaton()
         for low, w in words.items():
@@ -165,72 +171,146 @@ class Vocabulary:
     def signature(self, low: str) -> bytes:
         """The sorted entries that a lower-case text holds, four bytes each."""
         hits = {w for _, w in self.finder.iter(low)} if len(self.finder) else ()
-        held = [k for k, pattern in self.patterns if pattern.search(low)]
+        held = [k for k, literal, pattern in self.patterns if literal in low and pattern.search(low)]
         for w in hits:
             if (k := self.nots[w]) >= 0:
                 held.append(k)
             for k, no, needs in self.keys[w]:
                 if no is None or needs.isdisjoint(hits) or not no.search(low):
                     held.append(k)
-        return np.array(sorted(held), np.int32).tobytes() if held else b""
+        return array("i", sorted(held)).tobytes() if held else b""
 
 
 class ProjectRules:
-    """The topics of one project: what a signature matches, by arrays."""
+    """The topics of one project: what signatures match, by sets of bits."""
+
+    #: Signatures whose bits are held at once.
+    block = 65_536
 
     def __init__(self, topics: list[tuple], ids: dict[tuple, int]):
         """topics: (topic, {words: [[term, keyword, negations]], nots, patterns: [[label, regular expression]]}); ids: of a Vocabulary.
 
         A topic that is listed several times matches as one, by each of its rules.
         """
-        names, pairs, listing, pair, uses, bars = {}, {}, [], [], {}, {}
+        names: dict = {}
         self.first: dict = {}  # topic → its first rule
-        for k, (name, rule) in enumerate(topics):
+        self.listed: list[tuple] = []  # (topic's position in names, [(entry, term)], entries that exclude it)
+        for name, rule in topics:
             t = names.setdefault(name, len(names))
-            for entry, term in [*((("k", low, no or ""), term) for term, low, no in rule.get("words") or ()), *((("p", source, ""), label) for label, source in rule.get("patterns") or ())]:
-                if entry in ids:
-                    uses.setdefault(ids[entry], []).append(len(pair))
-                    listing.append(k)
-                    pair.append(pairs.setdefault((t, term), len(pairs)))
-            for low in rule.get("nots") or ():
-                if ("n", low, "") in ids:
-                    bars.setdefault(ids["n", low, ""], []).append(k)
+            used = [(ids[e], term) for e, term in [*((("k", low, no or ""), term) for term, low, no in rule.get("words") or ()), *((("p", source, ""), label) for label, source in rule.get("patterns") or ())] if e in ids]
+            self.listed.append((t, used, tuple(sorted({ids[e] for low in rule.get("nots") or () if (e := ("n", low, "")) in ids}))))
             self.first.setdefault(name, rule)
         self.names = list(names)
-        self.terms = [term for _, term in pairs]
-        self.topic = np.array([t for t, _ in pairs], np.int64)
-        self._listing, self._pair = np.array(listing, np.int64), np.array(pair, np.int64)
-        self._uses, self._bars = ({k: np.array(x, np.int64) for k, x in d.items()} for d in (uses, bars))
-        self._once = len(pairs) == len(pair)
-        self._barred, self._seen, self._met = (np.zeros(n, bool) for n in (len(topics), len(pairs), len(names)))
-
-    def matched(self, signature: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Topics (positions in names) and pairs (positions in topic and terms) that a text of this signature matches, each once."""
-        held = np.frombuffer(signature, np.int32).tolist()
-        if not (met := [self._uses[k] for k in held if k in self._uses]):
-            return _NONE, _NONE
-        found = np.concatenate(met)
-        if barred := [self._bars[k] for k in held if k in self._bars]:
-            for b in barred:
-                self._barred[b] = True
-            found = found[~self._barred[self._listing[found]]]
-            for b in barred:
-                self._barred[b] = False
-        pairs = self._pair[found] if self._once else _distinct(self._pair[found], self._seen)
-        return _distinct(self.topic[pairs], self._met), pairs
-
-
-_NONE = np.array([], np.int64)
-
-
-def _distinct(positions: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Sorted distinct positions; flags are all false before and after."""
-    flags[positions] = True
-    out = np.flatnonzero(flags)
-    flags[out] = False
+
+    @cached_property
+    def _masks(self) -> tuple[dict[int, int], dict[int, int]]:
+        """Entry → the rules (bits, by position in listed) that it meets, and those that it excludes."""
+        uses, bars = {}, {}
+        for k, (_, used, nots) in enumerate(self.listed):
+            for e in {e for e, _ in used}:
+                uses.setdefault(e, []).append(k)
+            for e in nots:
+                bars.setdefault(e, []).append(k)
+        return {e: _bits(k) for e, k in uses.items()}, {e: _bits(k) for e, k in bars.items()}
+
+    def met(self, signature: bytes) -> int:
+        """The rules (bits, by position in listed) that a text of this signature matches."""
+        uses, bars = self._masks
+        found = barred = 0
+        for e in memoryview(signature).cast("i"):
+            if e in uses:
+                found |= uses[e]
+            if e in bars:
+                barred |= bars[e]
+        return found & ~barred
+
+    def topics(self, met: int) -> np.ndarray:
+        """Positions in names of the topics of these rules, sorted, each once."""
+        at = _positions(met)
+        return at if len(self.names) == len(self.listed) else np.unique(np.array([t for t, _, _ in self.listed], np.int64)[at])
+
+    def terms(self, met: int, signature: bytes) -> list[tuple[object, list[str]]]:
+        """(topic, sorted distinct terms) of the rules that a text of this signature matches."""
+        held, found = set(memoryview(signature).cast("i")), {}
+        for k in _positions(met).tolist() if met else ():
+            t, used, _ = self.listed[k]
+            found.setdefault(t, set()).update(term for e, term in used if e in held)
+        return [(self.names[t], sorted(terms)) for t, terms in found.items()]
+
+    @cached_property
+    def _kinds(self) -> tuple[list[tuple], dict[tuple, tuple]]:
+        """Of each topic, and of each (topic, term): what meets it, ((entries), (entries that exclude it)) of each of its rules."""
+        topics, pairs = [{} for _ in self.names], {}
+        for t, used, nots in self.listed:
+            terms: dict[str, set] = {}
+            for e, term in used:
+                terms.setdefault(term, set()).add(e)
+            for term, entries in terms.items():
+                pairs.setdefault((t, term), {})[tuple(sorted(entries)), nots] = None
+            if used:
+                topics[t][tuple(sorted({e for e, _ in used})), nots] = None
+        return [tuple(sorted(x)) for x in topics], {pair: tuple(sorted(x)) for pair, x in pairs.items()}
+
+    def counted(self, signatures: list[bytes], n: list[int] | None, sums: dict[tuple, int]) -> None:
+        """Adds to `sums`, by kind of topic or term, the texts that match; n: texts of each signature, 1 without.
+
+        Entries become sets of signatures, so that kinds are evaluated once for all of them.
+        """
+        topics, pairs = self._kinds
+        kinds = {*topics, *pairs.values()} - {()}
+        if not kinds:
+            return
+        wanted = {e for kind in kinds for part in kind for es in part for e in es}
+        for at in range(0, len(signatures), self.block):
+            some = signatures[at : at + self.block]
+            texts = np.ones(len(some), np.int64) if n is None else np.array(n[at : at + self.block], np.int64)
+            order = np.argsort(-texts, kind="stable")  # the high bits of n are then in few, low places
+            place = np.empty(len(some), np.int64)
+            place[order] = np.arange(len(some))
+            entries = np.frombuffer(b"".join(some), np.int32)
+            rows = np.repeat(place, np.array([len(x) for x in some]) // 4)
+            by = np.argsort(entries, kind="stable")
+            found, starts = np.unique(entries[by], return_index=True)
+            ends = [*starts[1:].tolist(), len(by)]
+            held = {e: _bits(rows[by[a:b]]) for e, a, b in zip(found.tolist(), starts.tolist(), ends) if e in wanted}
+            planes = [(b, _bits(x)) for b in range(int(texts.max()).bit_length()) if len(x := np.flatnonzero(texts[order] >> b & 1))]
+            for kind in kinds:
+                if m := _met(kind, held):
+                    sums[kind] = sums.get(kind, 0) + sum((m & plane).bit_count() << b for b, plane in planes)
+
+    def totals(self, sums: dict[tuple, int]) -> list[tuple]:
+        """(topic, None, texts) of each topic and (topic, term, texts) of each of its terms that was met."""
+        topics, pairs = self._kinds
+        return [*((self.names[t], None, sums[kind]) for t, kind in enumerate(topics) if kind in sums), *((self.names[t], term, sums[kind]) for (t, term), kind in pairs.items() if kind in sums)]
+
+
+def _met(kind: tuple, held: dict[int, int]) -> int:
+    """The signatures (bits) that meet a kind of topic or term; held: those of each entry."""
+    out = 0
+    for entries, nots in kind:
+        m = 0
+        for e in entries:
+            m |= held.get(e, 0)
+        for e in nots if m else ():
+            m &= ~held.get(e, 0)
+        out |= m
     return out
 
 
+def _bits(positions: list[int] | np.ndarray) -> int:
+    """A number with these bits set."""
+    if len(positions) < 3:
+        return sum(1 << k for k in set(map(int, positions)))
+    flags = np.zeros(int(np.max(positions)) + 1, bool)
+    flags[positions] = True
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _positions(bits: int) -> np.ndarray:
+    """Those of the bits that are set, sorted."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes((bits.bit_length() + 7) // 8, "little"), np.uint8), bitorder="little"))
+
+
 @lru_cache(100_000)
 def _negated(low: str, negations: tuple[str, ...], window: int) -> re.Pattern | None:
     """Matches where a negation ends within `window` characters before the keyword; None without usable negations."""
@@ -247,6 +327,18 @@ def _compiled(source: str | None) -> re.Pattern | None:
         return None
 
 
+def _literal(pattern: re.Pattern) -> str:
+    """The longest run of characters that stand in every text that the pattern matches; empty where none is plain to see."""
+    runs = [[]]
+    if not pattern.flags & re.IGNORECASE:
+        for op, value in _parser.parse(pattern.pattern, pattern.flags):
+            if op is _parser.LITERAL:
+                runs[-1].append(chr(value))
+            else:
+                runs.append([])
+    return "".join(max(runs, key=len))
+
+
 def default_negations() -> Column:
     return F.array(*[F.lit(p) for p in NEGATION_PATTERNS])
 

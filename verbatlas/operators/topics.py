@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.matching import Matcher, ProjectRules, Vocabulary, compiled_keywords, compiled_regexes, default_negations
+from ..functions.matching import DEFAULT_NEGATIONS, Matcher, ProjectRules, Vocabulary, compiled_keywords, compiled_regexes, default_negations
 
 #: Most distinct entries of rules, or rows of the dictionary, that are broadcast at once; more of rules are sought project by project, more of the dictionary take more passes.
 BROADCAST_RULES = 50_000
 #: Most regular expressions that every text is tried with, whatever its project.
 BROADCAST_PATTERNS = 20
+#: Most projects with rules whose names are broadcast, so that texts of other projects are left out where they are read.
+BROADCAST_PROJECTS = 200_000
+#: Rules of a project up to which what a set of them gives is kept.
+FEW_RULES = 64
 #: A project with more than 1/HOT_SHARE of all verbatims is divided.
 HOT_SHARE, LEAST_HOT = 200, 1_000
 
@@ -28,8 +32,10 @@ def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True
     """One row per topic with its project and compiled rules. Topics of unknown runs have no verbatims and are left out."""
     topics = run_topics.where("is_active") if active_only else run_topics
     r = runs.select(F.col("id").alias("run_id"), "project_id")
+    terms = F.array_distinct(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.length(k) > 0))
     return topics.join(r, "run_id").select(
         "topic_id", "run_id", "project_id", "topic_ord", "canonical_label", "canonical_subtopic", "keywords",
+        F.transform(terms, lambda k: F.array(k, F.lower(k), F.lit(DEFAULT_NEGATIONS))).alias("words"),
         compiled_keywords(F.col("keywords"), default_negations()).alias("rules"), F.col("negative_keywords").alias("negatives"), compiled_regexes(F.col("regex_patterns")).alias("regexes"),
     )
 
@@ -37,7 +43,11 @@ def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True
 def _flat(rules: DataFrame, negation: bool = True, regexes: bool = True, *more: str) -> DataFrame:
     """Rules as (project_id, topic_id, rule as JSON with the columns `more`, entries of its Vocabulary)."""
     none, nones = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
-    words = F.transform("rules", lambda k: F.array(k["term"], k["low"], F.to_json(k["negations"]) if negation else F.lit("")))
+    # Compiled rules repeat their negations with each keyword: `words`, where they are there, cost less.
+    if "words" in rules.columns:
+        words = F.col("words") if negation else F.transform("words", lambda k: F.array(k[0], k[1], F.lit("")))
+    else:
+        words = F.transform("rules", lambda k: F.array(k["term"], k["low"], F.to_json(k["negations"]) if negation else F.lit("")))
     nots = F.transform(F.filter(F.coalesce("negatives", none), lambda n: F.length(n) > 0), lambda n: F.lower(n))
     patterns = F.transform("regexes", lambda r: F.array(r["label"], r["source"])) if regexes else nones
     flat = rules.where(F.col("project_id").isNotNull()).select("project_id", "topic_id", F.coalesce(words, nones).alias("words"), nots.alias("nots"), F.filter(F.coalesce(patterns, nones), lambda r: r[1].isNotNull()).alias("patterns"), *more)
@@ -67,22 +77,54 @@ def _opened(shared: Broadcast) -> Vocabulary:
     return _held[name]
 
 
-def _signed(rows: DataFrame, shared: Broadcast, keep_all: bool) -> DataFrame:
-    """Rows with the signature of the text `low` in its place; with keep_all, those that hold nothing of the vocabulary too."""
+def _signed(rows: DataFrame, shared: Broadcast | None, keep_all: bool, named: Broadcast | None = None, types: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the signature of the text `low` in its place; with keep_all, those that hold nothing of the vocabulary too.
+
+    Without `shared`, texts stay. With `named`, the dictionary, a column for each type has the labels that the text contains.
+    """
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signature = _opened(shared).signature
+        signature = None if shared is None else _opened(shared).signature
+        labels = None if named is None else _labeler(named.value, types)
         for batch in batches:
-            signed = pa.array([b"" if low is None else signature(low) for low in batch.column("low").to_pylist()], pa.binary())
-            out = pa.RecordBatch.from_arrays([signed if c == "low" else batch.column(c) for c in names], names)
-            yield out if keep_all else out.filter(pc.greater(pc.binary_length(signed), 0))
+            lows, more = batch.column("low").to_pylist(), []
+            if labels is not None:
+                more = [pa.array(c, pa.string()) for c in zip(*map(labels, lows))] if lows else [pa.array([], pa.string())] * len(types)
+            low = batch.column("low") if signature is None else pa.array([b"" if x is None else signature(x) for x in lows], pa.binary())
+            out = pa.RecordBatch.from_arrays([*[low if c == "low" else batch.column(c) for c in names], *more], [*names, *(f"entity_{t}" for t in types)])
+            yield out if keep_all else out.filter(pc.greater(pc.binary_length(low), 0))
+
+    low = [StructField("low", BinaryType()) if f.name == "low" and shared is not None else f for f in rows.schema]
+    return rows.mapInArrow(run, StructType([*low, *(StructField(f"entity_{t}", StringType()) for t in types)]))
+
+
+def _labeler(entries: list[tuple], types: tuple[str, ...]) -> Callable[[str | None], tuple[str, ...]]:
+    """Of a text: the sorted labels of each type that it contains, joined by ` | `. entries: (type, label, lower-case keywords)."""
+    matcher = Matcher([("", k, [(w, w, ()) for w in words], (), ()) for k, (_, _, words) in enumerate(entries)])
+    none, known = ("",) * len(types), {}
+
+    def labels(low: str | None) -> tuple[str, ...]:
+        if not low or not (found := matcher.match("", low)):
+            return none
+        if (out := known.get(key := frozenset(k for k, _ in found))) is None:
+            own = sorted((entries[k][1], entries[k][0]) for k in key if entries[k][1] is not None)
+            out = tuple(" | ".join(label for label, t in own if t == wanted) for wanted in types)
+            if len(known) < 10_000:
+                known[key] = out
+        return out
 
-    return rows.mapInArrow(run, StructType([StructField("low", BinaryType()) if f.name == "low" else f for f in rows.schema]))
+    return labels
+
+
+def _ruled(flat: DataFrame) -> DataFrame | None:
+    """The projects with rules; None where they are more than BROADCAST_PROJECTS."""
+    projects = flat.select("project_id").distinct()
+    return F.broadcast(projects) if projects.limit(BROADCAST_PROJECTS + 1).count() <= BROADCAST_PROJECTS else None
 
 
 class _Sink:
-    """What becomes of the matches of each text: made of one partition's rows, project after project."""
+    """What becomes of the texts of each project: made of one partition's rows, project after project."""
 
     #: Rows, or characters, that are held before they leave.
     most = 200_000
@@ -96,13 +138,30 @@ class _Sink:
 
     def opened(self, rules: ProjectRules) -> None: ...
 
-    def add(self, i: int, rules: ProjectRules, topics: np.ndarray, pairs: np.ndarray, again: bool, n: int) -> None: ...
+    def take(self, batch: pa.RecordBatch, at: int, signatures: list[bytes], rules: ProjectRules) -> Iterator[pa.RecordBatch]:
+        """Rows of the project, from position `at` of the batch on."""
+        last = before = met = None
+        ords = batch.column("ord").slice(at, len(signatures)).to_pylist() if self.distinct else None
+        for i, signature in enumerate(signatures):
+            again = signature == last
+            if again and ords and ords[i] == before:
+                continue
+            if not again:
+                last, met = signature, rules.met(signature)
+            before = ords[i] if ords else None
+            self.add(at + i, rules, met, signature, again)
+            if self.size > self.most and (done := self.flush(batch)) is not None:
+                yield done
+
+    def add(self, i: int, rules: ProjectRules, met: int, signature: bytes, again: bool) -> None: ...
 
     def closed(self, rules: ProjectRules) -> pa.RecordBatch | None: ...
 
     def flush(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         """What the batch's rows so far have given."""
 
+    def ended(self) -> pa.RecordBatch | None: ...
+
 
 def _swept(rows: DataFrame, flat: DataFrame, shared: Broadcast | None, sink: Callable[[], _Sink], schema: str | StructType, spread_hot: dict[str, int], order: tuple[str, ...] = ()) -> DataFrame:
     """Every project's rules, then its rows, in one sorted stream: a project's rules are read once for all of its rows.
@@ -124,39 +183,36 @@ def _swept(rows: DataFrame, flat: DataFrame, shared: Broadcast | None, sink: Cal
     both = both.repartition(tasks, *keys).sortWithinPartitions("project_id", "_part", F.col("rule").isNull(), "low", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, listed, rules, last, before, found = sink(columns), None, [], None, None, None, None
+        out, at, listed, rules = sink(columns), None, [], None
         words = None if shared is None else _opened(shared)
         for batch in batches:
-            projects, parts, names, texts, lows = (batch.column(c).to_pylist() for c in ("project_id", "_part", "topic_id", "rule", "low"))
-            counts = batch.column("n").to_pylist() if "n" in columns else None
-            ords = batch.column("ord").to_pylist() if out.distinct else None
             out.kind = batch.schema.field("topic_id").type
-            for i, text in enumerate(texts):
-                if at != (projects[i], parts[i]):
+            project, part, texts = batch.column("project_id"), batch.column("_part"), batch.column("rule")
+            # A project's rows are next to each other, its rules first.
+            codes = project.dictionary_encode("encode").indices.to_numpy(), part.to_numpy(), texts.is_null().to_numpy(False)
+            changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1
+            for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(texts)]):
+                if a == b:
+                    continue
+                if at != (now := (project[a].as_py(), part[a].as_py())):
                     if rules is not None and (done := out.closed(rules)) is not None:
                         yield done
-                    at, listed, rules, last = (projects[i], parts[i]), [], None, None
-                if text is not None:
-                    listed.append((names[i], json.loads(text)))
+                    at, listed, rules = now, [], None
+                if texts[a].is_valid:
+                    listed += zip(batch.column("topic_id").slice(a, b - a).to_pylist(), map(json.loads, texts.slice(a, b - a).to_pylist()))
                     continue
                 if rules is None:
                     own = words if words is not None else Vocabulary(e for _, r in listed for e in [*(("k", low, no or "") for _, low, no in r.get("words") or ()), *(("n", low, "") for low in r.get("nots") or ()), *(("p", p, "") for _, p in r.get("patterns") or ())])
                     rules = ProjectRules(listed, own.ids)
                     out.opened(rules)
-                held = lows[i] if shared is not None else own.signature(lows[i]) if lows[i] else b""
-                again = held == last
-                if again and ords and ords[i] == before:
-                    continue
-                if not again:
-                    last, found = held, rules.matched(held)
-                before = ords[i] if ords else None
-                out.add(i, rules, *found, again, counts[i] if counts else 1)
-                if out.size > out.most and (done := out.flush(batch)) is not None:
-                    yield done
+                held = batch.column("low").slice(a, b - a).to_pylist()
+                yield from out.take(batch, a, [x or b"" for x in held] if shared is not None else [own.signature(x) if x else b"" for x in held], rules)
             if (done := out.flush(batch)) is not None:
                 yield done
         if rules is not None and (done := out.closed(rules)) is not None:
             yield done
+        if (done := out.ended()) is not None:
+            yield done
 
     return both.mapInArrow(run, schema)
 
@@ -168,12 +224,20 @@ def _hot(verbatims: DataFrame) -> dict[str, int]:
     return {r.project_id: -(-r.n // least) for r in sizes.where(F.col("n") > least).collect()}
 
 
-def _rows(verbatims: DataFrame, shared: Broadcast | None, text: str, *columns: str) -> DataFrame:
+def _rows(verbatims: DataFrame, flat: DataFrame, shared: Broadcast | None, text: str, *columns: str) -> DataFrame:
     """Texts that can match, as _swept takes them."""
-    v = verbatims.where((F.length(text) > 0) & F.col("project_id").isNotNull()).select(*columns, "project_id", F.lower(text).alias("low"))
+    v = verbatims.where((F.length(text) > 0) & F.col("project_id").isNotNull())
+    if (projects := _ruled(flat)) is not None:
+        v = v.join(projects, "project_id", "left_semi")
+    v = v.select(*columns, "project_id", F.lower(text).alias("low"))
     return v if shared is None else _signed(v, shared, False)
 
 
+def _repeated(verbatims: DataFrame) -> bool:
+    """Whether an ord stands for several texts."""
+    return bool(verbatims.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").head(1))
+
+
 class _Matches(_Sink):
     """(ord, topic_id, terms) of each match."""
 
@@ -181,12 +245,9 @@ class _Matches(_Sink):
         super().__init__(columns)
         self.rows, self.names, self.terms, self.last = [], [], [], []
 
-    def add(self, i, rules, topics, pairs, again, n):
+    def add(self, i, rules, met, signature, again):
         if not again:
-            by_topic: dict[int, list] = {}
-            for t, p in zip(rules.topic[pairs].tolist(), pairs.tolist()):
-                by_topic.setdefault(t, []).append(rules.terms[p])
-            self.last = [(rules.names[t], sorted(terms)) for t, terms in by_topic.items()]
+            self.last = rules.terms(met, signature)
         for name, terms in self.last:
             self.rows.append(i)
             self.names.append(name)
@@ -207,25 +268,33 @@ class _Pairs(_Sink):
 
     def __init__(self, columns):
         super().__init__(columns)
-        self.kept = []  # (topic ids of a project, rows, topics of each)
+        self.own, self.base, self.names, self.bases, self.found, self.last = [], 0, [], [], [], None
 
     def opened(self, rules):
-        self.names = pa.array(rules.names, self.kind)
-
-    def add(self, i, rules, topics, pairs, again, n):
-        if len(topics):
-            if not self.kept or self.kept[-1][0] is not self.names:
-                self.kept.append((self.names, [], []))
-            self.kept[-1][1].append(i)
-            self.kept[-1][2].append(topics)
-            self.size += len(topics)
+        self.own, self.base, self.known = rules.names, len(self.names), {}
+        self.names += rules.names
+
+    def add(self, i, rules, met, signature, again):
+        if met:
+            if not again:
+                self.last = self.known.get(met)
+                if self.last is None:
+                    self.last = rules.topics(met)
+                    if len(rules.listed) <= FEW_RULES:
+                        self.known[met] = self.last
+            self.rows.append(i)
+            self.bases.append(self.base)
+            self.found.append(self.last)
+            self.size += len(self.last)
 
     def flush(self, batch):
-        if self.kept:
-            at = np.concatenate([np.repeat(rows, [len(t) for t in topics]) for _, rows, topics in self.kept])
-            names = pa.concat_arrays([names.take(pa.array(np.concatenate(topics))) for names, _, topics in self.kept])
-            self.kept, self.size = [], 0
-            return pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(at)), names], ["ord", "topic_id"])
+        out = None
+        if self.rows:
+            n = [len(t) for t in self.found]
+            names = pa.array(self.names, self.kind).take(pa.array(np.concatenate(self.found) + np.repeat(self.bases, n)))
+            out = pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(np.repeat(self.rows, n))), names], ["ord", "topic_id"])
+        self.names, self.base, self.rows, self.bases, self.found, self.size = list(self.own), 0, [], [], [], 0
+        return out
 
 
 class _Met(_Sink):
@@ -233,8 +302,8 @@ class _Met(_Sink):
 
     distinct = True
 
-    def add(self, i, rules, topics, pairs, again, n):
-        if len(topics):
+    def add(self, i, rules, met, signature, again):
+        if met:
             self.rows.append(i)
 
     def flush(self, batch):
@@ -248,18 +317,31 @@ class _Counts(_Sink):
     """Per topic (topic_id, null, texts), and per term (topic_id, term, texts)."""
 
     def opened(self, rules):
-        self.volumes, self.counts = np.zeros(len(rules.names), np.int64), np.zeros(len(rules.terms), np.int64)
+        self.signatures, self.n, self.sums = [], [], {}
+
+    def take(self, batch, at, signatures, rules):
+        self.signatures += signatures
+        self.n += batch.column("n").slice(at, len(signatures)).to_pylist() if "n" in self.columns else [1] * len(signatures)
+        if len(self.signatures) >= rules.block:
+            self.counted(rules)
+        return ()
 
-    def add(self, i, rules, topics, pairs, again, n):
-        self.volumes[topics] += n
-        self.counts[pairs] += n
+    def counted(self, rules):
+        rules.counted(self.signatures, self.n, self.sums)
+        self.signatures, self.n = [], []
 
     def closed(self, rules):
-        topics, pairs = np.flatnonzero(self.volumes), np.flatnonzero(self.counts)
-        names = [rules.names[t] for t in [*topics.tolist(), *rules.topic[pairs].tolist()]]
-        terms = [None] * len(topics) + [rules.terms[p] for p in pairs.tolist()]
-        if names:
-            return pa.RecordBatch.from_arrays([pa.array(names, self.kind), pa.array(terms, pa.string()), pa.array(np.concatenate([self.volumes[topics], self.counts[pairs]]))], ["topic_id", "term", "verbatims"])
+        if self.signatures:
+            self.counted(rules)
+        self.rows += rules.totals(self.sums)
+        if len(self.rows) > self.most:
+            return self.ended()
+
+    def ended(self):
+        if self.rows:
+            names, terms, n = zip(*self.rows)
+            self.rows = []
+            return pa.RecordBatch.from_arrays([pa.array(names, self.kind), pa.array(terms, pa.string()), pa.array(n, pa.int64())], ["topic_id", "term", "verbatims"])
 
 
 class _Labels(_Sink):
@@ -275,13 +357,17 @@ class _Labels(_Sink):
         listed = [(label.get("topic_ord") is None, label.get("topic_ord"), name is None, name, t, label["canonical_label"]) for t, (name, rule) in enumerate(rules.first.items()) for label in rule["labels"] if label.get("canonical_label") is not None]
         listed.sort(key=lambda x: x[:5])
         self.topic, self.label = np.array([x[4] for x in listed], np.int64), np.array([x[5] for x in listed], object)
-        self.met = np.zeros(len(rules.names), bool)
+        self.flags, self.known = np.zeros(len(rules.names), bool), {0: ""}
 
-    def add(self, i, rules, topics, pairs, again, n):
+    def add(self, i, rules, met, signature, again):
         if not again:
-            self.met[topics] = True
-            self.last = " | ".join(self.label[self.met[self.topic]].tolist()) if len(topics) else ""
-            self.met[topics] = False
+            self.last = self.known.get(met)
+            if self.last is None:
+                self.flags[topics := rules.topics(met)] = True
+                self.last = " | ".join(self.label[self.flags[self.topic]].tolist())
+                self.flags[topics] = False
+                if len(rules.listed) <= FEW_RULES:
+                    self.known[met] = self.last
         self.rows.append(i)
         self.joined.append(self.last)
         self.size += len(self.last)
@@ -304,7 +390,7 @@ def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text
     flat = _flat(rules, negation, regexes)
     shared = _vocabulary(flat)
     kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
-    return _swept(_rows(verbatims, shared, text, "ord"), flat, shared, _Matches, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>", _hot(verbatims))
+    return _swept(_rows(verbatims, flat, shared, text, "ord"), flat, shared, _Matches, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>", _hot(verbatims))
 
 
 def matched_pairs(verbatims: DataFrame, rules: DataFrame, negation: bool = True, regexes: bool = True) -> DataFrame:
@@ -312,16 +398,16 @@ def matched_pairs(verbatims: DataFrame, rules: DataFrame, negation: bool = True,
     flat = _flat(rules, negation, regexes)
     shared = _vocabulary(flat)
     kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
-    pairs = _swept(_rows(verbatims, shared, "full_text", "ord"), flat, shared, _Pairs, f"ord {kinds[0]}, topic_id {kinds[1]}", _hot(verbatims), ("ord",))
+    pairs = _swept(_rows(verbatims, flat, shared, "full_text", "ord"), flat, shared, _Pairs, f"ord {kinds[0]}, topic_id {kinds[1]}", _hot(verbatims), ("ord",))
     # Topics of a text are distinct already: only an ord of several texts can repeat one.
-    return pairs.distinct() if verbatims.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").head(1) else pairs
+    return pairs.distinct() if _repeated(verbatims) else pairs
 
 
 def matched_texts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
     """The ord of each text with a topic."""
     flat = _flat(rules)
     shared = _vocabulary(flat)
-    return _swept(_rows(verbatims, shared, "full_text", "ord"), flat, shared, _Met, f"ord {verbatims.schema['ord'].dataType.simpleString()}", _hot(verbatims), ("ord",))
+    return _swept(_rows(verbatims, flat, shared, "full_text", "ord"), flat, shared, _Met, f"ord {verbatims.schema['ord'].dataType.simpleString()}", _hot(verbatims), ("ord",))
 
 
 def topic_counts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
@@ -334,9 +420,9 @@ def topic_counts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
     shared = _vocabulary(flat)
     schema = f"topic_id {rules.schema['topic_id'].dataType.simpleString()}, term string, verbatims long"
     if shared is None:
-        parts = _swept(_rows(verbatims, None, "full_text", "ord"), flat, None, _Counts, schema, _hot(verbatims))
+        parts = _swept(_rows(verbatims, flat, None, "full_text", "ord"), flat, None, _Counts, schema, _hot(verbatims))
     else:
-        parts = _swept(_rows(verbatims, shared, "full_text").groupBy("project_id", "low").agg(F.count("*").alias("n")), flat, shared, _Counts, schema, {})
+        parts = _swept(_rows(verbatims, flat, shared, "full_text").groupBy("project_id", "low").agg(F.count("*").alias("n")), flat, shared, _Counts, schema, {})
     return parts.groupBy("topic_id", "term").agg(F.sum("verbatims").alias("verbatims"))
 
 
@@ -366,7 +452,7 @@ def keyword_counts(counts: DataFrame) -> DataFrame:
 def keyword_sheet(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per keyword of each topic with its count, and one per negative keyword; of topic_counts."""
     counts = keyword_counts(counts)
-    kw = rules.select("topic_id", F.explode(F.transform("rules", lambda k: k["term"])).alias("term"))
+    kw = rules.select("topic_id", F.explode(F.transform("words", lambda k: k[0]) if "words" in rules.columns else F.transform("rules", lambda k: k["term"])).alias("term"))
     kw = kw.join(counts, ["topic_id", "term"], "left").select("topic_id", "term", F.lit("keyword").alias("kind"), F.coalesce("verbatims", F.lit(0)).cast("long").alias("verbatims"))
     neg = rules.select("topic_id", F.explode(F.array_distinct(F.coalesce("negatives", F.array().cast("array<string>")))).alias("term"))
     return kw.unionByName(neg.select("topic_id", "term", F.lit("negative").alias("kind"), F.lit(0).cast("long").alias("verbatims")))
@@ -418,16 +504,29 @@ def entity_counts(verbatims: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def enriched(verbatims: DataFrame, rules: DataFrame, dictionary: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Each verbatim with its topics' labels in topic order and its entities by type, joined by ` | `."""
-    found = entity_matches(verbatims, dictionary).groupBy("ord").pivot("entity_type", list(types)).agg(F.array_join(F.array_sort(F.collect_list("label")), " | "))
     labels = rules.groupBy("topic_id").agg(F.collect_list(F.struct("topic_ord", "canonical_label")).alias("labels"))
-    flat = _flat(rules.join(labels, "topic_id"), True, True, "labels")
-    shared = _vocabulary(flat)
+    flat, plain = _flat(rules.join(labels, "topic_id"), True, True, "labels"), _flat(rules)
+    shared = _vocabulary(plain)
     v = verbatims.select("ord", "project_id", F.lower("full_text").alias("low"))
+    entries = entities(dictionary)
+    met = entries.limit(BROADCAST_RULES + 1).collect()
+    columns = [f"entity_{t}" for t in types]
+    if len(met) <= BROADCAST_RULES and not _repeated(verbatims):
+        # A text's entities are all of its ord: they are found as it is read.
+        v = v.withColumn("low", F.when(F.col("ord").isNotNull(), F.col("low")))
+        named, projects = verbatims.sparkSession.sparkContext.broadcast([tuple(r) for r in met]), _ruled(plain)
+        add = lambda rows, by: _signed(rows, by, True, named, types)
+        swept = add(v if projects is None else v.join(projects, "project_id", "left_semi"), shared)
+        rest = None if projects is None else add(v.join(projects, "project_id", "left_anti"), None).withColumn("topics", F.lit(""))
+    else:
+        found = entity_matches(verbatims, dictionary).groupBy("ord").pivot("entity_type", list(types)).agg(F.array_join(F.array_sort(F.collect_list("label")), " | "))
+        found = found.select("ord", *[F.col(t).alias(c) for t, c in zip(types, columns)])
+        swept, rest = (v if shared is None else _signed(v, shared, True)).join(found, "ord", "left"), None
     # Labels are added last: they are long, and are not shuffled.
-    out = (v if shared is None else _signed(v, shared, True)).join(found, "ord", "left")
-    schema = StructType([*[f for f in out.schema if f.name not in ("project_id", "low")], StructField("topics", StringType())])
-    out = _swept(out, flat, shared, _Labels, schema, _hot(verbatims))
-    return out.select("ord", "topics", *[F.coalesce(t, F.lit("")).alias(f"entity_{t}") for t in types])
+    schema = StructType([*[f for f in swept.schema if f.name not in ("project_id", "low")], StructField("topics", StringType())])
+    out = _swept(swept, flat, shared, _Labels, schema, _hot(verbatims))
+    out = out if rest is None else out.unionByName(rest.select(*out.columns))
+    return out.select("ord", "topics", *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
 def summary(verbatims: DataFrame, met: DataFrame) -> DataFrame:
