@@ -10,7 +10,7 @@ from verbatlas.functions import matching
 from verbatlas.operators import topics
 from verbatlas.queries import reference
 
-NAMES = "topic_keyword_counts topic_metrics".split()
+NAMES = "topic_keyword_counts topic_metrics topic_summary".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
