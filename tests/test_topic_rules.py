@@ -10,7 +10,7 @@ from verbatlas.functions import matching
 from verbatlas.operators import topics
 from verbatlas.queries import reference
 
-NAMES = "topic_keyword_counts topic_metrics topic_summary enriched_verbatims explorer_matches keyword_sheet label_groupby_merge topic_summary_top10 slide_table".split()
+NAMES = "topic_keyword_counts topic_metrics topic_summary enriched_verbatims explorer_matches keyword_sheet label_groupby_merge topic_summary_top10 slide_table topics_without_match".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
