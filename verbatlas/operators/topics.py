@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark import Broadcast, inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.matching import DEFAULT_NEGATIONS, Matcher, ProjectRules, Vocabulary, compiled_keywords, compiled_regexes, default_negations
@@ -57,6 +58,12 @@ def _flat(rules: DataFrame, negation: bool = True, regexes: bool = True, *more:
     return flat.select("project_id", "topic_id", F.to_json(F.struct("words", "nots", "patterns", *more)).alias("rule"), entries.alias("entries"))
 
 
+def _at_once(spark: SparkSession, *jobs: Callable) -> list:
+    """What jobs give that don't need each other, started together: one alone leaves cores idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def _vocabulary(flat: DataFrame) -> Broadcast | None:
     """The distinct entries of all rules; None where they are more than BROADCAST_RULES or BROADCAST_PATTERNS."""
     met = flat.select(F.explode("entries").alias("e")).select("e.*").distinct().limit(BROADCAST_RULES + 1).collect()
@@ -119,8 +126,8 @@ def _labeler(entries: list[tuple], types: tuple[str, ...]) -> Callable[[str | No
 
 def _ruled(flat: DataFrame) -> DataFrame | None:
     """The projects with rules; None where they are more than BROADCAST_PROJECTS."""
-    projects = flat.select("project_id").distinct()
-    return F.broadcast(projects) if projects.limit(BROADCAST_PROJECTS + 1).count() <= BROADCAST_PROJECTS else None
+    projects = flat.select("project_id").distinct().limit(BROADCAST_PROJECTS + 1).toArrow()
+    return F.broadcast(flat.sparkSession.createDataFrame(projects, flat.select("project_id").schema)) if projects.num_rows <= BROADCAST_PROJECTS else None
 
 
 class _Sink:
@@ -171,7 +178,9 @@ def _swept(rows: DataFrame, flat: DataFrame, shared: Broadcast | None, sink: Cal
     """
     if spread_hot:
         parts = F.coalesce(F.create_map(*[F.lit(x) for kv in spread_hot.items() for x in kv])[F.col("project_id")], F.lit(1))
-        rows = rows.withColumn("_part", F.pmod(F.xxhash64("ord"), parts).cast("int"))
+        # What a signature gives is made once in each part that has it: its rows go to few, those that hold nothing to all.
+        few = F.xxhash64("low", F.pmod(F.xxhash64("ord"), F.floor(F.sqrt(parts)).cast("int")))
+        rows = rows.withColumn("_part", F.pmod(F.when(F.length("low") > 0, few).otherwise(F.xxhash64("ord")), parts).cast("int"))
         flat = flat.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     else:
         rows, flat = rows.withColumn("_part", F.lit(0)), flat.withColumn("_part", F.lit(0))
@@ -179,8 +188,9 @@ def _swept(rows: DataFrame, flat: DataFrame, shared: Broadcast | None, sink: Cal
     both = flat.select("project_id", "_part", "topic_id", "rule").unionByName(rows, allowMissingColumns=True)
     # A project's rows are few or spread; more partitions than cores even them out.
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    keys = ["project_id", "_part"] if "ord" not in columns else [F.col("project_id"), F.col("_part"), F.when(F.col("project_id").isNull(), F.xxhash64("ord"))]
-    both = both.repartition(tasks, *keys).sortWithinPartitions("project_id", "_part", F.col("rule").isNull(), "low", *order)
+    key = F.xxhash64("project_id") if "ord" not in columns else F.xxhash64("project_id", F.when(F.col("project_id").isNull(), F.xxhash64("ord")))
+    # The parts of a project are next to each other, so that no partition gets several before all have one.
+    both = both.repartitionById(tasks, F.pmod(F.pmod(key, F.lit(tasks)) + F.col("_part"), F.lit(tasks)).cast("int")).sortWithinPartitions("project_id", "_part", F.col("rule").isNull(), "low", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, listed, rules = sink(columns), None, [], None
@@ -224,10 +234,10 @@ def _hot(verbatims: DataFrame) -> dict[str, int]:
     return {r.project_id: -(-r.n // least) for r in sizes.where(F.col("n") > least).collect()}
 
 
-def _rows(verbatims: DataFrame, flat: DataFrame, shared: Broadcast | None, text: str, *columns: str) -> DataFrame:
-    """Texts that can match, as _swept takes them."""
+def _rows(verbatims: DataFrame, projects: DataFrame | None, shared: Broadcast | None, text: str, *columns: str) -> DataFrame:
+    """Texts that can match, as _swept takes them; projects: of _ruled."""
     v = verbatims.where((F.length(text) > 0) & F.col("project_id").isNotNull())
-    if (projects := _ruled(flat)) is not None:
+    if projects is not None:
         v = v.join(projects, "project_id", "left_semi")
     v = v.select(*columns, "project_id", F.lower(text).alias("low"))
     return v if shared is None else _signed(v, shared, False)
@@ -238,6 +248,15 @@ def _repeated(verbatims: DataFrame) -> bool:
     return bool(verbatims.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").head(1))
 
 
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _listed(values: pa.Array, rows: list[list[int]]) -> pa.Array:
+    """A list of values for each list of their positions."""
+    return pa.ListArray.from_arrays(_offsets([len(r) for r in rows]), values.take(pa.array(np.concatenate(rows), pa.int64())))
+
+
 class _Matches(_Sink):
     """(ord, topic_id, terms) of each match."""
 
@@ -262,7 +281,7 @@ class _Matches(_Sink):
 
 
 class _Pairs(_Sink):
-    """(ord, topic_id) of each match, by arrays."""
+    """(ords, topics) of texts with the same matches: every ord has every topic."""
 
     distinct = True
 
@@ -276,13 +295,16 @@ class _Pairs(_Sink):
 
     def add(self, i, rules, met, signature, again):
         if met:
+            if again and self.rows:
+                self.rows[-1].append(i)
+                return
             if not again:
                 self.last = self.known.get(met)
                 if self.last is None:
                     self.last = rules.topics(met)
                     if len(rules.listed) <= FEW_RULES:
                         self.known[met] = self.last
-            self.rows.append(i)
+            self.rows.append([i])
             self.bases.append(self.base)
             self.found.append(self.last)
             self.size += len(self.last)
@@ -292,7 +314,7 @@ class _Pairs(_Sink):
         if self.rows:
             n = [len(t) for t in self.found]
             names = pa.array(self.names, self.kind).take(pa.array(np.concatenate(self.found) + np.repeat(self.bases, n)))
-            out = pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(np.repeat(self.rows, n))), names], ["ord", "topic_id"])
+            out = pa.RecordBatch.from_arrays([_listed(batch.column("ord"), self.rows), pa.ListArray.from_arrays(_offsets(n), names)], ["ords", "topics"])
         self.names, self.base, self.rows, self.bases, self.found, self.size = list(self.own), 0, [], [], [], 0
         return out
 
@@ -345,7 +367,7 @@ class _Counts(_Sink):
 
 
 class _Labels(_Sink):
-    """The rows with the labels of the topics that they match, in topic order, joined by ` | `."""
+    """(rows, topics) of rows with the same matches: the labels of their topics, in topic order, joined by ` | `."""
 
     most = 8_000_000
 
@@ -360,6 +382,9 @@ class _Labels(_Sink):
         self.flags, self.known = np.zeros(len(rules.names), bool), {0: ""}
 
     def add(self, i, rules, met, signature, again):
+        if again and self.rows:
+            self.rows[-1].append(i)
+            return
         if not again:
             self.last = self.known.get(met)
             if self.last is None:
@@ -368,14 +393,14 @@ class _Labels(_Sink):
                 self.flags[topics] = False
                 if len(rules.listed) <= FEW_RULES:
                     self.known[met] = self.last
-        self.rows.append(i)
+        self.rows.append([i])
         self.joined.append(self.last)
         self.size += len(self.last)
 
     def flush(self, batch):
         if self.rows:
-            at = pa.array(self.rows, pa.int64())
-            out = pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in self.columns], pa.array(self.joined, pa.string())], [*self.columns, "topics"])
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in self.columns], self.columns)
+            out = pa.RecordBatch.from_arrays([_listed(rows, self.rows), pa.array(self.joined, pa.string())], ["rows", "topics"])
             self.rows, self.joined, self.size = [], [], 0
             return out
 
@@ -388,26 +413,27 @@ def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text
     matches once, by each of its rules; regular expressions that do not compile match nothing.
     """
     flat = _flat(rules, negation, regexes)
-    shared = _vocabulary(flat)
+    shared, projects, hot = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat), lambda: _hot(verbatims))
     kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
-    return _swept(_rows(verbatims, flat, shared, text, "ord"), flat, shared, _Matches, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>", _hot(verbatims))
+    return _swept(_rows(verbatims, projects, shared, text, "ord"), flat, shared, _Matches, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>", hot)
 
 
 def matched_pairs(verbatims: DataFrame, rules: DataFrame, negation: bool = True, regexes: bool = True) -> DataFrame:
     """Distinct rows (ord, topic_id) of topic_matches."""
     flat = _flat(rules, negation, regexes)
-    shared = _vocabulary(flat)
+    shared, projects, hot, repeated = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat), lambda: _hot(verbatims), lambda: _repeated(verbatims))
     kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
-    pairs = _swept(_rows(verbatims, flat, shared, "full_text", "ord"), flat, shared, _Pairs, f"ord {kinds[0]}, topic_id {kinds[1]}", _hot(verbatims), ("ord",))
+    met = _swept(_rows(verbatims, projects, shared, "full_text", "ord"), flat, shared, _Pairs, f"ords array<{kinds[0]}>, topics array<{kinds[1]}>", hot, ("ord",))
+    pairs = met.select(F.explode("ords").alias("ord"), "topics").select("ord", F.explode("topics").alias("topic_id"))
     # Topics of a text are distinct already: only an ord of several texts can repeat one.
-    return pairs.distinct() if _repeated(verbatims) else pairs
+    return pairs.distinct() if repeated else pairs
 
 
 def matched_texts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
     """The ord of each text with a topic."""
     flat = _flat(rules)
-    shared = _vocabulary(flat)
-    return _swept(_rows(verbatims, flat, shared, "full_text", "ord"), flat, shared, _Met, f"ord {verbatims.schema['ord'].dataType.simpleString()}", _hot(verbatims), ("ord",))
+    shared, projects, hot = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat), lambda: _hot(verbatims))
+    return _swept(_rows(verbatims, projects, shared, "full_text", "ord"), flat, shared, _Met, f"ord {verbatims.schema['ord'].dataType.simpleString()}", hot, ("ord",))
 
 
 def topic_counts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
@@ -417,12 +443,12 @@ def topic_counts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
     with the kinds of texts, not with texts times topics.
     """
     flat = _flat(rules)
-    shared = _vocabulary(flat)
+    shared, projects = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat))
     schema = f"topic_id {rules.schema['topic_id'].dataType.simpleString()}, term string, verbatims long"
     if shared is None:
-        parts = _swept(_rows(verbatims, flat, None, "full_text", "ord"), flat, None, _Counts, schema, _hot(verbatims))
+        parts = _swept(_rows(verbatims, projects, None, "full_text", "ord"), flat, None, _Counts, schema, _hot(verbatims))
     else:
-        parts = _swept(_rows(verbatims, flat, shared, "full_text").groupBy("project_id", "low").agg(F.count("*").alias("n")), flat, shared, _Counts, schema, {})
+        parts = _swept(_rows(verbatims, projects, shared, "full_text").groupBy("project_id", "low").agg(F.count("*").alias("n")), flat, shared, _Counts, schema, {})
     return parts.groupBy("topic_id", "term").agg(F.sum("verbatims").alias("verbatims"))
 
 
@@ -506,15 +532,14 @@ def enriched(verbatims: DataFrame, rules: DataFrame, dictionary: DataFrame, type
     """Each verbatim with its topics' labels in topic order and its entities by type, joined by ` | `."""
     labels = rules.groupBy("topic_id").agg(F.collect_list(F.struct("topic_ord", "canonical_label")).alias("labels"))
     flat, plain = _flat(rules.join(labels, "topic_id"), True, True, "labels"), _flat(rules)
-    shared = _vocabulary(plain)
     v = verbatims.select("ord", "project_id", F.lower("full_text").alias("low"))
     entries = entities(dictionary)
-    met = entries.limit(BROADCAST_RULES + 1).collect()
+    shared, projects, hot, repeated, met = _at_once(plain.sparkSession, lambda: _vocabulary(plain), lambda: _ruled(plain), lambda: _hot(verbatims), lambda: _repeated(verbatims), lambda: entries.limit(BROADCAST_RULES + 1).collect())
     columns = [f"entity_{t}" for t in types]
-    if len(met) <= BROADCAST_RULES and not _repeated(verbatims):
+    if len(met) <= BROADCAST_RULES and not repeated:
         # A text's entities are all of its ord: they are found as it is read.
         v = v.withColumn("low", F.when(F.col("ord").isNotNull(), F.col("low")))
-        named, projects = verbatims.sparkSession.sparkContext.broadcast([tuple(r) for r in met]), _ruled(plain)
+        named = verbatims.sparkSession.sparkContext.broadcast([tuple(r) for r in met])
         add = lambda rows, by: _signed(rows, by, True, named, types)
         swept = add(v if projects is None else v.join(projects, "project_id", "left_semi"), shared)
         rest = None if projects is None else add(v.join(projects, "project_id", "left_anti"), None).withColumn("topics", F.lit(""))
@@ -523,8 +548,8 @@ def enriched(verbatims: DataFrame, rules: DataFrame, dictionary: DataFrame, type
         found = found.select("ord", *[F.col(t).alias(c) for t, c in zip(types, columns)])
         swept, rest = (v if shared is None else _signed(v, shared, True)).join(found, "ord", "left"), None
     # Labels are added last: they are long, and are not shuffled.
-    schema = StructType([*[f for f in swept.schema if f.name not in ("project_id", "low")], StructField("topics", StringType())])
-    out = _swept(swept, flat, shared, _Labels, schema, _hot(verbatims))
+    schema = StructType([StructField("rows", ArrayType(StructType([f for f in swept.schema if f.name not in ("project_id", "low")]))), StructField("topics", StringType())])
+    out = _swept(swept, flat, shared, _Labels, schema, hot).select(F.inline("rows"), "topics")
     out = out if rest is None else out.unionByName(rest.select(*out.columns))
     return out.select("ord", "topics", *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
