@@ -17,7 +17,7 @@ def swept(spark, folder, name, monkeypatch):  # noqa: F811
     return met[0], met[1], out
 
 
-@pytest.mark.parametrize("name", ["explorer_matches"])
+@pytest.mark.parametrize("name", ["explorer_matches", "enriched_verbatims"])
 def test_matches_leave_once_for_rows_that_match_the_same(spark, folder, name, monkeypatch):  # noqa: F811
     """The rows of a large project are divided, but what a signature gives is in few parts; results stay."""
     monkeypatch.setattr(topics, "LEAST_HOT", 20)
