@@ -184,8 +184,8 @@ class Vocabulary:
 class ProjectRules:
     """The topics of one project: what signatures match, by sets of bits."""
 
-    #: Signatures whose bits are held at once.
-    block = 65_536
+    #: Signatures whose bits are held at once, and up to which they are set one by one: arrays cost more for so few.
+    block, few = 65_536, 64
 
     def __init__(self, topics: list[tuple], ids: dict[tuple, int]):
         """topics: (topic, {words: [[term, keyword, negations]], nots, patterns: [[label, regular expression]]}); ids: of a Vocabulary.
@@ -260,20 +260,9 @@ class ProjectRules:
         kinds = {*topics, *pairs.values()} - {()}
         if not kinds:
             return
-        wanted = {e for kind in kinds for part in kind for es in part for e in es}
         for at in range(0, len(signatures), self.block):
             some = signatures[at : at + self.block]
-            texts = np.ones(len(some), np.int64) if n is None else np.array(n[at : at + self.block], np.int64)
-            order = np.argsort(-texts, kind="stable")  # the high bits of n are then in few, low places
-            place = np.empty(len(some), np.int64)
-            place[order] = np.arange(len(some))
-            entries = np.frombuffer(b"".join(some), np.int32)
-            rows = np.repeat(place, np.array([len(x) for x in some]) // 4)
-            by = np.argsort(entries, kind="stable")
-            found, starts = np.unique(entries[by], return_index=True)
-            ends = [*starts[1:].tolist(), len(by)]
-            held = {e: _bits(rows[by[a:b]]) for e, a, b in zip(found.tolist(), starts.tolist(), ends) if e in wanted}
-            planes = [(b, _bits(x)) for b in range(int(texts.max()).bit_length()) if len(x := np.flatnonzero(texts[order] >> b & 1))]
+            held, planes = (_few_bits if len(some) <= self.few else _many_bits)(some, None if n is None else n[at : at + self.block], kinds)
             for kind in kinds:
                 if m := _met(kind, held):
                     sums[kind] = sums.get(kind, 0) + sum((m & plane).bit_count() << b for b, plane in planes)
@@ -284,6 +273,38 @@ class ProjectRules:
         return [*((self.names[t], None, sums[kind]) for t, kind in enumerate(topics) if kind in sums), *((self.names[t], term, sums[kind]) for (t, term), kind in pairs.items() if kind in sums)]
 
 
+def _many_bits(signatures: list[bytes], n: list[int] | None, kinds: set[tuple]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """_few_bits by arrays, of the entries of these kinds."""
+    wanted = {e for kind in kinds for part in kind for es in part for e in es}
+    texts = np.ones(len(signatures), np.int64) if n is None else np.array(n, np.int64)
+    order = np.argsort(-texts, kind="stable")  # the high bits of n are then in few, low places
+    place = np.empty(len(signatures), np.int64)
+    place[order] = np.arange(len(signatures))
+    entries = np.frombuffer(b"".join(signatures), np.int32)
+    rows = np.repeat(place, np.array([len(x) for x in signatures]) // 4)
+    by = np.argsort(entries, kind="stable")
+    found, starts = np.unique(entries[by], return_index=True)
+    ends = [*starts[1:].tolist(), len(by)]
+    held = {e: _bits(rows[by[a:b]]) for e, a, b in zip(found.tolist(), starts.tolist(), ends) if e in wanted}
+    return held, [(b, _bits(x)) for b in range(int(texts.max()).bit_length()) if len(x := np.flatnonzero(texts[order] >> b & 1))]
+
+
+def _few_bits(signatures: list[bytes], n: list[int] | None, kinds: set[tuple]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Entry → the signatures (bits) that hold it; (b, the signatures whose n has bit b) of each bit."""
+    held: dict[int, int] = {}
+    planes: dict[int, int] = {}
+    for i, signature in enumerate(signatures):
+        one = 1 << i
+        for e in memoryview(signature).cast("i"):
+            held[e] = held.get(e, 0) | one
+        texts, b = 1 if n is None else n[i], 0
+        while texts:
+            if texts & 1:
+                planes[b] = planes.get(b, 0) | one
+            texts, b = texts >> 1, b + 1
+    return held, list(planes.items())
+
+
 def _met(kind: tuple, held: dict[int, int]) -> int:
     """The signatures (bits) that meet a kind of topic or term; held: those of each entry."""
     out = 0
