@@ -54,7 +54,7 @@ def test_small_projects_are_counted_without_arrays(spark, folder, name, monkeypa
     assert out == contract.rows(reference.QUERIES[name](spark, folder).toPandas())
 
 
-@pytest.mark.parametrize("name", COUNTED)
+@pytest.mark.parametrize("name", ["topic_summary", *COUNTED])
 def test_projects_with_rules_are_read_once(spark, folder, name, monkeypatch):  # noqa: F811
     """They are sought together with the vocabulary, not again by each join of texts."""
     seen, ruled = [], topics._ruled
