@@ -32,7 +32,7 @@ def test_matches_leave_once_for_rows_that_match_the_same(spark, folder, name, mo
     assert out == swept(spark, folder, name, monkeypatch)[2]
 
 
-COUNTED = "keyword_sheet label_groupby_merge topic_metrics topic_summary_top10 slide_table".split()
+COUNTED = "keyword_sheet label_groupby_merge topic_metrics topic_summary_top10 slide_table topics_without_match".split()
 
 
 @pytest.mark.parametrize("name", COUNTED)
