@@ -37,12 +37,26 @@ def topic_rules(run_topics: DataFrame, runs: DataFrame, active_only: bool = True
     return topics.join(r, "run_id").select(
         "topic_id", "run_id", "project_id", "topic_ord", "canonical_label", "canonical_subtopic", "keywords",
         F.transform(terms, lambda k: F.array(k, F.lower(k), F.lit(DEFAULT_NEGATIONS))).alias("words"),
-        compiled_keywords(F.col("keywords"), default_negations()).alias("rules"), F.col("negative_keywords").alias("negatives"), compiled_regexes(F.col("regex_patterns")).alias("regexes"),
+        compiled_keywords(F.col("keywords"), default_negations()).alias("rules"), F.col("negative_keywords").alias("negatives"), compiled_regexes(F.col("regex_patterns")).alias("regexes"), "regex_patterns",
     )
 
 
-def _flat(rules: DataFrame, negation: bool = True, regexes: bool = True, *more: str) -> DataFrame:
-    """Rules as (project_id, topic_id, rule as JSON with the columns `more`, entries of its Vocabulary)."""
+def _known(rules: DataFrame) -> DataFrame:
+    """Rules of a project."""
+    return rules.where(F.col("project_id").isNotNull())
+
+
+def _plain(rules: DataFrame) -> bool:
+    """Whether rules have their texts as they were given, of topic_rules."""
+    return {"words", "regex_patterns"} <= {*rules.columns}
+
+
+def _flat(rules: DataFrame, negation: bool = True, regexes: bool = True, *more: str, shared: Broadcast | None = None) -> DataFrame:
+    """Rules as (project_id, topic_id, rule with the columns `more`): texts as they were given where `shared` knows
+    their lower-case forms, else JSON, with the entries of its Vocabulary."""
+    if shared is not None and _plain(rules):
+        patterns = F.col("regex_patterns") if regexes else F.array().cast("array<string>")
+        return rules.select("project_id", "topic_id", F.struct(F.col("keywords").alias("words"), F.col("negatives").alias("nots"), patterns.alias("patterns"), *more).alias("rule"))
     none, nones = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
     # Compiled rules repeat their negations with each keyword: `words`, where they are there, cost less.
     if "words" in rules.columns:
@@ -51,7 +65,7 @@ def _flat(rules: DataFrame, negation: bool = True, regexes: bool = True, *more:
         words = F.transform("rules", lambda k: F.array(k["term"], k["low"], F.to_json(k["negations"]) if negation else F.lit("")))
     nots = F.transform(F.filter(F.coalesce("negatives", none), lambda n: F.length(n) > 0), lambda n: F.lower(n))
     patterns = F.transform("regexes", lambda r: F.array(r["label"], r["source"])) if regexes else nones
-    flat = rules.where(F.col("project_id").isNotNull()).select("project_id", "topic_id", F.coalesce(words, nones).alias("words"), nots.alias("nots"), F.filter(F.coalesce(patterns, nones), lambda r: r[1].isNotNull()).alias("patterns"), *more)
+    flat = rules.select("project_id", "topic_id", F.coalesce(words, nones).alias("words"), nots.alias("nots"), F.filter(F.coalesce(patterns, nones), lambda r: r[1].isNotNull()).alias("patterns"), *more)
     of = lambda kind, c, a, b: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), a(x).alias("low"), b(x).alias("negations")))
     blank = lambda x: F.lit("")
     entries = F.concat(of("k", "words", lambda x: x[1], lambda x: F.coalesce(x[2], F.lit(""))), of("n", "nots", lambda x: x, blank), of("p", "patterns", lambda x: x[1], blank))
@@ -64,12 +78,59 @@ def _at_once(spark: SparkSession, *jobs: Callable) -> list:
         return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
-def _vocabulary(flat: DataFrame) -> Broadcast | None:
-    """The distinct entries of all rules; None where they are more than BROADCAST_RULES or BROADCAST_PATTERNS."""
-    met = flat.select(F.explode("entries").alias("e")).select("e.*").distinct().limit(BROADCAST_RULES + 1).collect()
+def _vocabulary(rules: DataFrame, negation: bool = True, regexes: bool = True) -> Broadcast | None:
+    """The distinct entries of all rules; None where they are more than BROADCAST_RULES or BROADCAST_PATTERNS.
+
+    With it, the lower-case form of each text of rules of topic_rules, and what stands for their negations.
+    """
+    if _plain(rules):
+        met = _distinct_texts(rules, regexes).limit(BROADCAST_RULES + 1).collect()
+        lows, no = {r.text: r.low for r in met if r.kind != "p"}, DEFAULT_NEGATIONS if negation else ""
+        entries = {(r.kind, r.text if r.kind == "p" else r.low, no if r.kind == "k" else "") for r in met}
+    else:
+        met = _flat(_known(rules), negation, regexes).select(F.explode("entries").alias("e")).select("e.*").distinct().limit(BROADCAST_RULES + 1).collect()
+        lows, no, entries = {}, "", map(tuple, met)
     if len(met) > BROADCAST_RULES or sum(r.kind == "p" for r in met) > BROADCAST_PATTERNS:
         return None
-    return flat.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(tuple(r) for r in met)))
+    return rules.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(entries), lows, no))
+
+
+def _distinct_texts(rules: DataFrame, regexes: bool) -> DataFrame:
+    """Distinct (kind of entry, text, lower-case text) of rules of topic_rules: found in Arrow, so that no row is made of each."""
+    kinds, most = {"keywords": "k", "negatives": "n"} | ({"regex_patterns": "p"} if regexes else {}), BROADCAST_RULES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            if len(seen) > most:
+                continue  # too many to be broadcast, whatever else there is
+            met = {(kind, x) for c, kind in kinds.items() for x in pc.unique(pc.list_flatten(batch.column(c))).to_pylist() if x or (kind == "p" and x is not None)} - seen
+            seen |= met
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in met], pa.string()), pa.array([x for _, x in met], pa.string())], ["kind", "text"])
+
+    return _known(rules).select(*kinds).mapInArrow(run, "kind string, text string").distinct().select("kind", "text", F.lower("text").alias("low"))
+
+
+def _texts(lists: pa.Array) -> list[list]:
+    """Lists of strings, each distinct one made once; a null list is empty."""
+    codes = pc.list_flatten(lists).dictionary_encode("encode")
+    texts = np.array([*codes.dictionary.to_pylist(), None], object)[codes.indices.to_numpy(False)].tolist()
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(False)).tolist()
+    return [texts[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _read(rules: pa.Array, shared: Broadcast | None) -> list[dict]:
+    """Rules of _flat as ProjectRules takes them."""
+    if not pa.types.is_struct(rules.type):
+        return list(map(json.loads, rules.to_pylist()))
+    _, _, lows, no = shared.value
+    names = [rules.type.field(k).name for k in range(rules.type.num_fields)]
+    columns = {name: _texts(c) if name in ("words", "nots", "patterns") else c.to_pylist() for name, c in zip(names, rules.flatten())}
+    words = {k: (k, low, no) for k, low in lows.items()}
+    columns["words"] = [[words[k] for k in dict.fromkeys(x) if k] for x in columns["words"]]
+    columns["nots"] = [[lows[k] for k in x if k] for x in columns["nots"]]
+    columns["patterns"] = [[(f"[regex:{p[:20]}]", p) for p in x if p is not None] for x in columns["patterns"]]
+    return [dict(zip(names, row)) for row in zip(*[columns[c] for c in names])]
 
 
 _held: dict[str, Vocabulary] = {}
@@ -77,7 +138,7 @@ _held: dict[str, Vocabulary] = {}
 
 def _opened(shared: Broadcast) -> Vocabulary:
     """The vocabulary of a broadcast, kept by the worker as long as its tasks use the same."""
-    name, entries = shared.value
+    name, entries, *_ = shared.value
     if name not in _held:
         _held.clear()
         _held[name] = Vocabulary(entries)
@@ -136,9 +197,10 @@ class _Sink:
     #: Rows, or characters, that are held before they leave.
     most = 200_000
 
-    #: Whether a row that is there twice counts once.
-    distinct = False
+    #: Whether a row that is there twice counts once; whether projects without rows are opened and closed, too.
+    distinct = every = False
     kind: pa.DataType | None = None  # of topic_id
+    rule: pa.DataType | None = None  # of the rules
 
     def __init__(self, columns: list[str]):
         self.columns, self.size, self.rows = columns, 0, []
@@ -188,37 +250,49 @@ def _swept(rows: DataFrame, flat: DataFrame, shared: Broadcast | None, sink: Cal
     both = flat.select("project_id", "_part", "topic_id", "rule").unionByName(rows, allowMissingColumns=True)
     # A project's rows are few or spread; more partitions than cores even them out.
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    key = F.xxhash64("project_id") if "ord" not in columns else F.xxhash64("project_id", F.when(F.col("project_id").isNull(), F.xxhash64("ord")))
+    # Rules of no project meet no rows.
+    key = F.xxhash64("project_id", F.when(F.col("project_id").isNull(), F.xxhash64("topic_id"))) if "ord" not in columns else F.xxhash64("project_id", F.when(F.col("project_id").isNull(), F.xxhash64("ord")))
     # The parts of a project are next to each other, so that no partition gets several before all have one.
-    both = both.repartitionById(tasks, F.pmod(F.pmod(key, F.lit(tasks)) + F.col("_part"), F.lit(tasks)).cast("int")).sortWithinPartitions("project_id", "_part", F.col("rule").isNull(), "low", *order)
+    both = both.repartitionById(tasks, F.pmod(F.pmod(key, F.lit(tasks)) + F.col("_part"), F.lit(tasks)).cast("int")).sortWithinPartitions("project_id", "_part", F.col("rule").isNull(), *(() if "n" in columns else ("low",)), *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, listed, rules = sink(columns), None, [], None
         words = None if shared is None else _opened(shared)
+
+        def begun() -> tuple[ProjectRules, Vocabulary]:
+            own = words if words is not None else Vocabulary(e for _, r in listed for e in [*(("k", low, no or "") for _, low, no in r.get("words") or ()), *(("n", low, "") for low in r.get("nots") or ()), *(("p", p, "") for _, p in r.get("patterns") or ())])
+            rules = ProjectRules(listed, own.ids)
+            out.opened(rules)
+            return rules, own
+
         for batch in batches:
-            out.kind = batch.schema.field("topic_id").type
+            out.kind, out.rule = batch.schema.field("topic_id").type, batch.schema.field("rule").type
             project, part, texts = batch.column("project_id"), batch.column("_part"), batch.column("rule")
             # A project's rows are next to each other, its rules first.
+            given = _read(texts.drop_null(), shared) if texts.null_count < len(texts) else []
             codes = project.dictionary_encode("encode").indices.to_numpy(), part.to_numpy(), texts.is_null().to_numpy(False)
+            before = np.concatenate([[0], np.cumsum(~codes[2])])  # rules before each row
             changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1
             for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(texts)]):
                 if a == b:
                     continue
                 if at != (now := (project[a].as_py(), part[a].as_py())):
+                    if rules is None and listed and out.every:
+                        rules, _ = begun()
                     if rules is not None and (done := out.closed(rules)) is not None:
                         yield done
                     at, listed, rules = now, [], None
                 if texts[a].is_valid:
-                    listed += zip(batch.column("topic_id").slice(a, b - a).to_pylist(), map(json.loads, texts.slice(a, b - a).to_pylist()))
+                    listed += zip(batch.column("topic_id").slice(a, b - a).to_pylist(), given[before[a] : before[b]])
                     continue
                 if rules is None:
-                    own = words if words is not None else Vocabulary(e for _, r in listed for e in [*(("k", low, no or "") for _, low, no in r.get("words") or ()), *(("n", low, "") for low in r.get("nots") or ()), *(("p", p, "") for _, p in r.get("patterns") or ())])
-                    rules = ProjectRules(listed, own.ids)
-                    out.opened(rules)
+                    rules, own = begun()
                 held = batch.column("low").slice(a, b - a).to_pylist()
                 yield from out.take(batch, a, [x or b"" for x in held] if shared is not None else [own.signature(x) if x else b"" for x in held], rules)
             if (done := out.flush(batch)) is not None:
                 yield done
+        if rules is None and listed and out.every:
+            rules, _ = begun()
         if rules is not None and (done := out.closed(rules)) is not None:
             yield done
         if (done := out.ended()) is not None:
@@ -234,13 +308,23 @@ def _hot(verbatims: DataFrame) -> dict[str, int]:
     return {r.project_id: -(-r.n // least) for r in sizes.where(F.col("n") > least).collect()}
 
 
-def _rows(verbatims: DataFrame, projects: DataFrame | None, shared: Broadcast | None, text: str, *columns: str) -> DataFrame:
-    """Texts that can match, as _swept takes them; projects: of _ruled."""
+def _rows(verbatims: DataFrame, projects: DataFrame | None, shared: Broadcast | None, text: str, *columns: str, keep_all: bool = False) -> DataFrame:
+    """Texts that can match, as _swept takes them; projects: of _ruled. With keep_all, those of their projects that can't, too."""
     v = verbatims.where((F.length(text) > 0) & F.col("project_id").isNotNull())
     if projects is not None:
         v = v.join(projects, "project_id", "left_semi")
     v = v.select(*columns, "project_id", F.lower(text).alias("low"))
-    return v if shared is None else _signed(v, shared, False)
+    return v if shared is None else _signed(v, shared, keep_all)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Texts of a project with the same signature as one row, with their number `n`."""
+    return rows.groupBy("project_id", "low").agg(F.count("*").alias("n"))
+
+
+def _ambiguous(rows: DataFrame, key: str) -> bool:
+    """Whether a key stands for several rows, or is null."""
+    return bool(rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).head(1))
 
 
 def _repeated(verbatims: DataFrame) -> bool:
@@ -366,6 +450,56 @@ class _Counts(_Sink):
             return pa.RecordBatch.from_arrays([pa.array(names, self.kind), pa.array(terms, pa.string()), pa.array(n, pa.int64())], ["topic_id", "term", "verbatims"])
 
 
+class _Metrics(_Counts):
+    """Per topic, met or not: the columns `more` of its rule, texts, distinct terms met, and texts of the project."""
+
+    every, more = True, ("run_id", "topic_ord", "canonical_label")
+
+    def opened(self, rules):
+        super().opened(rules)
+        self.total = 0
+
+    def counted(self, rules):
+        self.total += sum(self.n)
+        super().counted(rules)
+
+    def closed(self, rules):
+        if self.signatures:
+            self.counted(rules)
+        texts, terms = [0] * len(rules.names), [0] * len(rules.names)
+        topics, pairs = rules._kinds
+        for t, kind in enumerate(topics):
+            texts[t] = self.sums.get(kind, 0)
+        for (t, _), kind in pairs.items():
+            terms[t] += kind in self.sums
+        self.rows += ((name, *[rule[c] for c in self.more], texts[t], terms[t], self.total) for t, (name, rule) in enumerate(rules.first.items()))
+        if len(self.rows) > self.most:
+            return self.ended()
+
+    def ended(self):
+        if self.rows:
+            kinds = [self.kind, *[self.rule.field(c).type for c in self.more], *[pa.int64()] * 3]
+            out = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*self.rows), kinds)], ["topic_id", *self.more, "volume_verbatims", "volume_mentions", "n"])
+            self.rows = []
+            return out
+
+
+class _Texts(_Sink):
+    """The number of texts with a match, of each partition."""
+
+    def __init__(self, columns):
+        super().__init__(columns)
+        self.texts = 0
+
+    def take(self, batch, at, signatures, rules):
+        n = batch.column("n").slice(at, len(signatures)).to_pylist()
+        self.texts += sum(k for signature, k in zip(signatures, n) if rules.met(signature))
+        return ()
+
+    def ended(self):
+        return pa.RecordBatch.from_arrays([pa.array([self.texts], pa.int64())], ["with_match"])
+
+
 class _Labels(_Sink):
     """(rows, topics) of rows with the same matches: the labels of their topics, in topic order, joined by ` | `."""
 
@@ -412,16 +546,16 @@ def topic_matches(verbatims: DataFrame, rules: DataFrame, text: str = "full_text
     than are broadcast are sought project by project. Null and empty texts match nothing; a topic listed twice
     matches once, by each of its rules; regular expressions that do not compile match nothing.
     """
-    flat = _flat(rules, negation, regexes)
-    shared, projects, hot = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat), lambda: _hot(verbatims))
+    shared, projects, hot = _at_once(rules.sparkSession, lambda: _vocabulary(rules, negation, regexes), lambda: _ruled(_known(rules)), lambda: _hot(verbatims))
+    flat = _flat(_known(rules), negation, regexes, shared=shared)
     kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
     return _swept(_rows(verbatims, projects, shared, text, "ord"), flat, shared, _Matches, f"ord {kinds[0]}, topic_id {kinds[1]}, terms array<string>", hot)
 
 
 def matched_pairs(verbatims: DataFrame, rules: DataFrame, negation: bool = True, regexes: bool = True) -> DataFrame:
     """Distinct rows (ord, topic_id) of topic_matches."""
-    flat = _flat(rules, negation, regexes)
-    shared, projects, hot, repeated = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat), lambda: _hot(verbatims), lambda: _repeated(verbatims))
+    shared, projects, hot, repeated = _at_once(rules.sparkSession, lambda: _vocabulary(rules, negation, regexes), lambda: _ruled(_known(rules)), lambda: _hot(verbatims), lambda: _repeated(verbatims))
+    flat = _flat(_known(rules), negation, regexes, shared=shared)
     kinds = verbatims.schema["ord"].dataType.simpleString(), rules.schema["topic_id"].dataType.simpleString()
     met = _swept(_rows(verbatims, projects, shared, "full_text", "ord"), flat, shared, _Pairs, f"ords array<{kinds[0]}>, topics array<{kinds[1]}>", hot, ("ord",))
     pairs = met.select(F.explode("ords").alias("ord"), "topics").select("ord", F.explode("topics").alias("topic_id"))
@@ -431,8 +565,12 @@ def matched_pairs(verbatims: DataFrame, rules: DataFrame, negation: bool = True,
 
 def matched_texts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
     """The ord of each text with a topic."""
-    flat = _flat(rules)
-    shared, projects, hot = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat), lambda: _hot(verbatims))
+    shared, projects, hot = _at_once(rules.sparkSession, lambda: _vocabulary(rules), lambda: _ruled(_known(rules)), lambda: _hot(verbatims))
+    return _matched_texts(verbatims, rules, shared, projects, hot)
+
+
+def _matched_texts(verbatims: DataFrame, rules: DataFrame, shared: Broadcast | None, projects: DataFrame | None, hot: dict[str, int]) -> DataFrame:
+    flat = _flat(_known(rules), shared=shared)
     return _swept(_rows(verbatims, projects, shared, "full_text", "ord"), flat, shared, _Met, f"ord {verbatims.schema['ord'].dataType.simpleString()}", hot, ("ord",))
 
 
@@ -442,13 +580,17 @@ def topic_counts(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
     Texts of a project with the same signature are counted before they meet the rules, so that the work grows
     with the kinds of texts, not with texts times topics.
     """
-    flat = _flat(rules)
-    shared, projects = _at_once(flat.sparkSession, lambda: _vocabulary(flat), lambda: _ruled(flat))
+    shared, projects = _at_once(rules.sparkSession, lambda: _vocabulary(rules), lambda: _ruled(_known(rules)))
+    return _topic_counts(verbatims, rules, shared, projects)
+
+
+def _topic_counts(verbatims: DataFrame, rules: DataFrame, shared: Broadcast | None, projects: DataFrame | None) -> DataFrame:
+    flat = _flat(_known(rules), shared=shared)
     schema = f"topic_id {rules.schema['topic_id'].dataType.simpleString()}, term string, verbatims long"
     if shared is None:
         parts = _swept(_rows(verbatims, projects, None, "full_text", "ord"), flat, None, _Counts, schema, _hot(verbatims))
     else:
-        parts = _swept(_rows(verbatims, projects, shared, "full_text").groupBy("project_id", "low").agg(F.count("*").alias("n")), flat, shared, _Counts, schema, {})
+        parts = _swept(_grouped(_rows(verbatims, projects, shared, "full_text")), flat, shared, _Counts, schema, {})
     return parts.groupBy("topic_id", "term").agg(F.sum("verbatims").alias("verbatims"))
 
 
@@ -458,8 +600,21 @@ def _counted(matches: DataFrame) -> DataFrame:
 
 
 def topic_metrics(verbatims: DataFrame, rules: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    """Per topic: verbatims that match, distinct terms met, and share of the project's texts; 0 for topics without match."""
-    counts = topic_counts(verbatims, rules) if matches is None else _counted(matches)
+    """Per topic: verbatims that match, distinct terms met, and share of the project's texts; 0 for topics without match.
+
+    Where a topic is listed once, all that it needs meets in its project: texts are read once, and nothing is joined.
+    """
+    if matches is None and _plain(rules):
+        shared, projects, twice = _at_once(rules.sparkSession, lambda: _vocabulary(rules), lambda: _ruled(_known(rules)), lambda: _ambiguous(rules, "topic_id"))
+        if shared is not None and not twice:
+            kinds = {f.name: f.dataType.simpleString() for f in rules.schema}
+            schema = ", ".join(f"{c} {kinds[c]}" for c in ("topic_id", *_Metrics.more)) + ", volume_verbatims long, volume_mentions long, n long"
+            rows = _grouped(_rows(verbatims, projects, shared, "full_text", keep_all=True))
+            met = _swept(rows, _flat(rules, True, True, *_Metrics.more, shared=shared), shared, _Metrics, schema, {})
+            return met.withColumn("pct_of_dataset", F.when(F.col("n") > 0, F.round(100.0 * F.col("volume_verbatims") / F.col("n"), 2)).otherwise(0.0)).drop("n")
+        counts = _topic_counts(verbatims, rules, shared, projects)
+    else:
+        counts = topic_counts(verbatims, rules) if matches is None else _counted(matches)
     per_topic = counts.groupBy("topic_id").agg(F.sum(F.when(F.col("term").isNull(), F.col("verbatims"))).alias("volume_verbatims"), F.count("term").alias("volume_mentions"))
     sizes = verbatims.where(F.length("full_text") > 0).groupBy("project_id").agg(F.count("*").alias("n"))
     base = rules.select("topic_id", "run_id", "project_id", "topic_ord", "canonical_label").join(sizes, "project_id", "left").join(per_topic, "topic_id", "left")
@@ -530,11 +685,14 @@ def entity_counts(verbatims: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def enriched(verbatims: DataFrame, rules: DataFrame, dictionary: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Each verbatim with its topics' labels in topic order and its entities by type, joined by ` | `."""
-    labels = rules.groupBy("topic_id").agg(F.collect_list(F.struct("topic_ord", "canonical_label")).alias("labels"))
-    flat, plain = _flat(rules.join(labels, "topic_id"), True, True, "labels"), _flat(rules)
+    own = F.struct("topic_ord", "canonical_label")
     v = verbatims.select("ord", "project_id", F.lower("full_text").alias("low"))
     entries = entities(dictionary)
-    shared, projects, hot, repeated, met = _at_once(plain.sparkSession, lambda: _vocabulary(plain), lambda: _ruled(plain), lambda: _hot(verbatims), lambda: _repeated(verbatims), lambda: entries.limit(BROADCAST_RULES + 1).collect())
+    shared, projects, hot, repeated, twice, met = _at_once(
+        rules.sparkSession, lambda: _vocabulary(rules), lambda: _ruled(_known(rules)), lambda: _hot(verbatims), lambda: _repeated(verbatims), lambda: _ambiguous(rules, "topic_id"), lambda: entries.limit(BROADCAST_RULES + 1).collect()
+    )
+    labelled = rules.join(rules.groupBy("topic_id").agg(F.collect_list(own).alias("labels")), "topic_id") if twice else rules.withColumn("labels", F.array(own))
+    flat = _flat(_known(labelled), True, True, "labels", shared=shared)
     columns = [f"entity_{t}" for t in types]
     if len(met) <= BROADCAST_RULES and not repeated:
         # A text's entities are all of its ord: they are found as it is read.
@@ -554,10 +712,22 @@ def enriched(verbatims: DataFrame, rules: DataFrame, dictionary: DataFrame, type
     return out.select("ord", "topics", *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
+def topic_summary(verbatims: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row: texts, texts with a topic, texts without. Where an ord is one text's, texts are counted by signature."""
+    shared, projects, repeated = _at_once(rules.sparkSession, lambda: _vocabulary(rules), lambda: _ruled(_known(rules)), lambda: _ambiguous(verbatims, "ord"))
+    if shared is None or repeated:
+        return summary(verbatims, _matched_texts(verbatims, rules, shared, projects, _hot(verbatims)))
+    met = _swept(_grouped(_rows(verbatims, projects, shared, "full_text")), _flat(_known(rules), shared=shared), shared, _Texts, "with_match long", {})
+    return _summary(verbatims, met.agg(F.lit(0).cast("long").alias("total"), F.coalesce(F.sum("with_match"), F.lit(0)).alias("with_match")))
+
+
 def summary(verbatims: DataFrame, met: DataFrame) -> DataFrame:
     """One row: texts, texts with a topic (their ord, of matched_texts or topic_matches), texts without."""
+    return _summary(verbatims, met.agg(F.lit(0).cast("long").alias("total"), F.count_distinct("ord").alias("with_match")))
+
+
+def _summary(verbatims: DataFrame, met: DataFrame) -> DataFrame:
     total = verbatims.agg(F.count_if(F.length("full_text") > 0).alias("total"), F.lit(0).cast("long").alias("with_match"))
-    met = met.agg(F.lit(0).cast("long").alias("total"), F.count_distinct("ord").alias("with_match"))
     both = total.unionByName(met).agg(F.sum("total").alias("total"), F.sum("with_match").alias("with_match"))
     return both.withColumn("without_match", F.col("total") - F.col("with_match"))
 
