@@ -8,7 +8,7 @@ from test_topics_at_size import folder  # noqa: F401
 from verbatlas.operators import topics
 from verbatlas.queries import reference
 
-METRICS = "topic_metrics label_groupby_merge topic_summary_top10 slide_table".split()
+METRICS = "topic_metrics label_groupby_merge topic_summary_top10 slide_table topics_without_match".split()
 
 
 @pytest.fixture(scope="module")
