@@ -55,3 +55,10 @@ def test_topics_without_project_or_texts_have_no_matches(spark, repeated):
     m = {r.topic_id: r for r in topics.topic_metrics(v, rules.where("topic_id <> 't0'")).collect()}
     assert m["w"].volume_verbatims == 0 and m["w"].pct_of_dataset == 0 and m["w"].run_id == "x"
     assert m["v"].volume_verbatims == 6 and m["v"].volume_mentions == 1
+
+
+def test_texts_are_summed_up_by_signature(spark, folder, repeated, monkeypatch):  # noqa: F811
+    args, _, out = swept(spark, folder, "topic_summary", monkeypatch)
+    assert "n" in args[0].columns and args[0].count() <= 21 and out == wanted(folder, "topic_summary")
+    args, _, out = swept(spark, repeated, "topic_summary", monkeypatch)
+    assert "n" not in args[0].columns and out == wanted(repeated, "topic_summary")  # ord 3 counts once

@@ -86,8 +86,7 @@ def topic_summary_top10(spark, d):
 
 @query(_RULES + "SELECT (SELECT count(*) FROM v) AS total, count(DISTINCT ord) AS with_match, (SELECT count(*) FROM v) - count(DISTINCT ord) AS without_match FROM hits")
 def topic_summary(spark, d):
-    v, rules = _topics(spark, d)
-    return topics.summary(v, topics.matched_texts(v, rules))
+    return topics.topic_summary(*_topics(spark, d))
 
 
 @query(_RULES + "SELECT topic_id, canonical_label FROM metrics WHERE volume_verbatims = 0")
