@@ -62,3 +62,12 @@ def test_texts_are_summed_up_by_signature(spark, folder, repeated, monkeypatch):
     assert "n" in args[0].columns and args[0].count() <= 21 and out == wanted(folder, "topic_summary")
     args, _, out = swept(spark, repeated, "topic_summary", monkeypatch)
     assert "n" not in args[0].columns and out == wanted(repeated, "topic_summary")  # ord 3 counts once
+
+
+def test_rules_leave_with_their_labels_as_they_are(spark, folder, repeated, monkeypatch):  # noqa: F811
+    """Labels are grouped by topic only where a topic is listed twice."""
+    args, _, out = swept(spark, folder, "enriched_verbatims", monkeypatch)
+    plan = args[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "to_json" not in plan and out == wanted(folder, "enriched_verbatims")
+    args, _, _ = swept(spark, repeated, "enriched_verbatims", monkeypatch)
+    assert "Aggregate" in args[1]._jdf.queryExecution().optimizedPlan().toString()
