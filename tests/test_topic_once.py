@@ -71,3 +71,13 @@ def test_rules_leave_with_their_labels_as_they_are(spark, folder, repeated, monk
     assert "Aggregate" not in plan and "to_json" not in plan and out == wanted(folder, "enriched_verbatims")
     args, _, _ = swept(spark, repeated, "enriched_verbatims", monkeypatch)
     assert "Aggregate" in args[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_are_made_once_for_texts_with_the_same_words():
+    entries = [("a", "x", ["rouge", "vert"]), ("a", "w", ["vert"]), ("b", "x", ["rouge"]), ("b", None, ["bleu"]), ("c", "z", ["vert"]), ("b", "v", [])]
+    labels = topics._labeler(entries, ("a", "b"))
+    for texts in (["rouge", "vert rouge", "", None, "bleu", "rouge vert"], ["rouge"] * 3, []):
+        want = [tuple(" | ".join(sorted(label for t, label, words in entries if t == kind and label and any(w in (x or "") for w in words))) for kind in ("a", "b")) for x in texts]
+        assert [*zip(*[c.to_pylist() for c in labels(texts)])] == want
+    assert labels(["rouge"] * 5)[0].to_pylist() == ["x"] * 5
+    assert topics._labeler([], ("a",))(["rouge", None])[0].to_pylist() == ["", ""]

@@ -158,7 +158,7 @@ def _signed(rows: DataFrame, shared: Broadcast | None, keep_all: bool, named: Br
         for batch in batches:
             lows, more = batch.column("low").to_pylist(), []
             if labels is not None:
-                more = [pa.array(c, pa.string()) for c in zip(*map(labels, lows))] if lows else [pa.array([], pa.string())] * len(types)
+                more = labels(lows)
             low = batch.column("low") if signature is None else pa.array([b"" if x is None else signature(x) for x in lows], pa.binary())
             out = pa.RecordBatch.from_arrays([*[low if c == "low" else batch.column(c) for c in names], *more], [*names, *(f"entity_{t}" for t in types)])
             yield out if keep_all else out.filter(pc.greater(pc.binary_length(low), 0))
@@ -167,20 +167,36 @@ def _signed(rows: DataFrame, shared: Broadcast | None, keep_all: bool, named: Br
     return rows.mapInArrow(run, StructType([*low, *(StructField(f"entity_{t}", StringType()) for t in types)]))
 
 
-def _labeler(entries: list[tuple], types: tuple[str, ...]) -> Callable[[str | None], tuple[str, ...]]:
-    """Of a text: the sorted labels of each type that it contains, joined by ` | `. entries: (type, label, lower-case keywords)."""
-    matcher = Matcher([("", k, [(w, w, ()) for w in words], (), ()) for k, (_, _, words) in enumerate(entries)])
-    none, known = ("",) * len(types), {}
-
-    def labels(low: str | None) -> tuple[str, ...]:
-        if not low or not (found := matcher.match("", low)):
-            return none
-        if (out := known.get(key := frozenset(k for k, _ in found))) is None:
-            own = sorted((entries[k][1], entries[k][0]) for k in key if entries[k][1] is not None)
-            out = tuple(" | ".join(label for label, t in own if t == wanted) for wanted in types)
-            if len(known) < 10_000:
-                known[key] = out
-        return out
+def _labeler(entries: list[tuple], types: tuple[str, ...]) -> Callable[[list], list[pa.Array]]:
+    """Of texts: for each type, the sorted labels that each contains, joined by ` | `. entries: (type, label, lower-case keywords)."""
+    import ahocorasick
+
+    owners: dict[str, list[int]] = {}
+    for k, (_, label, words) in enumerate(entries):
+        for w in words if label is not None else ():
+            owners.setdefault(w, []).append(k)
+    finder = ahocorasick.Automaton()
+    for w in owners:
+        finder.add_word(w, w)
+    if owners:
+        finder.make_automaton()
+    known: dict[frozenset, int] = {}  # words of a text → position in made
+    made: list[tuple[str, ...]] = []
+
+    def position(low: str | None) -> int:
+        found = frozenset([w for _, w in finder.iter(low)]) if low and owners else frozenset()
+        if (at := known.get(found)) is None:
+            own = sorted((entries[k][1], entries[k][0]) for k in {k for w in found for k in owners[w]})
+            at = known[found] = len(made)
+            made.append(tuple(" | ".join(label for label, t in own if t == wanted) for wanted in types))
+        return at
+
+    def labels(lows: list) -> list[pa.Array]:
+        if len(made) > 10_000:
+            known.clear()
+            made.clear()
+        at = pa.array([position(low) for low in lows], pa.int64())
+        return [pa.array([row[c] for row in made], pa.string()).take(at) for c in range(len(types))]
 
     return labels
 
